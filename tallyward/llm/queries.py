@@ -30,10 +30,17 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_jaccard_join": op5_jaccard_join,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
