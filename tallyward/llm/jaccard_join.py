@@ -10,10 +10,11 @@ common they are is counted over all documents into a table of fixed size; an ine
 A set with no more than k parts in use is signed by each of its members instead.  A set takes part in its own band and,
 if a similar set may be in the next one, in that band too.
 
-Equal sets are one class throughout.  Sets that share a signature are compared with the least member of the group
-first; the links found make components, and what the group still holds of different components is compared then.  So
-a large group of near copies costs a comparison for each member and not for each pair, and no link between different
-components is lost.  Comparisons are exact, on the sets of shingle hashes (64 bits).
+Equal sets are one class throughout.  Sets that share a signature are compared with the least and the greatest member of
+the group first; the links found make components, and what the group still holds of different components is compared
+then.  So a large group of near copies costs few comparisons for each member and not one for each pair, and no link
+between different components is lost.  Parity sketches, whose distance never exceeds that of the sets, rule out most of
+what is not similar before any set is moved.  Comparisons are exact, on the sets of shingle hashes (64 bits).
 
 Cases: null and empty texts and those without words have an empty set and are linked with nothing; fewer than five
 words make one shingle; rows with equal ids stay rows of their own; a null id never names a component unless all ids in
@@ -37,8 +38,11 @@ from tallyward.llm import textkit
 from tallyward.operators.graph import connected_components
 from tallyward.plans.lineage import cut
 
-#: Slots of the table that says how common signatures are (4 bytes each); its size does not depend on the input.
-COMMON_SLOTS = 1 << 20
+#: Slots of the table that says how common signatures are (a byte each); its size does not depend on the input.
+COMMON_SLOTS = 1 << 24
+#: Bits of a set's parity sketch: bit i is the parity of how many members fall on i.  Two sets' sketches differ in no
+#: more bits than the sets do in members.
+SKETCH_BITS = 2048
 _PART = 1 << 16
 #: Signatures to a bucket, at most on average; and those that a task packs before it hands them on.
 BUCKET_SIGNATURES, PACK_SIGNATURES = 1_000_000, 1_500_000
@@ -71,6 +75,12 @@ class Similarity:
         return number, high - 1, 1 if k == 0 else math.ceil(2.5 * k) + 2
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as longs."""
+    odd = np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
@@ -111,49 +121,52 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _survey(source: DataFrame, like: Similarity) -> DataFrame:
-    """In one pass: a row for each document (id, size and digest of its set), and the counts of signatures in parts."""
+    """In one pass: a row for each document (id, size, digest and sketch of its set), and counts of signatures in parts."""
+    names = ["doc_id", "n_shingles", "digest", "bits", "part", "counts", "signatures"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, total = np.zeros(COMMON_SLOTS, np.uint32), set(), 0
+        table, seen, total = np.zeros(COMMON_SLOTS, np.uint16), set(), 0
         for batch in batches:
-            sizes, digests = np.zeros(len(batch), np.int64), []
+            sizes, digests, bits = np.zeros(len(batch), np.int64), [], []
             for row, members in sets_of(batch.column(1)):
                 sizes[row] = len(members)
                 digests.append(d := digest(members) if len(members) else None)
-                if d is not None and d not in seen:
+                bits.append(sketch(members) if d is not None and d not in seen else None)  # one for each class and task
+                if bits[-1] is not None:
                     seen.add(d)
                     found = signatures(members, like, None)
                     total += len(found)
-                    np.add.at(table, found & np.uint64(COMMON_SLOTS - 1), 1)
+                    slot = found & np.uint64(COMMON_SLOTS - 1)
+                    table[slot] += table[slot] < 65_535
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], ["doc_id", "n_shingles", "digest", "part", "counts", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
         if total:
-            parts = COMMON_SLOTS // _PART
-            packed = [zstandard.compress(table[k * _PART : (k + 1) * _PART].tobytes()) for k in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary()), pa.array([total] + [0] * (parts - 1), pa.int64())], ["doc_id", "n_shingles", "digest", "part", "counts", "signatures"])
+            for k in range(COMMON_SLOTS // _PART):
+                packed = zstandard.compress(table[k * _PART : (k + 1) * _PART].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([packed], pa.binary()), pa.array([0 if k else total])], names)
 
-    return cut(source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, part int, counts binary, signatures long"))
+    return cut(source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits array<long>, part int, counts binary, signatures long"))
 
 
 def _common(survey: DataFrame) -> tuple[np.ndarray, int]:
-    """The table of how common signatures are, summed over the tasks, and how many there are."""
+    """The table of how common signatures are, on a logarithmic scale, summed over the tasks; and how many there are."""
     counts = survey.filter("part is not null").select("part", "counts", "signatures")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total = {}, 0
         for batch in batches:
             for part, data, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held = sums.setdefault(part, np.zeros(_PART, np.uint64))
-                held += np.frombuffer(zstandard.decompress(data), np.uint32)
+                held = sums.setdefault(part, np.zeros(_PART, np.float32))
+                held += np.frombuffer(zstandard.decompress(data), np.uint16)
                 total += n
         if sums:
-            packed = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+            packed = [zstandard.compress(np.minimum(255, np.rint(8 * np.log2(1 + x))).astype(np.uint8).tobytes()) for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary()), pa.array([total] + [0] * (len(sums) - 1), pa.int64())], ["part", "counts", "signatures"])
 
-    table, total = np.zeros(COMMON_SLOTS, np.uint32), 0
-    # A fixed COMMON_SLOTS * 4 bytes come to the driver.
-    for row in counts.repartition("part").mapInArrow(add, "part int, counts binary, signatures long").collect():
-        table[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["counts"], np.uint32)
+    table, total = np.zeros(COMMON_SLOTS, np.uint8), 0
+    # COMMON_SLOTS bytes come to the driver at most.
+    for row in counts.repartition("part").mapInArrow(add, "part int, counts binary, signatures long").toLocalIterator():
+        table[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(zstandard.decompress(row["counts"]), np.uint8)
         total += row["signatures"]
     return table, total
 
@@ -247,7 +260,7 @@ def _groups(source: DataFrame, like: Similarity, table: np.ndarray, total: int)
 
     packed = source.mapInArrow(sign, "bucket int, signs binary, owner binary, digests binary, sizes binary")
     grouped = packed.repartition(buckets, "bucket").mapInArrow(gather, "grp long, digest binary, size long")
-    return cut(grouped.distinct())
+    return grouped.distinct()
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
@@ -295,39 +308,42 @@ def _wanted_sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
             for k in range(0, len(digests), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(digests[k : k + 256], pa.binary()), pa.array(members[k : k + 256], pa.list_(pa.int64()))], ["digest", "members"])
 
-    found = source.mapInArrow(run, "digest binary, members array<long>").join(wanted, "digest", "left_semi")
-    return cut(found.groupBy("digest").agg(F.first("members").alias("members")))
+    # A few sets that the filter lets through in vain do no harm; each task sends a set once.
+    return source.mapInArrow(run, "digest binary, members array<long>").groupBy("digest").agg(F.first("members").alias("members"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+def _links(source: DataFrame, pairs: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    pairs = cut(pairs)
+    sets = cut(_wanted_sets(source, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
     joined = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b")
+    return cut(joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b"))
 
 
 def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> DataFrame:
     """(node, component) over the digests of the sets that have a similar one."""
     table, total = _common(survey)
-    groups = _groups(source, like, table, total)
-    sets = _wanted_sets(source, groups.select("digest").distinct())
-    near = f"100 * least(size, other) >= {like.share} * greatest(size, other)"
-
-    # Each with the least of its group.
-    least = groups.groupBy("grp").agg(F.min(F.struct("digest", "size")).alias("low"))
-    star = groups.join(least, "grp").select(F.col("low.digest").alias("a"), F.col("digest").alias("b"), "size", F.col("low.size").alias("other")).filter(f"a != b and {near}")
-    first = cut(_links(star.select("a", "b").distinct(), sets, like))
+    sketches = survey.filter("bits is not null").select("digest", "bits").dropDuplicates(["digest"])
+    groups = cut(_groups(source, like, table, total).join(sketches, "digest"))
+    # Sets of sizes a and b that are similar enough differ in (a + b) * (100 - share) / (100 + share) members at most.
+    apart = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = (100 * F.least("size", "size2") >= like.share * F.greatest("size", "size2")) & (apart * (100 + like.share) <= (F.col("size") + F.col("size2")) * (100 - like.share))
+
+    # Each with the least and the greatest of its group.
+    ends = groups.groupBy("grp").agg(F.min("digest").alias("p"), F.max("digest").alias("q")).select("grp", F.explode(F.array("p", "q")).alias("digest"))
+    ends = ends.join(groups, ["grp", "digest"]).select("grp", F.col("digest").alias("a"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
+    star = groups.join(ends, "grp").filter((F.col("a") != F.col("digest")) & near).select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
+    first = _links(source, star, like)
     parts = connected_components(first, "a", "b")
 
     # What a group then holds of different components.
-    named = groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", "size", F.coalesce("component", "digest").alias("part"))
-    named = cut(named)
+    named = groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", "size", "bits", F.coalesce("component", "digest").alias("part"))
     mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
-    left = named.join(mixed, "grp", "left_semi")
-    right = left.select("grp", F.col("digest").alias("b"), F.col("size").alias("other"), F.col("part").alias("theirs"))
-    rest = left.withColumnRenamed("digest", "a").join(right, "grp").filter(f"a < b and part != theirs and {near}").select("a", "b").distinct()
-    rest = rest.join(star.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    second = _links(rest, sets, like)
+    left = cut(named.join(mixed, "grp", "left_semi"))
+    right = left.select("grp", F.col("digest").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))
+    rest = left.join(right, "grp").filter((F.col("digest") < F.col("b")) & (F.col("part") != F.col("part2")) & near).select(F.col("digest").alias("a"), "b").distinct()
+    second = _links(source, rest, like)
     return connected_components(first.unionByName(second), "a", "b")
 
 
