@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder: later jobs and lost executors read them there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet below the shared folder and read again; for wide rows, which it compresses."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
