@@ -25,6 +25,25 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+#: Weights of the mix by domain, language and source; 1 where none is given.
+MIX_WEIGHTS = ({"web": 5, "books": 3, "code": 2}, {"en": 6, "de": 2, "fr": 1, "es": 1}, {"src0": 2})
+MIX = {"share": 0.6, "epochs": 4, "seed": 17}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix of a documents table: its sources belong to three domains by their numbers."""
+    from tallyward.llm.mixing import count_words, mix
+
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    domain = F.when(number == "", "web").when(number.cast("decimal(38,0)") % 4 == 3, "code").when(number.cast("decimal(38,0)") % 4 == 2, "books").otherwise("web")
+    return mix(docs, F.coalesce(domain, F.lit("web")), F.col("lang"), F.col("source"), MIX_WEIGHTS, count_words(F.col("text")), **MIX)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixed(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", F.col("m_domain").alias("domain"), "lang", "source", F.col("m_epoch").alias("epoch"), F.col("m_tokens").alias("tokens"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.bpe_codec import encode_digests
 
@@ -75,6 +94,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
+    "op3_mixing": op3_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_chat_format": op7_chat_format,
