@@ -56,6 +56,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.chat_format import Cached, MarkedTemplate, format_conversations, read_back
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_lm_score": op6_lm_score,
     "op7_chat_format": op7_chat_format,
     "op8_toxicity": op8_toxicity,
     "op9_topk_search": op9_topk_search,
