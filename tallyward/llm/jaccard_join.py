@@ -27,6 +27,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from tallyward.plans.lineage import cut
 COMMON_SLOTS = 1 << 24
 #: Bits of a set's parity sketch: bit i is the parity of how many members fall on i.  Two sets' sketches differ in no
 #: more bits than the sets do in members.
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 _PART = 1 << 16
 #: Signatures to a bucket, at most on average; and those that a task packs before it hands them on.
 BUCKET_SIGNATURES, PACK_SIGNATURES = 1_000_000, 1_500_000
@@ -321,29 +322,64 @@ def _links(source: DataFrame, pairs: DataFrame, like: Similarity) -> DataFrame:
     return cut(joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b"))
 
 
+def _far_apart(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, like: Similarity) -> np.ndarray:
+    """Whether sketches x, y of sets of sizes a, b show that the sets are not similar enough."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (apart * (100 + like.share) > (a + b) * (100 - like.share)) | (100 * np.minimum(a, b) < like.share * np.maximum(a, b))
+
+
+def _across(groups: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): pairs of one group, of different components, that their sketches don't rule out.
+
+    groups: (grp, digest, size, bits, part).  A group is compared row by row, as arrays, as it comes by.
+    """
+
+    def pairs(held: list) -> Iterator[tuple[bytes, bytes]]:
+        digests, sizes, bits, parts = zip(*held, strict=True)
+        size, sketch_ = np.array(sizes), np.array(bits, np.int64).view(np.uint64)
+        _, part = np.unique(np.frombuffer(b"".join(parts), "V16"), return_inverse=True)
+        for k in range(len(held) - 1):
+            rest = np.flatnonzero(part[k + 1 :] != part[k]) + k + 1
+            rest = rest[~_far_apart(sketch_[rest], sketch_[k], size[rest], size[k], like)]
+            for j in rest.tolist():
+                yield (digests[k], digests[j]) if digests[k] < digests[j] else (digests[j], digests[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        seen: set = set()
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            held = [r[1:] for r in group]
+            seen.update(pairs(held))
+            if len(seen) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*seen, strict=True)], ["a", "b"])
+                seen = set()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*seen, strict=True)], ["a", "b"])
+
+    return groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary").distinct()
+
+
 def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> DataFrame:
     """(node, component) over the digests of the sets that have a similar one."""
     table, total = _common(survey)
-    sketches = survey.filter("bits is not null").select("digest", "bits").dropDuplicates(["digest"])
-    groups = cut(_groups(source, like, table, total).join(sketches, "digest"))
-    # Sets of sizes a and b that are similar enough differ in (a + b) * (100 - share) / (100 + share) members at most.
-    apart = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = (100 * F.least("size", "size2") >= like.share * F.greatest("size", "size2")) & (apart * (100 + like.share) <= (F.col("size") + F.col("size2")) * (100 - like.share))
+    sketches = survey.filter("bits is not null").select("digest", "bits", F.col("n_shingles").alias("size")).dropDuplicates(["digest"])
+    groups = cut(_groups(source, like, table, total))
 
     # Each with the least and the greatest of its group.
-    ends = groups.groupBy("grp").agg(F.min("digest").alias("p"), F.max("digest").alias("q")).select("grp", F.explode(F.array("p", "q")).alias("digest"))
-    ends = ends.join(groups, ["grp", "digest"]).select("grp", F.col("digest").alias("a"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
-    star = groups.join(ends, "grp").filter((F.col("a") != F.col("digest")) & near).select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
-    first = _links(source, star, like)
+    ends = groups.groupBy("grp").agg(F.min(F.struct("digest", "size")).alias("p"), F.max(F.struct("digest", "size")).alias("q")).select("grp", F.explode(F.array("p", "q")).alias("e")).select("grp", F.col("e.digest").alias("a"), F.col("e.size").alias("size2"))
+    star = groups.join(ends, "grp").filter((F.col("a") != F.col("digest")) & (100 * F.least("size", "size2") >= like.share * F.greatest("size", "size2")))
+    star = star.select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b"), F.lit(like.share).alias("t"), (F.col("size") + F.col("size2")).alias("n")).distinct()
+    # Sets of a and b members that are similar enough differ in (a + b) * (100 - share) / (100 + share) members at most.
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    star = star.join(sketches.select(F.col("digest").alias("a"), F.col("bits").alias("x")), "a").join(sketches.select(F.col("digest").alias("b"), F.col("bits").alias("y")), "b")
+    first = _links(source, star.filter(apart * (100 + like.share) <= F.col("n") * (100 - like.share)).select("a", "b"), like)
     parts = connected_components(first, "a", "b")
 
     # What a group then holds of different components.
-    named = groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", "size", "bits", F.coalesce("component", "digest").alias("part"))
+    named = cut(groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", F.coalesce("component", "digest").alias("part")))
     mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
-    left = cut(named.join(mixed, "grp", "left_semi"))
-    right = left.select("grp", F.col("digest").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))
-    rest = left.join(right, "grp").filter((F.col("digest") < F.col("b")) & (F.col("part") != F.col("part2")) & near).select(F.col("digest").alias("a"), "b").distinct()
-    second = _links(source, rest, like)
+    left = named.join(mixed, "grp", "left_semi").join(sketches, "digest").select("grp", "digest", "size", "bits", "part")
+    second = _links(source, _across(left, like), like)
     return connected_components(first.unionByName(second), "a", "b")
 
 
