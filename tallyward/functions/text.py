@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Redactions in order: (pattern, replacement); patterns stay within what both Java and RE2 read alike.
 REDACTIONS = [
@@ -63,13 +64,13 @@ def terminal_safe(column: Column) -> Column:
     return F.regexp_replace(column, "[\\x00-\\x08\\x0b-\\x1f\\x7f]", "?")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_nfkc(texts: pd.Series) -> pd.Series:
     """NFKC, for which Spark has no function."""
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def round_half_even_on_binary(values: pd.Series) -> pd.Series:
     """Rounds to one decimal place as Python does (0.25 -> 0.2, 0.35 -> 0.3)."""
     return values.map(lambda x: None if x is None or x != x else round(x, 1)).astype("float64")

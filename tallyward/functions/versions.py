@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Longer strings are not comparable.
 LONGEST = 128
@@ -39,7 +40,7 @@ def pep440_key(version: str | None) -> str | None:
     return "!".join([_pad(epoch or "0"), ".".join(map(_pad, numbers)) + ".", first, "1" + _pad(post or post_2 or "0") if has_post else "0", "0" + _pad(dev or "0") if has_dev else "1", (local or "").lower()])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pep440_sort_key(versions: pd.Series) -> pd.Series:
     return versions.map(pep440_key)
 
