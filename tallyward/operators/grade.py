@@ -25,7 +25,7 @@ def duplication(docs: DataFrame, size: int = DUPLICATE_LINES) -> DataFrame:
 
     Windows are made row-wise; only their digests are shuffled, and sums of them join back, so no window text moves.
     """
-    kept = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("c")).withColumn("n", F.size("c"))
+    kept = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("c")).withColumn("n", F.size("c"))
     starts = F.when(F.col("n") >= size, F.sequence(F.lit(1), F.col("n") - size + 1)).otherwise(F.array().cast("array<int>"))
     windows = kept.select("doc_id", "n", F.explode(F.transform(starts, lambda k: F.struct(k.alias("at"), F.md5(F.array_join(F.slice("c", k, F.lit(size)), "\n")).alias("h")))).alias("w")).select("doc_id", "n", "w.*")
     again = windows.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
