@@ -34,7 +34,7 @@ from tallyward.plans.lineage import written
 HEAD_WORDS = 500_000
 IDS, WIDTH, WINDOW, CONTEXT = 128, 16, 32, 8
 OTHER, END, START = 0, IDS - 1, IDS
-TRAIN_STRIDE, ROUNDS, BATCH, RATE = 512, 2, 64, 4e-3
+TRAIN_STRIDE, ROUNDS, BATCH, RATE = 512, 2, 32, 1e-2
 #: Share of the attention model in P(subword id | ids before); the rest is the ids' own frequency.
 TRUST = 0.97
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -89,7 +89,7 @@ class Attention:
     def __init__(self, frequency: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.w = {"E": small(IDS + 1, WIDTH), "P": small(WINDOW, WIDTH), "Wq": small(WIDTH, WIDTH), "Wk": small(WIDTH, WIDTH), "Wv": small(WIDTH, WIDTH), "Wo": small(WIDTH, WIDTH), "U": small(WIDTH, IDS), "b": np.log(frequency).astype(np.float32)}
+        self.w = {"E": small(IDS + 1, WIDTH), "P": small(WINDOW, WIDTH), "Wq": small(WIDTH, WIDTH), "Wk": small(WIDTH, WIDTH), "Wv": small(WIDTH, WIDTH), "Wo": small(WIDTH, WIDTH), "U": np.zeros((WIDTH, IDS), np.float32), "b": np.log(frequency).astype(np.float32)}
         self.frequency = frequency
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
@@ -317,7 +317,7 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         k = END if r["lead"] < 0 else of_piece[r["lead"]]
         n[k] += r["n"]
         v[k] += r["v"]
-    frequency = (n + 1) / (n.sum() + IDS)
+    frequency = (n + 0.05) / (n.sum() + 0.05 * IDS)
 
     model = Attention(frequency)
     for _ in range(ROUNDS):
