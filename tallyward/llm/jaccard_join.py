@@ -11,9 +11,9 @@ A set with no more than k parts in use is signed by each of its members instead.
 if a similar set may be in the next one, in that band too.
 
 Equal sets are one class throughout.  Sets that share a signature are compared with the least and the greatest member of
-the group first; the links found make components, and what the group still holds of different components is compared
-then.  So a large group of near copies costs few comparisons for each member and not one for each pair, and no link
-between different components is lost.  Parity sketches, whose distance never exceeds that of the sets, rule out most of
+the group first; the links found make components.  Then each component is compared with the nearest other one of its
+groups, and at last all that a group still holds of different components.  So a large group of near copies costs few
+comparisons for each member and not one for each pair, and no link between different components is lost.  Parity sketches, whose distance never exceeds that of the sets, rule out most of
 what is not similar before any set is moved.  Comparisons are exact, on the sets of shingle hashes (64 bits).
 
 Cases: null and empty texts and those without words have an empty set and are linked with nothing; fewer than five
@@ -322,41 +322,54 @@ def _links(source: DataFrame, pairs: DataFrame, like: Similarity) -> DataFrame:
     return cut(joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b"))
 
 
-def _far_apart(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, like: Similarity) -> np.ndarray:
-    """Whether sketches x, y of sets of sizes a, b show that the sets are not similar enough."""
-    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
-    return (apart * (100 + like.share) > (a + b) * (100 - like.share)) | (100 * np.minimum(a, b) < like.share * np.maximum(a, b))
-
-
-def _across(groups: DataFrame, like: Similarity) -> DataFrame:
+def _across(groups: DataFrame, like: Similarity, nearest: bool) -> DataFrame:
     """(a, b): pairs of one group, of different components, that their sketches don't rule out.
 
-    groups: (grp, digest, size, bits, part).  A group is compared row by row, as arrays, as it comes by.
+    groups: (grp, digest, size, bits, part).  With ``nearest`` each component gets one pair only, the one whose sketches
+    differ least.  A group is compared row by row, as arrays, as it comes by.
     """
 
-    def pairs(held: list) -> Iterator[tuple[bytes, bytes]]:
+    def pairs(held: list) -> Iterator[tuple[bytes, int, bytes, bytes]]:
         digests, sizes, bits, parts = zip(*held, strict=True)
-        size, sketch_ = np.array(sizes), np.array(bits, np.int64).view(np.uint64)
+        size, sketches = np.array(sizes), np.array(bits, np.int64).view(np.uint64)
         _, part = np.unique(np.frombuffer(b"".join(parts), "V16"), return_inverse=True)
-        for k in range(len(held) - 1):
-            rest = np.flatnonzero(part[k + 1 :] != part[k]) + k + 1
-            rest = rest[~_far_apart(sketch_[rest], sketch_[k], size[rest], size[k], like)]
-            for j in rest.tolist():
-                yield (digests[k], digests[j]) if digests[k] < digests[j] else (digests[j], digests[k])
+        best: dict[int, tuple[int, int, int]] = {}
+        for k in range(len(held)):
+            # The nearest one is sought among all others; pairs are listed once.
+            start = 0 if nearest else k + 1
+            rest = np.flatnonzero(part[start:] != part[k]) + start
+            rest = rest[100 * np.minimum(size[rest], size[k]) >= like.share * np.maximum(size[rest], size[k])]
+            apart = np.bitwise_count(sketches[rest] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + like.share) <= (size[rest] + size[k]) * (100 - like.share)
+            rest, apart = rest[near], apart[near]
+            if not nearest:
+                for j in rest.tolist():
+                    yield parts[k], 0, min(digests[k], digests[j]), max(digests[k], digests[j])
+            elif len(rest) and (found := (int(apart.min()), k, int(rest[apart.argmin()]))) < best.get(int(part[k]), (1 << 30,)):
+                best[int(part[k])] = found
+        for apart, k, j in best.values():
+            yield parts[k], apart, min(digests[k], digests[j]), max(digests[k], digests[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
         seen: set = set()
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*seen, strict=True), kinds, strict=True)], ["part", "apart", "a", "b"])
+
         for _, group in groupby(rows, key=lambda r: r[0]):
-            held = [r[1:] for r in group]
-            seen.update(pairs(held))
+            seen.update(pairs([r[1:] for r in group]))
             if len(seen) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*seen, strict=True)], ["a", "b"])
+                yield out()
                 seen = set()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*seen, strict=True)], ["a", "b"])
+            yield out()
 
-    return groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary").distinct()
+    found = groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "part binary, apart long, a binary, b binary")
+    if nearest:
+        found = found.groupBy("part").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
+    return found.select("a", "b").distinct()
 
 
 def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> DataFrame:
@@ -365,22 +378,26 @@ def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> D
     sketches = survey.filter("bits is not null").select("digest", "bits", F.col("n_shingles").alias("size")).dropDuplicates(["digest"])
     groups = cut(_groups(source, like, table, total))
 
-    # Each with the least and the greatest of its group.
+    # Each with the nearer one of the least and the greatest of its group.
     ends = groups.groupBy("grp").agg(F.min(F.struct("digest", "size")).alias("p"), F.max(F.struct("digest", "size")).alias("q")).select("grp", F.explode(F.array("p", "q")).alias("e")).select("grp", F.col("e.digest").alias("a"), F.col("e.size").alias("size2"))
     star = groups.join(ends, "grp").filter((F.col("a") != F.col("digest")) & (100 * F.least("size", "size2") >= like.share * F.greatest("size", "size2")))
-    star = star.select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b"), F.lit(like.share).alias("t"), (F.col("size") + F.col("size2")).alias("n")).distinct()
+    star = star.select("a", F.col("digest").alias("b"), (F.col("size") + F.col("size2")).alias("n")).distinct()
     # Sets of a and b members that are similar enough differ in (a + b) * (100 - share) / (100 + share) members at most.
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     star = star.join(sketches.select(F.col("digest").alias("a"), F.col("bits").alias("x")), "a").join(sketches.select(F.col("digest").alias("b"), F.col("bits").alias("y")), "b")
-    first = _links(source, star.filter(apart * (100 + like.share) <= F.col("n") * (100 - like.share)).select("a", "b"), like)
-    parts = connected_components(first, "a", "b")
-
-    # What a group then holds of different components.
-    named = cut(groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", F.coalesce("component", "digest").alias("part")))
-    mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
-    left = named.join(mixed, "grp", "left_semi").join(sketches, "digest").select("grp", "digest", "size", "bits", "part")
-    second = _links(source, _across(left, like), like)
-    return connected_components(first.unionByName(second), "a", "b")
+    star = star.select("a", "b", "n", F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x).alias("apart"))
+    star = star.filter(F.col("apart") * (100 + like.share) <= F.col("n") * (100 - like.share)).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
+    links = _links(source, star.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), like)
+    parts = connected_components(links, "a", "b")
+
+    # What a group then holds of different components: first the nearest pair of each component, then all that is left.
+    for nearest in (True, False):
+        named = cut(groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", "size", F.coalesce("component", "digest").alias("part")))
+        mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
+        groups = named.join(mixed, "grp", "left_semi").select("grp", "digest", "size")
+        left = named.join(mixed, "grp", "left_semi").join(sketches.select("digest", "bits"), "digest").select("grp", "digest", "size", "bits", "part")
+        links = links.unionByName(_links(source, _across(left, like, nearest), like))
+        parts = connected_components(links, "a", "b")
+    return parts
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
