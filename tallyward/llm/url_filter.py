@@ -165,10 +165,16 @@ def fit(decided: DataFrame, model_grams: int = MODEL_GRAMS) -> RatioModel | None
     """A model from (text, reject) rows; None if one class has none."""
     spark = decided.sparkSession
     counts = cut(_counts(decided))
+    sizes = counts.groupBy("reject", "n").agg(F.count("*").alias("grams")).collect()  # a row for each count that occurs
     sides = []
     for reject in (False, True):
-        # At most model_grams rows of the model come to the driver; the counts themselves are complete.
-        sides.append(counts.filter(F.col("reject") == reject).orderBy(F.desc("n"), "context", "gram").limit(model_grams).select("context", "gram", "n").collect())
+        least, held = 1 << 62, 0
+        for n, grams in sorted(((r["n"], r["grams"]) for r in sizes if r["reject"] == reject), reverse=True):
+            if held + grams > model_grams:
+                break
+            least, held = n, held + grams
+        # At most model_grams rows come to the driver, the most frequent ones; the counts themselves are complete.
+        sides.append(counts.filter((F.col("reject") == reject) & (F.col("n") >= least)).select("context", "gram", "n").collect())
     if not all(sides):
         return None
     model = RatioModel(*map(Markov, sides))
