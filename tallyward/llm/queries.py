@@ -110,8 +110,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
+
+
+def _mix_sql() -> str:
+    """The mix in SQL: three levels of budgets, then running sums over each leaf's documents in each epoch."""
+    levels = ["domain", "lang", "source"]
+
+    def weight(k: int) -> str:
+        return "CASE " + levels[k] + "".join(f" WHEN '{n}' THEN {w}" for n, w in MIX_WEIGHTS[k].items()) + " ELSE 1 END"
+
+    parts = [f"""d AS (
+            SELECT doc_id, CASE WHEN number = '' THEN 'web' WHEN CAST(number AS HUGEINT) % 4 = 3 THEN 'code' WHEN CAST(number AS HUGEINT) % 4 = 2 THEN 'books' ELSE 'web' END AS domain, lang, source, tokens, tie
+            FROM (SELECT doc_id, lang, source, coalesce(regexp_extract(source, '([0-9]+)$', 1), '') AS number, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS tie FROM documents)),
+        leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply, CAST(sum(tokens) * {MIX["epochs"]} AS BIGINT) AS cap FROM d GROUP BY ALL),
+        b0 AS (SELECT 0 AS root, least(CAST(floor(sum(supply) * {int(MIX["share"] * 1000)} / 1000) AS BIGINT), sum(cap)) AS got FROM leaf)"""]
+    for k, name in enumerate(levels):
+        keys = ", ".join(levels[: k + 1])
+        parent = ", ".join(levels[:k]) or "root"
+        order = f"PARTITION BY {parent} ORDER BY cap / w, {name}"
+        every = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        join = f"JOIN b{k} USING ({', '.join(levels[:k])})" if k else "CROSS JOIN b0"
+        parts.append(f"""n{k} AS (SELECT {keys}{"" if k else ", root"}, w, cap, CAST(got AS HUGEINT) AS given FROM (SELECT {keys}, {weight(k)} AS w, CAST(sum(cap) AS HUGEINT) AS cap FROM leaf GROUP BY {keys}) {join}),
+        r{k} AS (SELECT *, given - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM n{k}),
+        l{k} AS (SELECT *, cap * share <= w * rest AS filled, first_value(CASE WHEN cap * share > w * rest THEN rest END IGNORE NULLS) {every} AS level_rest, first_value(CASE WHEN cap * share > w * rest THEN share END IGNORE NULLS) {every} AS level_share FROM r{k}),
+        p{k} AS (SELECT *, CASE WHEN filled THEN cap ELSE (w * level_rest) // level_share END AS part FROM l{k}),
+        b{k + 1} AS (SELECT {keys}, CAST(part + CASE WHEN NOT filled AND row_number() OVER (PARTITION BY {parent}, filled ORDER BY cap / w, {name}) <= least(given, sum(cap) OVER (PARTITION BY {parent})) - sum(part) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END AS BIGINT) AS got FROM p{k})""")
+    return f"""WITH {", ".join(parts)},
+        e AS (SELECT doc_id, domain, lang, source, epoch, tokens, md5(concat('{MIX["seed"]}:', epoch, ':', doc_id)) || tie AS key FROM d, range(0, {MIX["epochs"]}) AS t(epoch)),
+        s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+        SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, tokens FROM s JOIN b3 USING (domain, lang, source) WHERE before < got"""
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op3_mixing": _mix_sql(),
     "op9_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
