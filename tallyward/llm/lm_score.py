@@ -6,8 +6,9 @@ A text's probability is the product over its tokens of P(subword id | ids before
 first factor is the attention model's, the second comes from the counts of all training tokens, smoothed by one.
 
 Counting: a task sums its tokens and hands on (hash, count, subword); Spark sums these for all tasks.  Training: each
-task runs Adam from the same weights over windows of its training documents, one window in ``TRAIN_STRIDE`` tokens of
-every document; the weights are averaged by windows, and the next round starts there.  Scoring: windows overlap by
+task runs Adam from the same weights over windows of its training documents; the weights are averaged by windows, and
+the next round starts there.  The windows of a text follow each other and the rounds take them in turns, so every
+training token is learned from, just once.  Scoring: windows overlap by
 ``CONTEXT`` ids, each token is scored once, in the window in which it has most context, and windows are run in batches
 under a causal mask.  Words with a count above a threshold, ``HEAD_WORDS`` at most, are sent to the tasks; the others
 are looked up by a join.
@@ -34,7 +35,7 @@ from tallyward.plans.lineage import written
 HEAD_WORDS = 500_000
 IDS, WIDTH, WINDOW, CONTEXT = 128, 16, 32, 8
 OTHER, END, START = 0, IDS - 1, IDS
-TRAIN_STRIDE, ROUNDS, BATCH, RATE = 512, 2, 32, 1e-2
+ROUNDS, BATCH, RATE = 2, 32, 1e-2
 #: Share of the attention model in P(subword id | ids before); the rest is the ids' own frequency.
 TRUST = 0.97
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -135,8 +136,9 @@ class Attention:
         dx = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
         for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
             g[name] = flat(s["x"]).T @ flat(d)
-        g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], ids, dx)
+        at = np.zeros((ids.size, IDS + 1), dx.dtype)  # a product with this is much faster than np.add.at
+        at[np.arange(ids.size), ids.ravel()] = 1
+        g["E"] = at.T @ flat(dx)
         g["P"] = np.zeros_like(w["P"])
         g["P"][: ids.shape[1]] = dx.sum(axis=0)
         return g
@@ -208,7 +210,17 @@ def _sequences(w: textkit.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inputs, wanted, bounds
 
 
-def _train(batches: Iterator[pa.RecordBatch], model_file: str, shared) -> Iterator[pa.RecordBatch]:
+def _windows(bounds: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first place) of the windows of a round: those of all rounds hold each place once."""
+    size = np.diff(bounds)
+    n = -(-size // WINDOW)
+    text = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    mine = (number + size[text]) % ROUNDS == turn
+    return text[mine], (bounds[text] + number * WINDOW)[mine]
+
+
+def _train(batches: Iterator[pa.RecordBatch], model_file: str, shared, turn: int) -> Iterator[pa.RecordBatch]:
     frequency, vector, of_piece = shared.value
     model = Attention(frequency)
     model.load(vector)
@@ -221,10 +233,7 @@ def _train(batches: Iterator[pa.RecordBatch], model_file: str, shared) -> Iterat
         for _, _, data, offsets in textkit.slices(batch.column(0)):
             w = textkit.words(data, offsets)
             bounds = w.bounds + np.arange(len(w.bounds))
-            size = np.diff(bounds)
-            begins = [np.arange(a + (a * 7919) % max(1, min(TRAIN_STRIDE, n - WINDOW + 1)), a + n, TRAIN_STRIDE) for a, n in zip(bounds[:-1].tolist(), size.tolist(), strict=True)]
-            text = np.repeat(np.arange(len(begins)), [len(x) for x in begins])
-            begin = np.concatenate(begins)
+            text, begin = _windows(bounds, turn)
             at = begin[:, None] + np.arange(WINDOW)
             end = bounds[text + 1][:, None]
             real = at < end
@@ -320,9 +329,9 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     frequency = (n + 0.05) / (n.sum() + 0.05 * IDS)
 
     model = Attention(frequency)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((frequency, model.vector(), of_piece))
-        own = training.mapInArrow(partial(_train, model_file=model_file, shared=shared), "windows long, weights array<double>")
+        own = training.mapInArrow(partial(_train, model_file=model_file, shared=shared, turn=turn), "windows long, weights array<double>")
         size = len(model.vector())
         # One vector comes back, summed over the tasks.
         summed = own.select("windows", F.posexplode("weights")).groupBy("pos").agg(F.sum("col").alias("w"), F.sum("windows").alias("n")).collect()

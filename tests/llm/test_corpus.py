@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -154,6 +155,18 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_token_is_learned_from(monkeypatch):
+    texts = ["of " * n for n in (0, 1, 30, 31, 32, 33, 500, 3000)] + [None]
+    tokens, seen = sum(len(WORD.findall(t or "")) + 1 for t in texts), []
+    learn = lm_score.Attention.gradients
+    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, ids, wanted, real: seen.append((int(real.sum()), int((real & (wanted == lm_score.END)).sum()))) or learn(self, ids, wanted, real))
+    frequency = np.full(lm_score.IDS, 1 / lm_score.IDS)
+    shared = SimpleNamespace(value=(frequency, lm_score.Attention(frequency).vector(), np.zeros(lm_score.subwords(PIECES).size, np.int64)))
+    for turn in range(lm_score.ROUNDS):
+        assert len(list(lm_score._train(iter([pa.record_batch([pa.array(texts)], ["text"])]), PIECES, shared, turn=turn))) == 1
+    assert (sum(n for n, _ in seen), sum(n for _, n in seen)) == (tokens, len(texts))
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = lm_score.Attention(np.full(lm_score.IDS, 1 / lm_score.IDS))
