@@ -6,8 +6,9 @@ Witten and Bell do, down to a uniform distribution.  A URL that no rule decides
 ratio, divided by its length, reaches a threshold, at which the decisions of the two models agree best with those of
 the rules (the mean of both classes' accuracy).
 
-Characters are counted over all URLs that a rule decides; a task sends on sums of its counts.  The models hold the
-``MODEL_GRAMS`` most frequent contexts with their successors, a fixed number of bytes, whatever the input.
+Characters are counted over all URLs that a rule decides; a task sends on sums of its counts, and none is left out.
+Counts of up to ``MODEL_GRAMS`` for each class are sent to the tasks whole; beyond that nothing is sent, and the distinct
+n-grams of the URLs are joined with the counts.  Sums are of whole numbers, so both ways give the same scores.
 
 Cases: host and path of a null URL and one without ``://`` are empty, and no rule decides it; its text (or none) goes to
 the models like any other.  With no URL of one class to learn from, all that no rule decides is accepted.  Repeated
@@ -28,9 +29,12 @@ from tallyward.llm import textkit
 from tallyward.plans.lineage import cut
 
 ORDER = 5
-#: Pairs of context and successor that a model holds at most (40 bytes each).
+#: Pairs of context and successor (40 bytes each) of a class that are sent to the tasks; with more, they are joined.
 MODEL_GRAMS = 400_000
+#: N-grams whose ratios are sent to the tasks when the others are joined, since many URLs have them.
+HOT_GRAMS = 10_000
 _BINS, _RANGE = 4001, 4.0
+_UNIT = float(1 << 36)
 
 
 @dataclass(frozen=True)
@@ -89,19 +93,33 @@ def _positions(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
 
 
 def _counts(decided: DataFrame) -> DataFrame:
-    """(reject, context, gram, n) over texts with a boolean ``reject``."""
+    """(reject, k, context, gram, n) over texts with a boolean ``reject``; k is the length of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reject = np.asarray(batch.column(1))
             for first, row, contexts, grams in _positions(batch.column(0)):
                 side = np.broadcast_to(reject[first + row], contexts.shape).ravel()
+                order = np.repeat(np.arange(ORDER + 1, dtype=np.int8), contexts.shape[1])
                 for value in (False, True):
                     pairs = np.stack([contexts.ravel()[side == value], grams.ravel()[side == value]], axis=1)
-                    found, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), value)), pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], ["reject", "context", "gram", "n"])
+                    found, at, n = np.unique(pairs, axis=0, return_index=True, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), value)), pa.array(order[side == value][at]), pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], ["reject", "k", "context", "gram", "n"])
 
-    return decided.mapInArrow(run, "reject boolean, context long, gram long, n long").groupBy("reject", "context", "gram").agg(F.sum("n").alias("n"))
+    return decided.mapInArrow(run, "reject boolean, k tinyint, context long, gram long, n long").groupBy("reject", "k", "context", "gram").agg(F.sum("n").alias("n"))
+
+
+def _likelihood(counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of n-grams, from the counts of each order and the totals and kinds of successors of its context."""
+    p = np.full(counts.shape[1], 1 / 257)
+    for n, total, kind in zip(counts, totals, kinds, strict=True):
+        p = np.where(total > 0, (n + kind * p) / np.maximum(total + kind, 1), p)
+    return np.log(p)
+
+
+def _ratio(accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """The difference in whole units, whose sums don't depend on their order."""
+    return np.rint((accepted - rejected) * _UNIT).astype(np.int64)
 
 
 class Markov:
@@ -124,11 +142,8 @@ class Markov:
         return np.where(keys[at] == wanted, values[at], 0.0)
 
     def log_likelihood(self, contexts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        p = np.full(contexts.shape[1], 1 / 257)
-        for c, g in zip(contexts, grams, strict=True):
-            total, kinds = self._find(self.contexts, self.totals, c), self._find(self.contexts, self.kinds, c)
-            p = np.where(total > 0, (self._find(self.grams, self.counts, g) + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(p)
+        look = lambda keys, values, wanted: np.array([self._find(keys, values, x) for x in wanted])
+        return _likelihood(look(self.grams, self.counts, grams), look(self.contexts, self.totals, contexts), look(self.contexts, self.kinds, contexts))
 
 
 class RatioModel:
@@ -140,11 +155,81 @@ class RatioModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for first, row, contexts, grams in _positions(texts):
-            ratio = self.accepted.log_likelihood(contexts, grams) - self.rejected.log_likelihood(contexts, grams)
-            sums = np.bincount(row, ratio) / np.bincount(row)
+            ratio = _ratio(self.accepted.log_likelihood(contexts, grams), self.rejected.log_likelihood(contexts, grams))
+            sums = np.add.reduceat(ratio, np.flatnonzero(np.diff(row, prepend=-1))) / _UNIT / np.bincount(row)
             out[first : first + len(sums)] = sums
         return out
 
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """The rows with the score of their ``text`` (null for a null one)."""
+        shared, place = rows.sparkSession.sparkContext.broadcast(self), rows.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text = batch.column(place)
+                known = text.is_valid()
+                scores, open_ = np.zeros(len(batch)), np.asarray(known)
+                if open_.any():
+                    scores[open_] = shared.value.scores(text.filter(known))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, mask=~open_)], [*batch.schema.names, "score"])
+
+        return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
+
+
+class JoinedModel:
+    """As RatioModel, for counts that are not sent to the tasks."""
+
+    def __init__(self, counts: DataFrame):
+        side = lambda reject, value: F.sum(F.when(F.col("reject") == reject, value).otherwise(0))
+        self.threshold = 0.0
+        self.grams = counts.groupBy("k", "gram").agg(side(False, F.col("n")).alias("n0"), side(True, F.col("n")).alias("n1"))
+        self.contexts = counts.groupBy("k", "context").agg(side(False, F.col("n")).alias("t0"), side(True, F.col("n")).alias("t1"), side(False, F.lit(1)).alias("d0"), side(True, F.lit(1)).alias("d1"))
+
+    def ratios(self, texts: DataFrame) -> DataFrame:
+        """(gram, times, ratio) of the distinct n-grams of the highest order in the texts."""
+
+        def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, contexts, grams in _positions(batch.column(0)):
+                    found, at, n = np.unique(grams[-1], return_index=True, return_counts=True)
+                    lists = [pa.array(list(x[:, at].T.view(np.int64)), pa.list_(pa.int64())) for x in (contexts, grams)]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), *lists], ["last", "times", "contexts", "grams"])
+
+        def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [[r[name] for name in ("n0", "t0", "d0", "n1", "t1", "d1")] for levels in batch.column(2).to_pylist() for r in levels]
+                x = np.array(rows, np.float64).reshape(len(batch), ORDER + 1, 6)
+                side = [_likelihood(*(x[:, :, k].T for k in ks)) for ks in ((0, 1, 2), (3, 4, 5))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ratio(*side))], ["gram", "times", "ratio"])
+
+        found = texts.mapInArrow(grams_of, "last long, times long, contexts array<long>, grams array<long>")
+        found = found.groupBy("last").agg(F.sum("times").alias("times"), F.first("contexts").alias("contexts"), F.first("grams").alias("grams"))
+        levels = cut(found.select("last", "times", F.posexplode(F.arrays_zip("contexts", "grams")).alias("k", "x")).select("last", "times", F.col("k").cast("tinyint").alias("k"), "x.contexts", "x.grams").toDF("last", "times", "k", "context", "gram"))
+        # Contexts of at most one character are few (257) and so are their successors; all n-grams have them.
+        short = levels.filter("k < 2").join(F.broadcast(self.grams.filter("k < 2")), ["k", "gram"], "left").join(F.broadcast(self.contexts.filter("k < 2")), ["k", "context"], "left")
+        long = levels.filter("k >= 2").join(self.grams.filter("k >= 2"), ["k", "gram"], "left").join(self.contexts.filter("k >= 2"), ["k", "context"], "left")
+        joined = short.unionByName(long).fillna(0).groupBy("last", "times").agg(F.array_sort(F.collect_list(F.struct("k", "n0", "t0", "d0", "n1", "t1", "d1"))).alias("levels"))
+        return cut(joined.mapInArrow(value, "gram long, times long, ratio long"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """The rows with the score of their ``text`` (null for a null one)."""
+        keyed = rows.filter("text is not null").withColumn("text_key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+        texts = cut(keyed.select("text", "text_key").dropDuplicates(["text_key"]))
+        ratios = self.ratios(texts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, row, _, grams in _positions(batch.column(0)):
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(first + row)), pa.array(grams[-1].view(np.int64))], ["text_key", "gram"])
+
+        places = texts.mapInArrow(run, "text_key binary, gram long")
+        hot = ratios.orderBy(F.desc("times"), "gram").limit(HOT_GRAMS).select("gram", "ratio")
+        found = places.join(F.broadcast(hot.withColumnRenamed("ratio", "known")), "gram", "left")
+        rest = found.filter("known is null").drop("known").join(ratios.select("gram", "ratio"), "gram")
+        sums = found.filter("known is not null").withColumnRenamed("known", "ratio").unionByName(rest).groupBy("text_key").agg((F.sum("ratio") / F.lit(_UNIT) / F.count("*")).alias("score"))
+        scored = keyed.join(sums, "text_key").select(*rows.columns, "score")
+        return scored.unionByName(rows.filter("text is null").withColumn("score", F.lit(None).cast("double")))
+
 
 def _threshold(bins: list) -> float:
     """Where the mean of the accuracies of both classes is best, in the middle of ties."""
@@ -161,55 +246,37 @@ def _bin(scores: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((scores + _RANGE) / (2 * _RANGE) * (_BINS - 1)), 0, _BINS - 1).astype(np.int32)
 
 
-def fit(decided: DataFrame, model_grams: int = MODEL_GRAMS) -> RatioModel | None:
+def fit(decided: DataFrame, model_grams: int = MODEL_GRAMS) -> RatioModel | JoinedModel | None:
     """A model from (text, reject) rows; None if one class has none."""
-    spark = decided.sparkSession
     counts = cut(_counts(decided))
-    sizes = counts.groupBy("reject", "n").agg(F.count("*").alias("grams")).collect()  # a row for each count that occurs
-    sides = []
-    for reject in (False, True):
-        least, held = 1 << 62, 0
-        for n, grams in sorted(((r["n"], r["grams"]) for r in sizes if r["reject"] == reject), reverse=True):
-            if held + grams > model_grams:
-                break
-            least, held = n, held + grams
-        # At most model_grams rows come to the driver, the most frequent ones; the counts themselves are complete.
-        sides.append(counts.filter((F.col("reject") == reject) & (F.col("n") >= least)).select("context", "gram", "n").collect())
-    if not all(sides):
+    sizes = {r["reject"]: r["count"] for r in counts.groupBy("reject").count().collect()}
+    if len(sizes) < 2:
         return None
-    model = RatioModel(*map(Markov, sides))
-    shared = spark.sparkContext.broadcast(model)
+    if max(sizes.values()) <= model_grams:
+        # All counts of the class come to the driver, model_grams rows at most.
+        model = RatioModel(*(Markov(counts.filter(F.col("reject") == reject).select("context", "gram", "n").collect()) for reject in (False, True)))
+    else:
+        model = JoinedModel(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_bin(shared.value.scores(batch.column(0))))], ["reject", "bin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_bin(np.asarray(batch.column(1))))], ["reject", "bin"])
 
-    bins = decided.mapInArrow(run, "reject boolean, bin int").groupBy("reject", "bin").agg(F.count("*").alias("n"))
+    bins = model.scored(decided).select("reject", "score").mapInArrow(run, "reject boolean, bin int").groupBy("reject", "bin").agg(F.count("*").alias("n"))
     model.threshold = _threshold(bins.collect())
     return model
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", model_grams: int = MODEL_GRAMS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row; score is null where a rule decides."""
     url = pages[url_col]
     host, path = host_of(url), path_of(url)
     rows = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.lower(F.regexp_replace(url, r"(?s)^.*?://", "")), F.lit("")).alias("text"))
     rule, verdict = rule_for(rules, F.col("host"), F.col("path"))
     rows = rows.select("page_id", "host", "path", "text", rule.alias("rule"), verdict.alias("ruled"))
-    model = fit(rows.filter("ruled is not null").select("text", (F.col("ruled") == "block").alias("reject")))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["page_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            ruled = batch.column(5).to_pylist()
-            open_ = np.array([r is None for r in ruled], bool)
-            scores = np.zeros(len(batch))
-            if model is not None and open_.any():
-                scores[open_] = model.scores(batch.column(3).filter(pa.array(open_)))
-            least = 0.0 if model is None else model.threshold
-            verdicts = [r or ("allow" if s >= least else "block") for r, s in zip(ruled, scores.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(verdicts, pa.string()), pa.array(scores, mask=~open_)], ["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    model = fit(rows.filter("ruled is not null").select("text", (F.col("ruled") == "block").alias("reject")), model_grams)
+    rows = rows.withColumn("text", F.when(F.col("ruled").isNull(), F.col("text")))
+    scored = rows.withColumn("score", F.when(F.col("ruled").isNull(), F.lit(0.0))) if model is None else model.scored(rows)
+    least = 0.0 if model is None else model.threshold
+    verdict = F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -269,6 +269,13 @@ def test_url_filter(spark):
     assert got[300].verdict == "block" and got[301].verdict == "allow" and len(got) == len(rows)
 
 
+def test_url_models_are_whole_at_any_size(spark):
+    urls = [f"https://good{k % 7}.com/ok/{k}" for k in range(40)] + [f"https://bad{k % 7}.net/es/casino{k}" for k in range(40)] + [f"https://{x}{k}.org/{y}" for k in range(6) for x, y in (("good", "ok"), ("bad", "casino"), ("new", "é"))] + [None, "", "x" * 500]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0]), (90, urls[90])], "page_id long, url string").repartition(3)
+    whole, joined = (sorted(map(tuple, url_filter.judge(pages, queries.url_rules(), **size).collect()), key=str) for size in ({}, {"model_grams": 20}))
+    assert whole == joined and len(whole) == len(urls) + 2
+
+
 def test_mixing(spark):
     rng = random.Random(12)
     rows = [(k, " ".join("w" for _ in range(rng.randint(0, 30))) or None, rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "src2", "src3", None]), 0) for k in range(300)]
