@@ -7,8 +7,9 @@ that are not empty in a set, any k + 1 hold one in which the other set has just
 k + 1 of its signatures.  Which ones is free as long as all sets prefer them in the same order; the order here is by
 how common a signature is, so those that hold nothing but a widely shared passage are kept by hardly any set.  How
 common they are is counted over all documents into a table of fixed size; an inexact count costs time, never a link.
-A set with no more than k parts in use is signed by each of its members instead.  A set takes part in its own band and,
-if a similar set may be in the next one, in that band too.
+A set with no more than k parts in use keeps all of its signatures, so it shares one with any similar set of more parts,
+and is signed by each of its members besides, for the similar sets that have as few.  A set takes part in its own band
+and, if a similar set may be in the next one, in that band too.
 
 Equal sets are one class throughout.  Sets that share a signature are compared with the least and the greatest member of
 the group first; the links found make components.  Then each component is compared with the nearest other one of its
@@ -87,7 +88,7 @@ def digest(members: np.ndarray) -> bytes:
 
 
 def signatures(members: np.ndarray, like: Similarity, common: np.ndarray | None) -> np.ndarray:
-    """The signatures of a set: all, or with ``common`` the k + 1 least common ones of each band."""
+    """The signatures of a set: all, or with ``common`` the k + 1 least common ones of each band; members where parts are few."""
     size, out = len(members), []
     if not size:
         return members
@@ -104,7 +105,6 @@ def signatures(members: np.ndarray, like: Similarity, common: np.ndarray | None)
         found = textkit.mix64(held ^ (part[order][first].astype(np.uint64) + np.uint64((number + 1) << 40)))
         if len(found) <= k:
             out.append(textkit.mix64(members ^ (_ELEMENTS + np.uint64(number))))
-            found = found if common is None else found[:0]
         elif common is not None and len(found) > k + 1:
             found = found[np.lexsort((found, common[found & np.uint64(len(common) - 1)]))[: k + 1]]
         out.append(found)

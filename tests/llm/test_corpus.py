@@ -140,6 +140,23 @@ def test_jaccard_join(spark, seed):
     assert sorted(tuple(r)[:3] for r in got.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("share", [60, 75, 90])
+def test_similar_sets_share_a_signature(share):
+    like, rng = jaccard_join.Similarity(share), np.random.default_rng(share)
+    common = rng.integers(0, 4, 1 << 12).astype(np.uint8)
+    for a in range(1, 16):
+        for b in range(a, 16):
+            for both in range(1, a + 1):
+                if 100 * both < share * (a + b - both):
+                    continue
+                for _ in range(60):
+                    x = rng.integers(0, 1 << 63, a + b - both, dtype=np.uint64) * np.uint64(2)
+                    if rng.random() < 0.5:
+                        x[: rng.integers(1, len(x) + 1)] >>= np.uint64(5)  # many in one part
+                    one, two = np.sort(x[:a]), np.sort(x[a - both :])
+                    assert np.intersect1d(jaccard_join.signatures(one, like, common), jaccard_join.signatures(two, like, common)).size, (a, b, both)
+
+
 def test_language_model(spark):
     rng = random.Random(8)
     texts = [None, "", "Lone"] + [" ".join(rng.choice(("the of and to in".split(), "der die und das ein".split())[k % 2]) for _ in range(rng.randint(1, 120))) for k in range(150)]
