@@ -3,9 +3,10 @@
 Lexicon: words, and stems (the first letters of words) that stand in clearly more toxic than clean labelled documents,
 with their log odds as weights.  Labels are read from a bounded sample of the labelled rows that may be learned from.
 Matching: a token that is no entry and begins with no stem is run through the automaton of all strings within
-``EDITS`` of it, intersected with the trie of the words; a token is only run if it keeps the first or the last half of
-some word, which every string within one edit does.  A word whose neighbours occur in clean documents of the sample is
-matched exactly only.  Scores: each hit counts by its weight, less for a misspelling, and
+``EDITS`` of it, intersected with the trie of the words, those under a stem too, and of the stems, which a token may go
+on from; it is tried with any two neighbouring letters swapped as well.  Words and stems of ``LONG`` letters or more are
+found within ``LONG_EDITS``.  A token is only run if it keeps a part of some entry that so few edits leave whole.  A
+token that occurs in clean documents of the sample is no misspelling; all others of the same word are.  Scores: each hit counts by its weight, less for a misspelling, and
 by its context: a window of text around it is weighed for quotation marks and verbs of report, which make a quotation,
 and for address in the second person, which makes abuse.  A logistic curve, fitted on the sample, maps the sum to 0..1.
 
@@ -30,7 +31,7 @@ SAMPLE_ROWS, LEXICON_SIZE = 20_000, 400
 #: An entry occurs in this share of the toxic documents of the sample at least, and this many times as often there.
 LEAST_SHARE, LEAST_RATIO = 0.015, 50.0
 STEMS, STEM_GAIN = (4, 5, 6), 1.3
-EDITS, FUZZY_LENGTH, MISSPELT = 1, 5, 0.8
+EDITS, LONG_EDITS, LONG, FUZZY_LENGTH, MISSPELT = 1, 2, 9, 4, 0.8
 WINDOW_CHARS, QUOTED, REPORTED, ADDRESSED = 48, 0.3, 0.6, 1.2
 CACHE_TOKENS = 300_000
 
@@ -63,35 +64,64 @@ class Automaton:
 class Lexicon(dict):
     """Weights of entries; as a dict it is the cache token -> weight (0: no hit)."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str] | None = None):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], inflected: dict[str, float] | None = None, clean: set[str] | None = None):
         super().__init__()
         self.words, self.stems = words, stems
-        self.fuzzy = {w for w in (words if fuzzy is None else fuzzy) if len(w) >= FUZZY_LENGTH}
+        #: Words, and longer stems with a star, under a stem that stands for them if spelt right; no misspellings.
+        self.inflected, self.clean = inflected or {}, clean or set()
+        self.weights = {**{w: x for w, x in self.inflected.items() if w[-1] != "*"}, **words}
+        self.beginnings = {s: x for s, x in {**{w[:-1]: x for w, x in self.inflected.items() if w[-1] == "*"}, **stems}.items() if len(s) > FUZZY_LENGTH}
+        self.begin_sizes = sorted({len(s) for s in self.beginnings})
         self.lengths = sorted({len(s) for s in stems})
-        self.trie: dict = {}
-        self.halves: set[tuple[bool, str]] = set()
-        for word in self.fuzzy:
-            node = self.trie
+        self.tries: dict[int, dict] = {}  # by the edits of their entries
+        self.starts: set[str] = set()
+        self.ends: set[str] = set()
+        self.middles: set[str] = set()
+        for word, stem in [*((w, False) for w in self.weights if len(w) >= FUZZY_LENGTH), *((s, True) for s in self.beginnings)]:
+            node = self.tries.setdefault(self.edits_of(word), {})
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = word
-            cut = len(word) // 2
-            self.halves |= {(True, word[:cut]), (False, word[cut:])}
-        self.sizes = sorted({len(h) for _, h in self.halves})
+            node["*" if stem else ""] = word
+            # As many edits leave one of so many parts whole.
+            n = self.edits_of(word) + 1
+            parts = [word[len(word) * k // n : len(word) * (k + 1) // n] for k in range(n)]
+            self.starts.add(parts[0])
+            (self.middles if stem else self.ends).add(parts[-1])
+            self.middles.update(parts[1:-1])
+        self.sizes = sorted({len(p) for p in self.starts | self.ends})
+        self.middle_sizes = sorted({len(p) for p in self.middles})
 
     @property
     def parts(self) -> tuple:
-        return self.words, self.stems, self.fuzzy
+        return self.words, self.stems, self.inflected, self.clean
+
+    @staticmethod
+    def edits_of(entry: str) -> int:
+        return LONG_EDITS if len(entry) >= LONG else EDITS
 
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE_TOKENS:
             self.clear()
         low = token.lower()
-        if not (value := self.exact(low)) and self.may_be_near(low):
-            value = MISSPELT * max((self.words[w] for w in self.near(low)), default=0.0)
+        if not (value := self.exact(low)) and low not in self.clean:
+            value = MISSPELT * self.misspelt(low)
         self[token] = value
         return value
 
+    def misspelt(self, token: str) -> float:
+        """The greatest weight of what a token may be a misspelling of; else 0."""
+        if len(token) < FUZZY_LENGTH - EDITS:
+            return 0.0
+        found = [self.weights[w] for w in self.near(token)] + [self.beginnings[s] for s in self.near_stems(token)] if self.may_be_near(token) else []
+        # Swapped letters: of a whole word, or of the stem that a longer token goes on from.
+        for k in range(len(token) - 1):
+            if token[k] != token[k + 1]:
+                swapped = token[:k] + token[k + 1] + token[k] + token[k + 2 :]
+                if (weight := self.weights.get(swapped)) is not None and len(swapped) >= FUZZY_LENGTH:
+                    found.append(weight)
+                found += [self.beginnings[swapped[:n]] for n in self.begin_sizes if n > k + 1 and swapped[:n] in self.beginnings]
+        return max(found, default=0.0)
+
     def exact(self, token: str) -> float:
         """The weight of a token that is an entry or begins with one; else 0."""
         if (weight := self.words.get(token)) is not None:
@@ -102,21 +132,34 @@ class Lexicon(dict):
         return 0.0
 
     def may_be_near(self, token: str) -> bool:
-        """False for a token that can't be within one edit of a word: it has neither half of any."""
-        return len(token) >= FUZZY_LENGTH - EDITS and any((True, token[:n]) in self.halves or (False, token[-n:]) in self.halves for n in self.sizes)
+        """False for a token that can't be near an entry: it has no part that the edits would leave whole."""
+        if len(token) < FUZZY_LENGTH - EDITS:
+            return False
+        if any(token[:n] in self.starts or token[-n:] in self.ends for n in self.sizes):
+            return True
+        return any(token[k : k + n] in self.middles for n in self.middle_sizes for k in range(1, len(token) - n + 1))
 
     def near(self, token: str) -> list[str]:
-        """The words within EDITS of a token: its automaton and the trie are walked together."""
-        automaton, found = Automaton(token, EDITS), []
-        open_ = [(self.trie, automaton.start())]
-        while open_:
-            node, state = open_.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    if automaton.accepts(state):
-                        found.append(child)
-                elif (following := automaton.step(state, letter)) is not None:
-                    open_.append((child, following))
+        """The words within the edits for their length of a token: its automaton and the trie are walked together."""
+        return self._walk(token, "")
+
+    def near_stems(self, token: str) -> list[str]:
+        """The stems within the edits for their length of a beginning of a token."""
+        return self._walk(token, "*")
+
+    def _walk(self, token: str, mark: str) -> list[str]:
+        found = []
+        for edits, trie in self.tries.items():
+            automaton = Automaton(token, edits)
+            open_ = [(trie, automaton.start())]
+            while open_:
+                node, state = open_.pop()
+                for letter, child in node.items():
+                    if letter in ("", "*"):
+                        if letter == mark and (automaton.accepts(state) if mark == "" else min(state) <= edits):
+                            found.append(child)
+                    elif (following := automaton.step(state, letter)) is not None:
+                        open_.append((child, following))
         return found
 
     def evidence(self, text: str) -> float:
@@ -181,23 +224,26 @@ def learn(sample: DataFrame) -> Lexicon:
         single = max((w["t"] for x, w in words.items() if x.startswith(stem)), default=0)
         if r["t"] >= STEM_GAIN * single and not any(stem.startswith(s) for s in stems):
             stems[stem] = r["odds"]
-    kept = {x: w["odds"] for x, w in words.items() if not x.startswith(tuple(stems))}
-    return Lexicon(kept, stems, _misspelt(sample, Lexicon(kept, stems)))
+    covered = tuple(stems)
+    kept = {x: w["odds"] for x, w in words.items() if not x.startswith(covered)}
+    inflected = {r["term"]: r["odds"] for r in rows if r["term"].startswith(covered) and r["term"][:-1] not in stems} if covered else {}
+    return Lexicon(kept, stems, inflected, _clean_neighbours(sample, Lexicon(kept, stems, inflected)))
 
 
-def _misspelt(sample: DataFrame, lexicon: Lexicon) -> set[str]:
-    """The words whose misspellings may count: those that clean documents of the sample hardly hold."""
-    shared = sample.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.stems))
+def _clean_neighbours(sample: DataFrame, lexicon: Lexicon) -> set[str]:
+    """The tokens near an entry that are no misspellings: those that clean documents of the sample hold."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shared.value)
         for batch in batches:
-            found = [(w, int(label)) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in {w for t in set(_TOKEN.findall(text)) if not lexicon.exact(t.lower()) and lexicon.may_be_near(t.lower()) for w in lexicon.near(t.lower())}]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], ["word", "toxic"])
+            found = [t for text in batch.column(0).to_pylist() for t in {t.lower() for t in _TOKEN.findall(text)} if not lexicon.exact(t) and lexicon[t]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
 
-    clean = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int").filter("toxic = 0").groupBy("word").agg(F.count("*").alias("n"))
     many = max(1, 0.0005 * sample.filter("toxic = 0").count())
-    return set(lexicon.words) - {r["word"] for r in clean.filter(F.col("n") > many).collect()}  # LEXICON_SIZE rows at most
+    clean = sample.filter("toxic = 0").select("text").mapInArrow(run, "token string").groupBy("token").agg(F.count("*").alias("n"))
+    # Near tokens of SAMPLE_ROWS documents at most.
+    return {r["token"] for r in clean.filter(F.col("n") > many).collect()}
 
 
 def _curve(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:

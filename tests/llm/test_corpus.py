@@ -262,6 +262,25 @@ def test_automaton_and_trie():
         assert not want or lexicon.may_be_near(token)
 
 
+def test_misspellings_of_all_entries(spark):
+    rng = random.Random(13)
+    plain = ["".join(rng.choice("aeiou") + rng.choice("bcdfghkl") for _ in range(3)) for _ in range(300)]
+    rows, labels = [], []
+    for k in range(600):
+        w = [rng.choice(plain) for _ in range(40)]
+        if k % 4 == 0:
+            w[3] = ["moron", "scum", "vermix" + rng.choice(["es", "ed", "ing", "ous"]), "contemptible"][k // 4 % 4]
+        elif k % 4 == 1:
+            w[5] = "oron"
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).lexicon
+    for token in ("moron", "moronn", "morn", "omron", "scumm", "scmu", "skum", "vermixes", "vermxes", "evrmixed", "verrmixing", "contemtible", "contmptibl", "contemptibel", "CONTEMPTIBEL"):
+        assert lexicon[token] > 0, token
+    assert not lexicon["oron"] and not lexicon["meron".replace("e", "ee")] and not any(lexicon[t] for t in plain)
+
+
 def test_top_k(spark):
     rng = random.Random(11)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(40)]) for k in range(300)] + [(300 + k, [0.5] * 40) for k in range(20)]
