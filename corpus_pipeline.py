@@ -16,7 +16,7 @@ from tallyward.plans.lineage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Ids (8 bytes each) of dropped documents that are sent to all tasks at most; with more, texts are shuffled instead.
+#: Ids and text digests (24 bytes each) of dropped documents that are sent to all tasks at most; with more, texts are shuffled instead.
 BROADCAST_IDS = 2_000_000
 
 
@@ -27,11 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = written(found.filter("doc_id != component_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of linked rows one: that with the least id (null last), and of those the least digest of a text."""
+    key = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    rows = written(jaccard_join.jaccard_rows(docs, {"text_key": key}).groupBy("doc_id", "text_key", "part").agg(F.count("*").alias("copies")))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    least = rows.groupBy("part").agg(F.min(order).alias("least"))
+    told = written(rows.join(least, "part").select("doc_id", "text_key", (order == F.col("least")).alias("kept"), "copies").filter("not kept or copies > 1"))
+    # What goes, and what is kept but once though it occurs several times.
+    marks = told.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "kept")
+    few = told.count() <= BROADCAST_IDS
+    keyed = docs.select(*COLUMNS, key.alias("text_key"))
+    same = lambda m: keyed.doc_id.eqNullSafe(m.id_) & (keyed.text_key == m.key_)
+    single = keyed.join(F.broadcast(marks) if few else marks, same(marks), "left_anti").select(*COLUMNS)
+    repeated = marks.filter("kept")
+    if not told.filter("kept").limit(1).count():
+        return single
+    again = keyed.join(F.broadcast(repeated) if few else repeated, same(repeated), "left_semi")
+    return single.unionByName(again.groupBy("doc_id", "text_key").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm import textkit
@@ -400,6 +400,25 @@ def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> D
     return parts
 
 
+def jaccard_rows(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
+    """(doc_id, part, and the columns of ``more``) of every row that has shingles; rows of one component have one part."""
+    source, like = _source(docs, id_col, text_col), Similarity(share)
+    found = similar_classes(source, like, _survey(source, like))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(c.alias(n) for n, c in more.items()))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [None] * len(batch)
+            for row, members in sets_of(batch.column(1)):
+                digests[row] = digest(members) if len(members) else None
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kinds), pa.array(digests, pa.binary())], [*kinds, "digest"])
+
+    digested = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", digest binary").filter("digest is not null")
+    parts = found.withColumnRenamed("node", "digest")
+    return digested.join(parts, "digest", "left").select(*kinds, F.coalesce("component", "digest").alias("part"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, linked) of every row.
 

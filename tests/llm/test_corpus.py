@@ -332,3 +332,15 @@ def test_pipeline_stages(spark):
     want = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.encode(spark, corpus_pipeline.mix_sources(spark, kept, ""), "").count() > 0
+
+
+def test_pipeline_drops_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = "one text that nothing else is like", "two is here and also there", "three of a kind are one too many"
+    rows = [(7, a), (7, b), (3, b), (9, c), (9, c), (None, a + " x y"), (None, c), (5, None), (5, None), (6, ""), (None, "alone without an id but kept")]
+    docs = spark.createDataFrame([(d, t, "en", f"src{k}", len(t or "")) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = [(7, a), (3, b), (9, c), (None, a + " x y"), (5, None), (5, None), (6, ""), (None, "alone without an id but kept")]
+    assert len(shingles(a) & shingles(a + " x y")) * 4 < 3 * len(shingles(a + " x y"))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == corpus_pipeline.COLUMNS
