@@ -157,8 +157,9 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, share: int = 75) -> DataFrame:
     """(doc_id, component_id): documents linked by signature bands and a verified Jaccard similarity of share/100.
 
-    Documents with an equal band are each compared with the least of them, so a large group costs one comparison for
-    each member and band; equal texts are one class throughout.  Bands find a pair at the threshold with a probability
+    Documents with an equal band are each compared with the least of them first; then, as in jaccard_join, each component
+    with the nearest other one of its bands, and at last all that a band still holds of different components.  So near
+    copies cost few comparisons, and no link between components that share a band is lost; equal texts are one class throughout.  Bands find a pair at the threshold with a probability
     of 0.99999 (32 bands of 4); the exact join is in jaccard_join.
     """
     from tallyward.llm import jaccard_join
@@ -169,21 +170,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [None] * len(batch), [None] * len(batch)
+            digests, keys, sizes, bits = ([None] * len(batch) for _ in range(4))
             for row, members in jaccard_join.sets_of(batch.column(1)):
                 if len(members):
-                    digests[row] = jaccard_join.digest(members)
+                    digests[row], sizes[row], bits[row] = jaccard_join.digest(members), len(members), jaccard_join.sketch(members)
                     parts = signature(members).reshape(bands, -1)
                     keys[row] = [hashlib.blake2b(bytes([b]) + p.tobytes(), digest_size=8).digest() for b, p in enumerate(parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.binary()))], ["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "digest", "bands", "size", "bits"])
 
-    rows = cut(source.mapInArrow(run, "doc_id long, digest binary, bands array<binary>"))
+    rows = cut(source.mapInArrow(run, "doc_id long, digest binary, bands array<binary>, size long, bits array<long>"))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"))
     banded = rows.filter("digest is not null").select("digest", F.explode("bands").alias("band")).distinct()
     least = banded.groupBy("band").agg(F.min("digest").alias("a"))
     pairs = banded.join(least, "band").filter("a != digest").select("a", F.col("digest").alias("b")).distinct()
-    links = jaccard_join._links(source, pairs, jaccard_join.Similarity(share))
+    like = jaccard_join.Similarity(share)
+    links = jaccard_join._links(source, pairs, like)
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "digest")
+    sketches = rows.filter("digest is not null").select("digest", "size", "bits").dropDuplicates(["digest"])
+    for nearest in (True, False):
+        named = cut(banded.join(parts, "digest", "left").select(F.col("band").alias("grp"), "digest", F.coalesce("component", "digest").alias("part")))
+        mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
+        left = named.join(mixed, "grp", "left_semi").join(sketches, "digest").select("grp", "digest", "size", "bits", "part")
+        links = links.unionByName(jaccard_join._links(source, jaccard_join._across(left, like, nearest), like))
+        parts = connected_components(links, "a", "b").withColumnRenamed("node", "digest")
     linked = classes.join(parts, "digest", "left").withColumn("part", F.coalesce("component", "digest"))
     lows = linked.groupBy("part").agg(F.min("low").alias("component_id"))
     of_class = linked.join(lows, "part").select("digest", "component_id")

@@ -101,6 +101,18 @@ def test_near_duplicates_by_bands(spark):
     assert {got[k] for k in range(6)} == {0} and all(got[k] == k for k in range(6, len(texts)))
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    rng = random.Random(14)
+    template = [f"t{k}" for k in range(150)]
+    rows = []
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(80):
+        both = own(10)
+        rows += [(len(rows) + k, " ".join([*template, *both, *own(22)])) for k in (0, 1)]
+    got = sorted((r.doc_id, r.component_id) for r in fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(d, low) for d, _, low in brute_components(rows)] and len({low for _, low in got}) == 80
+
+
 def brute_components(rows, share=75):
     sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
 
