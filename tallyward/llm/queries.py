@@ -63,12 +63,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyward.llm.chat_format import Cached, MarkedTemplate, format_conversations, read_back
+    from tallyward.llm.chat_format import MarkedTemplate, format_conversations, read_back
 
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
-    return read_back(format_conversations(rows, Cached(MarkedTemplate())), MarkedTemplate())
+    return read_back(format_conversations(rows, MarkedTemplate()), MarkedTemplate())
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

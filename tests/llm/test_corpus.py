@@ -234,6 +234,13 @@ def test_chat_format(spark):
     assert got[2].n_turns == 2 and got[None].n_turns == 1
 
 
+def test_chat_query_renders_prefixes(spark, monkeypatch):
+    seen, format_conversations = [], chat_format.format_conversations
+    monkeypatch.setattr(chat_format, "format_conversations", lambda rows, template: seen.append(template) or format_conversations(rows, template))
+    assert queries.op7_chat_format(spark, "/root/testdata/sf0.001").count() > 1
+    assert [type(t) for t in seen] == [chat_format.MarkedTemplate]
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     plain = ["".join(rng.choice("aeiou") + rng.choice("bcdfghkl") for _ in range(3)) for _ in range(300)]
