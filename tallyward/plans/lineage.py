@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; an own temporary one only where none is set (local tests)."""
+    """The checkpoint folder of the session; an own temporary one only on a local master that sets none (tests).
+
+    On a cluster a folder of one machine would not be seen by the others, so there an unset one is an error.
+    """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyward-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        folder = tempfile.mkdtemp(prefix="tallyward-")
+    context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -28,4 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet below the shared folder and read again; for wide rows, which it compresses."""
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes what ``written`` made, once nothing reads it any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
