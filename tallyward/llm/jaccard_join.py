@@ -11,11 +11,15 @@ A set with no more than k parts in use keeps all of its signatures, so it shares
 and is signed by each of its members besides, for the similar sets that have as few.  A set takes part in its own band
 and, if a similar set may be in the next one, in that band too.
 
-Equal sets are one class throughout.  Sets that share a signature are compared with the least and the greatest member of
-the group first; the links found make components.  Then each component is compared with the nearest other one of its
-groups, and at last all that a group still holds of different components.  So a large group of near copies costs few
-comparisons for each member and not one for each pair, and no link between different components is lost.  Parity sketches, whose distance never exceeds that of the sets, rule out most of
-what is not similar before any set is moved.  Comparisons are exact, on the sets of shingle hashes (64 bits).
+Equal sets are one class throughout, named by a 64-bit key; a seed under which two classes had one key is replaced.
+Classes that share a signature are a group.  Each is compared with the least and the greatest key of its groups first;
+the links found make components.  Then each component is compared with the nearest other one of its groups, and at last
+all that a group still holds of different components.  So a large group of near copies costs few comparisons for each
+member and not one for each pair, and no link between different components is lost.  Parity sketches, whose distance
+never exceeds that of the sets, rule out most of what is not similar before any set is moved.  Large groups are cut into
+blocks, and each pair of blocks is a unit of work of bounded size.  Signatures of very large groups are dealt out by
+signature and key, so that no task receives such a group alone.  Comparisons are exact, on the sets of shingle hashes
+(64 bits).
 
 Cases: null and empty texts and those without words have an empty set and are linked with nothing; fewer than five
 words make one shingle; rows with equal ids stay rows of their own; a null id never names a component unless all ids in
@@ -28,7 +32,8 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from functools import partial
+from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +43,24 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import textkit
 from tallyward.operators.graph import connected_components
-from tallyward.plans.lineage import cut
+from tallyward.plans.lineage import cut, free, written
 
 #: Slots of the table that says how common signatures are (a byte each); its size does not depend on the input.
 COMMON_SLOTS = 1 << 24
-#: Bits of a set's parity sketch: bit i is the parity of how many members fall on i.  Two sets' sketches differ in no
-#: more bits than the sets do in members.
-SKETCH_BITS = 1024
 _PART = 1 << 16
 #: Signatures to a bucket, at most on average; and those that a task packs before it hands them on.
-BUCKET_SIGNATURES, PACK_SIGNATURES = 1_000_000, 1_500_000
-#: Bits of the table by which tasks leave out sets that no comparison needs; an exact join follows.
-WANTED_SLOTS = 1 << 24
+BUCKET_SIGNATURES, PACK_SIGNATURES = 4_000_000, 1_500_000
+#: A signature counted as often is dealt out by signature and key (if it is as many times the mean count as below).
+HOT_SIGNATURES, HOT_TIMES = 1 << 20, 64
+#: Members to a block of a group.
+BLOCK_MEMBERS = 4096
+#: Sketches of a set have from one to two times as many bits as it has members; at least these.
+LEAST_SKETCH_BITS = 128
+#: Bits for each wanted class in the table by which tasks leave out sets that no comparison needs, and the most bits
+#: that are sent out; an exact join follows, so beyond that it is only less selective.
+WANTED_BITS, WANTED_MOST = 16, 1 << 28
+#: Words of sketches that are compared at once (8 bytes each).
+_AT_ONCE = 1 << 20
 
 _ELEMENTS = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -77,14 +88,25 @@ class Similarity:
         return number, high - 1, 1 if k == 0 else math.ceil(2.5 * k) + 2
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set, as longs."""
-    odd = np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch_bits(size: int) -> int:
+    return LEAST_SKETCH_BITS << max(0, (max(size, 1) * 2 - 1) // LEAST_SKETCH_BITS).bit_length()
 
 
-def digest(members: np.ndarray) -> bytes:
-    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+def sketch(members: np.ndarray) -> bytes:
+    """Parities of a set: bit i says whether an odd number of members fall on i.
+
+    Two sets' sketches differ in no more bits than the sets do in members; the two halves of a sketch laid over each
+    other (exclusive or) are the sketch of half as many bits.
+    """
+    bits = sketch_bits(len(members))
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def digest(members: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """(key, check) of a set."""
+    d = hashlib.blake2b(members.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def signatures(members: np.ndarray, like: Similarity, common: np.ndarray | None) -> np.ndarray:
@@ -111,42 +133,49 @@ def signatures(members: np.ndarray, like: Similarity, common: np.ndarray | None)
     return np.concatenate(out)
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-
-
 def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, shingle set) of each text of a batch."""
     for first, _, data, offsets in textkit.slices(column):
         yield from enumerate(textkit.shingle_sets(textkit.words(data, offsets)), first)
 
 
-def _survey(source: DataFrame, like: Similarity) -> DataFrame:
-    """In one pass: a row for each document (id, size, digest and sketch of its set), and counts of signatures in parts."""
-    names = ["doc_id", "n_shingles", "digest", "bits", "part", "counts", "signatures"]
+def _survey(source: DataFrame, like: Similarity) -> tuple[DataFrame, int]:
+    """In one pass over (text, any other columns): a row for each text (the other columns, size, key and check of its
+    set), and counts of signatures in parts; with the seed of the keys."""
+    others = [f for f in source.schema.fields if f.name != "text"]
+    names = [*(f.name for f in others), "n_shingles", "key", "check", "part", "counts", "signatures"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", n_shingles long, key long, check long, part int, counts binary, signatures long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, total = np.zeros(COMMON_SLOTS, np.uint16), set(), 0
+    def run(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+        table, seen, total, kinds = np.zeros(COMMON_SLOTS, np.uint16), set(), 0, []
         for batch in batches:
-            sizes, digests, bits = np.zeros(len(batch), np.int64), [], []
-            for row, members in sets_of(batch.column(1)):
+            n = len(batch)
+            sizes, keys, checks = np.zeros(n, np.int64), [None] * n, [None] * n
+            for row, members in sets_of(batch.column("text")):
                 sizes[row] = len(members)
-                digests.append(d := digest(members) if len(members) else None)
-                bits.append(sketch(members) if d is not None and d not in seen else None)  # one for each class and task
-                if bits[-1] is not None:
-                    seen.add(d)
+                if not len(members):
+                    continue
+                keys[row], checks[row] = digest(members, seed)
+                if keys[row] not in seen:  # a class counts once for each task
+                    seen.add(keys[row])
                     found = signatures(members, like, None)
                     total += len(found)
                     slot = found & np.uint64(COMMON_SLOTS - 1)
                     table[slot] += table[slot] < 65_535
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            kept = [batch.column(f.name) for f in others]
+            kinds = [c.type for c in kept]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
         if total:
             for k in range(COMMON_SLOTS // _PART):
-                packed = zstandard.compress(table[k * _PART : (k + 1) * _PART].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([packed], pa.binary()), pa.array([0 if k else total])], names)
+                own = table[k * _PART : (k + 1) * _PART]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes())], pa.binary()), pa.array([0 if k else total])], names)
 
-    return cut(source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits array<long>, part int, counts binary, signatures long"))
+    for seed in counter():
+        survey = written(source.mapInArrow(partial(run, seed=seed), schema))
+        clash = survey.filter("key is not null").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b")
+        if not clash.limit(1).count():
+            return survey, seed
+        free(survey)
 
 
 def _common(survey: DataFrame) -> tuple[np.ndarray, int]:
@@ -172,100 +201,104 @@ def _common(survey: DataFrame) -> tuple[np.ndarray, int]:
     return table, total
 
 
-def _groups(source: DataFrame, like: Similarity, table: np.ndarray, total: int) -> DataFrame:
-    """(grp, digest, size): the classes that share a signature, for each signature that more than one class has.
+def _groups(texts: DataFrame, like: Similarity, seed: int, table: np.ndarray, total: int) -> DataFrame:
+    """(grp, key): the classes that share a signature, for each signature that more than one class has.
 
-    Tasks pack their signatures by bucket; a bucket is sorted as arrays.
+    Tasks pack their signatures by bucket: 4 bytes of each (the bucket holds the others; what coincides by chance is only
+    compared in vain) and the key of each class once.  A bucket is sorted as arrays.
     """
-    spark = source.sparkSession
+    spark = texts.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_SIGNATURES))
     shared = spark.sparkContext.broadcast(table)
-    names = ["bucket", "signs", "owner", "digests", "sizes"]
+    hot = 8 * math.log2(1 + max(HOT_SIGNATURES, HOT_TIMES * total / COMMON_SLOTS))
+    names = ["bucket", "signs", "keys", "counts"]
 
-    def pack(digests: list[bytes], sizes: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        owner = np.repeat(np.arange(len(signs), dtype=np.uint32), [len(x) for x in signs])
+    def pack(keys: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.array(keys, np.int64).view(np.uint64), [len(x) for x in signs])
         sign = np.concatenate(signs)
         bucket = ((sign >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # Very common signatures go to a bucket of the signature and the key; these are numbered below 0.
+        often = np.flatnonzero(shared.value[sign & np.uint64(COMMON_SLOTS - 1)] >= hot)
+        bucket[often] = -1 - ((textkit.mix64(sign[often] ^ textkit.mix64(owner[often].copy())) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, sign, owner = bucket[order], sign[order], owner[order]
-        keys = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-        size = np.array(sizes, np.uint32)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
         rows = []
         for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
-            mine, place = np.unique(owner[a:b], return_inverse=True)
-            # 6 bytes of a signature are kept: what coincides by chance is only compared in vain.
-            kept = np.ascontiguousarray(sign[a:b].view(np.uint8).reshape(-1, 8)[:, :6])
-            rows.append((int(bucket[a]), kept.tobytes(), place.astype(np.uint32).tobytes(), keys[mine].tobytes(), size[mine].tobytes()))
+            head = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+            kept = sign[a:b] if bucket[a] < 0 else sign[a:b].astype(np.uint32)
+            rows.append((int(bucket[a]), kept.tobytes(), owner[a:b][head].tobytes(), np.diff(head, append=b - a).astype(np.uint32).tobytes()))
         for k in range(0, len(rows), 64):
             part = list(zip(*rows[k : k + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(x, pa.binary()) for x in part[1:])], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = shared.value, set()
-        digests, sizes, signs, held = [], [], [], 0
+        keys, signs, held = [], [], 0
         for batch in batches:
-            for _, members in sets_of(batch.column(1)):
-                if not len(members) or (d := digest(members)) in seen:
+            for _, members in sets_of(batch.column(0)):
+                if not len(members) or (key := digest(members, seed)[0]) in seen:
                     continue
-                seen.add(d)
-                digests.append(d)
-                sizes.append(len(members))
+                seen.add(key)
+                keys.append(key)
                 signs.append(signatures(members, like, common))
                 held += len(signs[-1])
                 if held >= PACK_SIGNATURES:
-                    yield from pack(digests, sizes, signs)
-                    digests, sizes, signs, held = [], [], [], 0
+                    yield from pack(keys, signs)
+                    keys, signs, held = [], [], 0
         if held:
-            yield from pack(digests, sizes, signs)
+            yield from pack(keys, signs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        now, packs = None, []
         for batch in batches:
-            for bucket, *rest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                held.setdefault(bucket, []).append(rest)
-        for bucket in sorted(held):
-            yield from group(bucket, held.pop(bucket))
+            for bucket, *rest in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now:
+                    if packs:
+                        yield from group(now, packs)
+                    now, packs = bucket, []
+                packs.append(rest)
+        if packs:
+            yield from group(now, packs)
 
     def group(bucket: int, packs: list) -> Iterator[pa.RecordBatch]:
-        keys = np.frombuffer(b"".join(p[2] for p in packs), "V16")
-        keys, place = np.unique(keys, return_inverse=True)  # a class signed by several tasks is one
-        sizes = np.zeros(len(keys), np.uint32)
-        sizes[place] = np.frombuffer(b"".join(p[3] for p in packs), np.uint32)
-        starts = np.cumsum([0, *(len(p[2]) // 16 for p in packs)])
-        owner = place[np.concatenate([np.frombuffer(p[1], np.uint32).astype(np.int64) + s for p, s in zip(packs, starts, strict=False)])]
-        kept = np.frombuffer(b"".join(p[0] for p in packs), np.uint8).reshape(-1, 6)
-        sign = np.zeros((len(kept), 8), np.uint8)
-        sign[:, :6] = kept
-        sign = sign.view(np.uint64).ravel()
-        del kept
+        sign = np.frombuffer(b"".join(p[0] for p in packs), np.uint64 if bucket < 0 else np.uint32)
+        # A class that several tasks have signed is one.
+        keys, owner = np.unique(np.frombuffer(b"".join(p[1] for p in packs), np.uint64), return_inverse=True)
+        owner = np.repeat(owner.astype(np.int32), np.frombuffer(b"".join(p[2] for p in packs), np.uint32))
+        packs.clear()
         order = np.lexsort((owner, sign))
         sign, owner = sign[order], owner[order]
         again = np.zeros(len(sign), bool)
         again[1:] = (sign[1:] == sign[:-1]) & (owner[1:] == owner[:-1])
         sign, owner = sign[~again], owner[~again]
         first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
-        count = np.diff([*first, len(sign)])
-        # Many signatures are shared by just the same classes; one group of them is enough.
-        name = np.add.reduceat(textkit.mix64(owner.astype(np.uint64) + np.uint64(77)), first) + count.astype(np.uint64)
-        several = np.flatnonzero(count > 1)
-        _, one = np.unique(name[several], return_index=True)
-        several = several[one]
-        rows = np.repeat(first[several] - np.concatenate([[0], np.cumsum(count[several])[:-1]]), count[several]) + np.arange(count[several].sum())
-        # Groups of the same classes get the same name in whatever bucket they are.
-        text = np.add.reduceat(textkit.mix64(keys.view(np.uint64).reshape(-1, 2)[owner].sum(axis=1)), first)
-        names = np.repeat(textkit.mix64(text[several] + count[several].astype(np.uint64)), count[several])
-        for k in range(0, len(rows), 50_000):
-            at = owner[rows[k : k + 50_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000].view(np.int64)), pa.array([x.tobytes() for x in keys[at]], pa.binary()), pa.array(sizes[at].astype(np.int64))], ["grp", "digest", "size"])
-
-    packed = source.mapInArrow(sign, "bucket int, signs binary, owner binary, digests binary, sizes binary")
-    grouped = packed.repartition(buckets, "bucket").mapInArrow(gather, "grp long, digest binary, size long")
+        count = np.diff(first, append=len(sign))
+        # Groups are named by what they hold, in whatever bucket they are: many signatures are shared by just the same
+        # classes.  Very common signatures are spread over buckets and give their name to the group.
+        if bucket < 0:
+            chosen, name = np.arange(len(first)), sign[first]
+        else:
+            name = textkit.mix64(np.add.reduceat(textkit.mix64(keys[owner]), first) + count.astype(np.uint64))
+            several = np.flatnonzero(count > 1)
+            _, one = np.unique(name[several], return_index=True)
+            chosen = several[one]
+        ends = np.cumsum(count[chosen])
+        for k in range(0, len(chosen), 4096):
+            part = chosen[k : k + 4096]
+            rows = np.repeat(first[part] - (ends[k : k + 4096] - count[part]), count[part]) + np.arange(ends[k] - count[part[0]], ends[k + len(part) - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.repeat(name[part], count[part]))), pa.array(textkit.signed(keys[owner[rows]]))], ["grp", "key"])
+
+    packed = texts.mapInArrow(sign, "bucket int, signs binary, keys binary, counts binary")
+    grouped = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "grp long, key long")
     return grouped.distinct()
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which the slots of the wanted digests are set (a Bloom filter of one hash)."""
+    """A bit table in which the slots of the wanted keys are set (a Bloom filter of one hash)."""
+    slots = _PART * 8
+    while slots < min(WANTED_MOST, WANTED_BITS * wanted.count()):
+        slots *= 2
 
     def run(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
@@ -275,148 +308,240 @@ def _marks(wanted: DataFrame) -> np.ndarray:
                     held = bits.setdefault(part, np.zeros(_PART, np.uint8))
                     held |= np.frombuffer(zstandard.decompress(data), np.uint8)
             else:
-                for slot in map(_slot, batch.column(0).to_pylist()):
-                    bits.setdefault(slot >> 19, np.zeros(_PART, np.uint8))[slot >> 3 & _PART - 1] |= 1 << (slot & 7)
+                slot = np.unique(batch.column(0).to_numpy() & (slots - 1))
+                for part in np.unique(slot >> 19).tolist():
+                    mine = slot[slot >> 19 == part] & (_PART * 8 - 1)
+                    np.bitwise_or.at(bits.setdefault(part, np.zeros(_PART, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([zstandard.compress(x.tobytes()) for x in bits.values()], pa.binary())], ["part", "data"])
 
-    table = np.zeros(WANTED_SLOTS // 8, np.uint8)
-    own = wanted.mapInArrow(lambda it: run(it, False), "part int, data binary")
-    # WANTED_SLOTS / 8 bytes come to the driver at most.
-    for row in own.repartition("part").mapInArrow(lambda it: run(it, True), "part int, data binary").toLocalIterator():
+    table = np.zeros(slots // 8, np.uint8)
+    own = wanted.select("key").mapInArrow(partial(run, merge=False), "part int, data binary")
+    # WANTED_MOST / 8 bytes (32 MB) come to the driver at most.
+    for row in own.repartition("part").mapInArrow(partial(run, merge=True), "part int, data binary").toLocalIterator():
         table[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
     return table
 
 
-def _slot(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little") % WANTED_SLOTS
-
-
-def _wanted_sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, members) of the classes named in ``wanted`` (distinct digests)."""
-    shared = source.sparkSession.sparkContext.broadcast(_marks(wanted))
+def _members(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(key, size, sketch, members) of the wanted classes (distinct keys), written once."""
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = shared.value, set()
         for batch in batches:
-            digests, members = [], []
-            for _, x in sets_of(batch.column(1)):
-                d = digest(x) if len(x) else None
-                if d is None or d in seen or not marks[(slot := _slot(d)) >> 3] >> (slot & 7) & 1:
+            keys, members = [], []
+            for _, x in sets_of(batch.column(0)):
+                key = digest(x, seed)[0] if len(x) else None
+                if key is None or key in seen or not marks[(slot := key & (len(marks) * 8 - 1)) >> 3] >> (slot & 7) & 1:
                     continue
-                seen.add(d)
-                digests.append(d)
-                members.append(textkit.signed(x))
-            for k in range(0, len(digests), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(digests[k : k + 256], pa.binary()), pa.array(members[k : k + 256], pa.list_(pa.int64()))], ["digest", "members"])
+                seen.add(key)
+                keys.append(key)
+                members.append(x)
+            for k in range(0, len(keys), 256):
+                part = members[k : k + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array([sketch(x) for x in part], pa.binary()), pa.array([textkit.signed(x) for x in part], pa.list_(pa.int64()))], ["key", "size", "sketch", "members"])
 
-    # A few sets that the filter lets through in vain do no harm; each task sends a set once.
-    return source.mapInArrow(run, "digest binary, members array<long>").groupBy("digest").agg(F.first("members").alias("members"))
+    # Sets that the table lets through in vain do no harm; a class comes once from each task that has it.
+    found = texts.mapInArrow(run, "key long, size long, sketch binary, members array<long>")
+    return written(found.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("members").alias("members")))
 
 
-def _links(source: DataFrame, pairs: DataFrame, like: Similarity) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    pairs = cut(pairs)
-    sets = cut(_wanted_sets(source, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
-    joined = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
+    sets = members.select("key", "members")
+    joined = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return cut(joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b"))
 
 
+def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches with as many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _near_pairs(pairs: DataFrame, members: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b, apart): those of the pairs (a, b) that sizes and sketches don't rule out."""
+    narrow = members.select("key", "size", "sketch")
+    sized = pairs.join(narrow.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(narrow.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b")
+    sized = sized.filter(f"100 * least(m, n) >= {like.share} * greatest(m, n)").select("a", "b", "m", "n", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.zeros(len(batch), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+                words = min(x.shape[1], y.shape[1])
+                apart[k] = np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum()
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = np.flatnonzero(apart * (100 + like.share) <= size * (100 - like.share))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(apart[near])], ["a", "b", "apart"])
+
+    return sized.mapInArrow(run, "a long, b long, apart long")
+
+
+def unit_pairs(key: np.ndarray, block: np.ndarray, size: np.ndarray, sketches: list[bytes], part: np.ndarray, like: Similarity, nearest: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(part of a, part of b, apart, a, b) arrays of the pairs of a unit, of different components, that sizes and
+    sketches don't rule out; of a unit of two blocks only the pairs across."""
+    order = np.argsort(size, kind="stable")
+    key, block, size, part = key[order], block[order], size[order], part[order]
+    words = np.array([len(sketches[k]) // 8 for k in order])
+    across = block[0] != block[-1] or (block != block[0]).any()
+    # Sizes are sorted and so are the lengths of the sketches.
+    lengths = np.unique(words).tolist()
+    tables = {w: np.frombuffer(b"".join(sketches[k] for k in order[words == w]), np.uint64).reshape(-1, w) for w in lengths}
+    starts = {w: int(np.searchsorted(words, w)) for w in lengths}
+    for w in lengths:
+        own, base = tables[w], starts[w]
+        for other in lengths:
+            if other < w:
+                continue
+            rest, from_ = _fold(tables[other], w), starts[other]
+            i = 0
+            while i < len(own):
+                low = max(from_, base + i + 1)
+                high = from_ + len(rest)
+                step = max(1, min(len(own) - i, _AT_ONCE // max(1, w * max(1, high - low))))
+                high = min(high, int(np.searchsorted(size, size[base + i + step - 1] * 100 // like.share, "right")))
+                if high > low:
+                    apart = np.bitwise_count(own[i : i + step, None] ^ rest[None, low - from_ : high - from_]).sum(axis=2, dtype=np.int64)
+                    x, y = np.arange(base + i, base + i + step)[:, None], np.arange(low, high)[None]
+                    near = (y > x) & (apart * (100 + like.share) <= (size[x] + size[y]) * (100 - like.share)) & (size[y] * like.share <= size[x] * 100) & (part[x] != part[y])
+                    if across:
+                        near &= block[x] != block[y]
+                    p, q = np.nonzero(near)
+                    if len(p):
+                        a, b = key[base + i + p], key[low + q]
+                        yield part[base + i + p], part[low + q], apart[p, q], a, b
+                i += step
+
+
+def _least_apart(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (part, apart, a, b) arrays the row of each part that is least apart."""
+    part, apart, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, a, apart, part))
+    order = order[np.concatenate([[True], part[order][1:] != part[order][:-1]])]
+    return part[order], apart[order], a[order], b[order]
+
+
 def _across(groups: DataFrame, like: Similarity, nearest: bool) -> DataFrame:
-    """(a, b): pairs of one group, of different components, that their sketches don't rule out.
+    """(a, b): pairs of one group, of different components, that sizes and sketches don't rule out.
 
-    groups: (grp, digest, size, bits, part).  With ``nearest`` each component gets one pair only, the one whose sketches
-    differ least.  A group is compared row by row, as arrays, as it comes by.
+    groups: (grp, key, n, size, sketch, part), n being the members of the group.  With ``nearest`` each component gets one
+    pair only, that whose sketches differ least.
     """
-
-    def pairs(held: list) -> Iterator[tuple[bytes, int, bytes, bytes]]:
-        digests, sizes, bits, parts = zip(*held, strict=True)
-        size, sketches = np.array(sizes), np.array(bits, np.int64).view(np.uint64)
-        _, part = np.unique(np.frombuffer(b"".join(parts), "V16"), return_inverse=True)
-        best: dict[int, tuple[int, int, int]] = {}
-        for k in range(len(held)):
-            # The nearest one is sought among all others; pairs are listed once.
-            start = 0 if nearest else k + 1
-            rest = np.flatnonzero(part[start:] != part[k]) + start
-            rest = rest[100 * np.minimum(size[rest], size[k]) >= like.share * np.maximum(size[rest], size[k])]
-            apart = np.bitwise_count(sketches[rest] ^ sketches[k]).sum(axis=1, dtype=np.int64)
-            near = apart * (100 + like.share) <= (size[rest] + size[k]) * (100 - like.share)
-            rest, apart = rest[near], apart[near]
-            if not nearest:
-                for j in rest.tolist():
-                    yield parts[k], 0, min(digests[k], digests[j]), max(digests[k], digests[j])
-            elif len(rest) and (found := (int(apart.min()), k, int(rest[apart.argmin()]))) < best.get(int(part[k]), (1 << 30,)):
-                best[int(part[k])] = found
-        for apart, k, j in best.values():
-            yield parts[k], apart, min(digests[k], digests[j]), max(digests[k], digests[j])
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("long")
+    own = F.pmod(F.xxhash64("key"), blocks)
+    units = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select("grp", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "key", "own", "size", "sketch", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
-        seen: set = set()
-
-        def out() -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*seen, strict=True), kinds, strict=True)], ["part", "apart", "a", "b"])
-
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            seen.update(pairs([r[1:] for r in group]))
-            if len(seen) >= 50_000:
-                yield out()
-                seen = set()
-        if seen:
-            yield out()
-
-    found = groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "part binary, apart long, a binary, b binary")
+        now, held, found, waiting = None, [], [], 0
+
+        def out(found: list) -> pa.RecordBatch:
+            part, apart, a, b = _least_apart(found) if nearest else (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(apart), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["part", "apart", "a", "b"])
+
+        def pairs() -> Iterator[tuple[np.ndarray, ...]]:
+            key, block, size, part = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 4))
+            sketches = [x for h in held for x in h[3]]
+            if len(key) > 1:
+                for p, q, apart, a, b in unit_pairs(key, block, size, sketches, part, like, nearest):
+                    yield p, apart, a, b
+                    if nearest:
+                        yield q, apart, a, b
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal found, waiting
+            for x in pairs():
+                found.append(x)
+                waiting += len(x[0])
+                if waiting >= 200_000:
+                    if nearest:
+                        found = [_least_apart(found)]
+                        waiting = len(found[0][0])
+                    if waiting >= 100_000:
+                        yield out(found)
+                        found, waiting = [], 0
+
+        for batch in batches:
+            unit = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            edges = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
+            columns = [batch.column(k).to_numpy() for k in (3, 4, 5)]
+            sketches, part = batch.column(6).to_pylist(), batch.column(7).to_numpy()
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(unit)], strict=True):
+                if (name := unit[a].tobytes()) != now:
+                    if held:
+                        yield from flush()
+                    now, held = name, []
+                held.append((columns[0][a:b], columns[1][a:b], columns[2][a:b], sketches[a:b], part[a:b]))
+        if held:
+            yield from flush()
+        if found:
+            yield out(found)
+
+    found = units.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "part long, apart long, a long, b long")
     if nearest:
         found = found.groupBy("part").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
     return found.select("a", "b").distinct()
 
 
-def similar_classes(source: DataFrame, like: Similarity, survey: DataFrame) -> DataFrame:
-    """(node, component) over the digests of the sets that have a similar one."""
+def _joined_parts(parts: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(key, part) of all classes that have links, after links are added to those known."""
+    if parts is None:
+        return written(connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("part"))) if links.limit(1).count() else None
+    if not links.limit(1).count():
+        return parts
+    of = lambda name: parts.select(F.col("key").alias(name), F.col("part").alias(f"p{name}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb"))
+    named = cut(named)
+    merged = cut(connected_components(named, "pa", "pb"))
+    every = parts.unionByName(named.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("pa").alias("part")), F.struct(F.col("b").alias("key"), F.col("pb").alias("part")))).alias("e")).select("e.key", "e.part")).distinct()
+    out = written(every.join(merged.select(F.col("node").alias("part"), "component"), "part", "left").select("key", F.coalesce("component", "part").alias("part")))
+    free(parts)
+    return out
+
+
+def similar_classes(texts: DataFrame, like: Similarity, survey: DataFrame, seed: int) -> DataFrame:
+    """(key, part) of the classes that have a similar one; those of one component have one part."""
     table, total = _common(survey)
-    sketches = survey.filter("bits is not null").select("digest", "bits", F.col("n_shingles").alias("size")).dropDuplicates(["digest"])
-    groups = cut(_groups(source, like, table, total))
+    groups = written(_groups(texts, like, seed, table, total))
+    wanted = cut(groups.select("key").distinct())
+    members = _members(texts, wanted, seed)
+    counted = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
 
     # Each with the nearer one of the least and the greatest of its group.
-    ends = groups.groupBy("grp").agg(F.min(F.struct("digest", "size")).alias("p"), F.max(F.struct("digest", "size")).alias("q")).select("grp", F.explode(F.array("p", "q")).alias("e")).select("grp", F.col("e.digest").alias("a"), F.col("e.size").alias("size2"))
-    star = groups.join(ends, "grp").filter((F.col("a") != F.col("digest")) & (100 * F.least("size", "size2") >= like.share * F.greatest("size", "size2")))
-    star = star.select("a", F.col("digest").alias("b"), (F.col("size") + F.col("size2")).alias("n")).distinct()
-    # Sets of a and b members that are similar enough differ in (a + b) * (100 - share) / (100 + share) members at most.
-    star = star.join(sketches.select(F.col("digest").alias("a"), F.col("bits").alias("x")), "a").join(sketches.select(F.col("digest").alias("b"), F.col("bits").alias("y")), "b")
-    star = star.select("a", "b", "n", F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x).alias("apart"))
-    star = star.filter(F.col("apart") * (100 + like.share) <= F.col("n") * (100 - like.share)).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
-    links = _links(source, star.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), like)
-    parts = connected_components(links, "a", "b")
+    ends = groups.join(counted, "grp").select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).filter("a != b").distinct()
+    near = _near_pairs(ends, members, like).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
+    pairs = near.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
+    parts = _joined_parts(None, _links(pairs, members, like))
 
     # What a group then holds of different components: first the nearest pair of each component, then all that is left.
     for nearest in (True, False):
-        named = cut(groups.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("grp", "digest", "size", F.coalesce("component", "digest").alias("part")))
-        mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
-        groups = named.join(mixed, "grp", "left_semi").select("grp", "digest", "size")
-        left = named.join(mixed, "grp", "left_semi").join(sketches.select("digest", "bits"), "digest").select("grp", "digest", "size", "bits", "part")
-        links = links.unionByName(_links(source, _across(left, like, nearest), like))
-        parts = connected_components(links, "a", "b")
-    return parts
+        held = groups.select("grp", "key")
+        part = written(held.withColumn("part", F.col("key")) if parts is None else held.join(parts, "key", "left").select("grp", "key", F.coalesce("part", "key").alias("part")))
+        mixed = part.groupBy("grp").agg(F.count("*").alias("n"), F.min(F.struct("part", "key")).alias("p"), F.max(F.struct("part", "key")).alias("q")).filter("p.part != q.part")
+        of_two = mixed.filter("n = 2").select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+        larger = part.join(mixed.filter("n > 2").select("grp", "n"), "grp").join(members.select("key", "size", "sketch"), "key").select("grp", "key", "n", "size", "sketch", "part")
+        pairs = _across(larger, like, nearest)
+        if nearest:
+            pairs = pairs.unionByName(_near_pairs(of_two, members, like).select("a", "b")).distinct()
+        parts = _joined_parts(parts, _links(pairs, members, like))
+        free(groups)
+        groups = part
+    free(groups, members)
+    return parts if parts is not None else texts.sparkSession.createDataFrame([], "key long, part long")
 
 
 def jaccard_rows(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """(doc_id, part, and the columns of ``more``) of every row that has shingles; rows of one component have one part."""
-    source, like = _source(docs, id_col, text_col), Similarity(share)
-    found = similar_classes(source, like, _survey(source, like))
+    like = Similarity(share)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(c.alias(n) for n, c in more.items()))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [None] * len(batch)
-            for row, members in sets_of(batch.column(1)):
-                digests[row] = digest(members) if len(members) else None
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kinds), pa.array(digests, pa.binary())], [*kinds, "digest"])
-
-    digested = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", digest binary").filter("digest is not null")
-    parts = found.withColumnRenamed("node", "digest")
-    return digested.join(parts, "digest", "left").select(*kinds, F.coalesce("component", "digest").alias("part"))
+    survey, seed = _survey(rows, like)
+    parts = similar_classes(rows.select("text"), like, survey, seed)
+    return survey.filter("key is not null").join(parts, "key", "left").select("doc_id", *more, F.coalesce("part", "key").alias("part"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
@@ -425,15 +550,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the least id that is reachable by links of similarity share/100 or more; linked says whether the
     row has any.
     """
-    source, like = _source(docs, id_col, text_col), Similarity(share)
-    survey = _survey(source, like)
-    rows = survey.filter("part is null").select("doc_id", "n_shingles", "digest")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    found = similar_classes(source, like, survey)
-    named = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "low", "copies", F.col("component").alias("part"))
+    like = Similarity(share)
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    survey, seed = _survey(source, like)
+    rows = survey.filter("part is null").select("doc_id", "n_shingles", "key")
+    parts = similar_classes(source.select("text"), like, survey, seed)
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    named = classes.join(parts, "key", "left")
     # A class without links is a component of its own; only the others are aggregated.
     linked = named.filter("part is not null")
     lows = linked.groupBy("part").agg(F.min("low").alias("component_id"))
-    of_class = linked.join(lows, "part").select("digest", "component_id", F.lit(True).alias("linked")).unionByName(named.filter("part is null").select("digest", F.col("low").alias("component_id"), (F.col("copies") > 1).alias("linked")))
-    joined = rows.filter("digest is not null").join(of_class, "digest").select("doc_id", "n_shingles", "component_id", "linked")
-    return joined.unionByName(rows.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(False).alias("linked")))
+    of_class = linked.join(lows, "part").select("key", "component_id", F.lit(True).alias("linked")).unionByName(named.filter("part is null").select("key", F.col("low").alias("component_id"), (F.col("copies") > 1).alias("linked")))
+    joined = rows.filter("key is not null").join(of_class, "key").select("doc_id", "n_shingles", "component_id", "linked")
+    return joined.unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(False).alias("linked")))

@@ -132,8 +132,12 @@ def brute_components(rows, share=75):
     return sorted((d, len(sets[i]), low[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_join(spark, seed):
+@pytest.mark.parametrize(("seed", "block", "hot"), [(3, 4096, 1 << 20), (4, 2, 1 << 20), (5, 3, 2)])
+def test_jaccard_join(spark, seed, block, hot, monkeypatch):
+    # Blocks of few members, and nearly all signatures dealt out as very common ones, change nothing.
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(jaccard_join, "HOT_SIGNATURES", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_TIMES", 0)
     rng = random.Random(seed)
     words, rows = [f"w{k}" for k in range(200)], []
     passage = " ".join(rng.choice(words) for _ in range(60))
@@ -152,6 +156,38 @@ def test_jaccard_join(spark, seed):
     assert sorted(tuple(r)[:3] for r in got.collect()) == brute_components(rows)
 
 
+def test_jaccard_join_of_a_large_family(spark):
+    # 120 near copies in a chain: neighbours are linked, those far apart are not, and all share most signatures.
+    rng, texts = random.Random(9), []
+    base = [f"b{k}" for k in range(120)]
+    for k in range(120):
+        texts.append(" ".join(base))
+        base[rng.randrange(len(base))] = f"n{k}"
+    rows = list(enumerate(texts)) + [(500, None), (None, "x y z"), (None, texts[0])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute_components([r for r in rows if r[0] is not None])
+    assert sorted(tuple(r)[:3] for r in got if r.doc_id is not None) == want
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(1, None), (116, want[0][2])]
+    assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_unit_pairs():
+    rng, like = np.random.default_rng(4), jaccard_join.Similarity(75)
+    pool, sets = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64)), []
+    for n in rng.integers(3, 600, 60):
+        sets.append(np.sort(rng.choice(pool, n, replace=False)))
+        sets.append(np.unique(np.concatenate([sets[-1][: -max(1, n // 20)], rng.choice(pool, max(1, n // 30))])))
+    key, part = np.arange(len(sets)), rng.integers(0, 70, len(sets))
+    for block in (np.zeros(len(sets), np.int64), rng.integers(0, 2, len(sets))):
+        found = jaccard_join.unit_pairs(key, block, np.array([len(x) for x in sets]), [jaccard_join.sketch(x) for x in sets], part, like, False)
+        got = {(min(a, b), max(a, b)) for x in found for a, b in zip(x[3].tolist(), x[4].tolist(), strict=True)}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = np.intersect1d(sets[a], sets[b]).size
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and part[a] != part[b] and (not block.any() or block[a] != block[b]):
+                    assert (a, b) in got
+
+
 @pytest.mark.parametrize("share", [60, 75, 90])
 def test_similar_sets_share_a_signature(share):
     like, rng = jaccard_join.Similarity(share), np.random.default_rng(share)
