@@ -8,6 +8,10 @@ by rendering the turn with a probe in place of its text.  The loss mask is the s
 
 :class:`MarkedTemplate` marks turns with control strings and escapes, reversibly, what could be read as one in a text.
 
+The probe is a character that is in none of the conversation's roles and texts.  Rendering every prefix takes time that
+grows with the square of a conversation's length, and a conversation is rendered in one task: no less is known of a
+black box.
+
 Cases: null texts and roles are empty; turns are ordered by turn number, role and text (nulls first); rows without a
 conversation id form one conversation; repeated rows are turns each; an empty table gives an empty result.
 """
@@ -25,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-#: A private-use character that is no text's whole content; the escape of a template leaves it alone.
-PROBE = ""
+#: Code points of private use, of which a probe is made; a template's escapes leave them alone.
+PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
+#: Code points of formatted text that are handed on in one batch, about.
+BATCH_CHARS = 4 << 20
 
 
 class Template(Protocol):
@@ -63,17 +69,31 @@ class Formatted:
     rewritten_at: int | None = None
 
 
+def probe_for(turns: list[Turn]) -> str:
+    """A private-use character that is in no role or text of these turns; if all are, a longer run of one than any there."""
+    held = set().union(*(part for turn in turns for part in turn)) if turns else set()
+    for points in PRIVATE:
+        for k in points:
+            if chr(k) not in held:
+                return chr(k)
+    one = chr(PRIVATE[0][0])
+    probe = one + one
+    while any(probe[1:] in part for turn in turns for part in turn):
+        probe += one
+    return probe
+
+
 def format_turns(template: Template, turns: list[Turn]) -> Formatted:
     """Renders a conversation and locates its turns."""
-    before, spans = template.render([]), []
-    for k, (role, text) in enumerate(turns):
+    before, spans, probe = template.render([]), [], probe_for(turns)
+    for k, (role, _) in enumerate(turns):
         now = template.render(turns[: k + 1])
         if not now.startswith(before):
             return Formatted(template.render(turns), [], k)
-        probed = template.render([*turns[:k], (role, PROBE)])
-        if not probed.startswith(before) or (at := probed.find(PROBE, len(before))) < 0:
+        probed = template.render([*turns[:k], (role, probe)])
+        if not probed.startswith(before) or (at := probed.find(probe, len(before))) < 0:
             return Formatted(template.render(turns), [], k)
-        tail = probed[at + len(PROBE) :]
+        tail = probed[at + len(probe) :]
         end = len(now) - len(tail)
         if end < at or not now.endswith(tail) or now[:at] != probed[:at]:
             return Formatted(template.render(turns), [], k)
@@ -82,26 +102,6 @@ def format_turns(template: Template, turns: list[Turn]) -> Formatted:
     return Formatted(before, spans)
 
 
-class Cached:
-    """A template whose rendering of a turn depends on that turn alone, with the turns' renderings kept.
-
-    The prefixes of a conversation are rendered again and again; this only saves work, the outputs are the same.
-    """
-
-    def __init__(self, template: Template):
-        self.template, self.kept = template, {}
-
-    def render(self, turns: list[Turn]) -> str:
-        return "".join([self._one(t) for t in turns])
-
-    def _one(self, turn: Turn) -> str:
-        if (text := self.kept.get(turn)) is None:
-            if len(self.kept) > 1000:
-                self.kept.clear()
-            text = self.kept[turn] = self.template.render([turn])
-        return text
-
-
 def _conversations(rows: DataFrame):
     """Turn rows in partitions sorted so that each conversation's turns follow each other."""
     source = rows.select(F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -118,10 +118,25 @@ def format_conversations(rows: DataFrame, template: Template, loss_role: str = "
     """(conv_id, formatted, turn_spans, loss_spans, rewritten_at) for each conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.list_(pa.int64()))
+        kinds = {"conv_id": pa.int64(), "formatted": pa.string(), "turn_spans": spans, "loss_spans": spans, "rewritten_at": pa.int64()}
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+
+        chars = 0
         for key, turns in _grouped(batches):
             f = format_turns(template, turns)
             loss = [[a, b] for (role, _), (_, _, a, b) in zip(turns, f.spans, strict=False) if role == loss_role]
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([f.text]), pa.array([[list(s) for s in f.spans]], pa.list_(pa.list_(pa.int64()))), pa.array([loss], pa.list_(pa.list_(pa.int64()))), pa.array([f.rewritten_at], pa.int64())], ["conv_id", "formatted", "turn_spans", "loss_spans", "rewritten_at"])
+            held.append((key, f.text, [list(s) for s in f.spans], loss, f.rewritten_at))
+            chars += len(f.text) + 100
+            if chars >= BATCH_CHARS:
+                yield out()
+                held.clear()
+                chars = 0
+        if held:
+            yield out()
 
     return _conversations(rows).mapInArrow(run, "conv_id long, formatted string, turn_spans array<array<long>>, loss_spans array<array<long>>, rewritten_at long")
 

@@ -7,17 +7,20 @@ similarity of the shingle sets.  All of it is numpy on many shingles at once.
 
 :func:`with_next` gives each document together with the one that follows it by descending id, without ever sorting the
 table in one place: ids alone give the borders of value ranges, every range is sorted on its own, and the first row of
-a range is copied to the end of the range before it.
+a range is copied to the end of the range before it.  There are as many ranges as the texts' bytes ask for.  Rows with
+equal ids follow each other by the hash of their text, so an id (or the lack of one) that very many rows have is split
+over several ranges by that hash.
 
 Cases: a text without words has the fingerprint of the empty set, which is like another such and unlike all else; a
-null text counts as empty; fewer than five words make one shingle; rows with equal ids are ordered by text, rows without
-id come last; a single row is its own next; an empty table gives an empty result.
+null text counts as empty; fewer than five words make one shingle; rows with equal ids are ordered by hash and text, rows
+without id come last; a single row is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tallyward.llm import textkit
 
 PERMUTATIONS = 128
-#: Value ranges at most, whose borders (16 bytes each) are sent to the tasks.
-RANGES_MOST = 1 << 16
+#: Bytes of text to a range, about; and ranges at most, whose borders (24 bytes each) are sent to the tasks.
+RANGE_BYTES, RANGES_MOST = 64 << 20, 1 << 16
 _COLUMNS = 1024
 
 _rng = np.random.default_rng(20_011)
@@ -73,47 +76,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+class _Ranges:
+    """Which range a row belongs to: numbers rise with the id, and for one id as the hash falls."""
+
+    def __init__(self, cuts: list[int], without: int):
+        #: Ranges of the rows without id; borders; ranges of a border's own rows, more than one if very many have that id.
+        self.without = without
+        self.cuts, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.own = np.where(times > 1, times, 0)
+        self.first = without + 1 + np.concatenate([[0], np.cumsum(self.own + 1)[:-1]]) if len(self.cuts) else np.zeros(0, np.int64)
+
+    def place(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        x = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        turned = (~hashes).view(np.uint64) ^ np.uint64(1 << 63)  # the greatest hash comes first
+        share = lambda n: ((turned >> np.uint64(32)) * n.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        out = np.full(len(x), self.without, np.int64)
+        if len(self.cuts):
+            at = np.searchsorted(self.cuts, x, "right") - 1
+            k = np.maximum(at, 0)
+            own = (at >= 0) & (self.cuts[k] == x) & (self.own[k] > 0)
+            out = np.where(at < 0, out, np.where(own, self.first[k] + share(self.own[k]), self.first[k] + self.own[k]))
+        return np.where(known, out, share(np.full(len(x), self.without)))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """(range, copied, doc_id, text), in partitions sorted by range, descending id and text.
+    """(range, copied, doc_id, text), in partitions sorted by range, descending id, hash and text.
 
     Behind the rows of each range comes a copied row: the document that follows its last one.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ids = source.select("doc_id")
-    ranges = min(RANGES_MOST, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    source = source.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    told = source.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = min(RANGES_MOST, ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (told["bytes"] or 0) // RANGE_BYTES + 1))
     shares = [k / ranges for k in range(1, ranges)] or [0.5]
-    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"] or []
-    cuts = np.unique(np.array(found, np.int64))
+    cuts = source.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"] or []
+    dealing = _Ranges(cuts, max(1, -(-ranges * (told["n"] - told["known"]) // max(1, told["n"]))))
 
-    def place(keys: pa.Array) -> np.ndarray:
-        """Range of each id; 0 for those without."""
-        known = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
-        return np.where(keys.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(cuts, known, "right") + 1, 0).astype(np.int32)
-
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each range the first row: the greatest id, and the least hash of that."""
         for batch in batches:
-            at = place(batch.column(0))
-            table = pa.table({"range": at, "top": batch.column(0)}).group_by("range").aggregate([("top", "max")])
-            yield from table.select(["range", "top_max"]).rename_columns(["range", "top"]).to_batches()
-
-    # One row for each range: at most RANGES_MOST.
-    tops = dict(ids.mapInArrow(largest, "range int, top long").groupBy("range").agg(F.max("top")).collect())
+            hashes = batch.column(1).to_numpy()
+            at, ids = dealing.place(batch.column(0), hashes), pc.fill_null(batch.column(0), 0).to_numpy()
+            order = np.lexsort((hashes, ~ids, at))
+            order = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(at[order]), batch.column(0).take(pa.array(order)), pa.array(~hashes[order])], ["range", "top", "turned"])
+
+    # One row for each range: 2 * RANGES_MOST at most.
+    firsts = source.select("doc_id", "hash").mapInArrow(ends, "range long, top long, turned long").groupBy("range").agg(F.max(F.struct("top", "turned")).alias("m")).select("range", "m.*").collect()
+    tops = {r["range"]: (r["top"], ~r["turned"]) for r in firsts}
     order = sorted(tops, reverse=True)
     before = dict(zip(order[1:] + order[:1], order, strict=True))  # the range in front of each, around the end
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["range", "copied", "doc_id", "hash", "text"]
         for batch in batches:
-            keys, at = batch.column(0), place(batch.column(0))
-            leads = [k for k, (r, x) in enumerate(zip(at.tolist(), keys.to_pylist(), strict=True)) if tops[r] == x]
-            names = ["range", "copied", "doc_id", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), keys, batch.column(1)], names)
+            keys, hashes = batch.column(0), batch.column(2)
+            at = dealing.place(keys, hashes.to_numpy())
+            leads = [k for k, (r, x, h) in enumerate(zip(at.tolist(), keys.to_pylist(), hashes.to_pylist(), strict=True)) if tops[r] == (x, h)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), keys, hashes, batch.column(1)], names)
             if leads:
-                to = pa.array([before[int(at[k])] for k in leads], pa.int32())
-                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(leads), bool)), keys.take(pa.array(leads)), batch.column(1).take(pa.array(leads))], names)
+                to, rows = pa.array([before[int(at[k])] for k in leads], pa.int64()), pa.array(leads)
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(leads), bool)), keys.take(rows), hashes.take(rows), batch.column(1).take(rows)], names)
 
-    dealt = source.mapInArrow(deal, "range int, copied boolean, doc_id long, text string")
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", "copied", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    dealt = source.mapInArrow(deal, "range long, copied boolean, doc_id long, hash long, text string")
+    return dealt.repartition(ranges, "range").sortWithinPartitions("range", "copied", F.col("doc_id").desc_nulls_last(), "hash", F.col("text").asc_nulls_first()).select("range", "copied", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -157,44 +184,40 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, share: int = 75) -> DataFrame:
     """(doc_id, component_id): documents linked by signature bands and a verified Jaccard similarity of share/100.
 
-    Documents with an equal band are each compared with the least of them first; then, as in jaccard_join, each component
-    with the nearest other one of its bands, and at last all that a band still holds of different components.  So near
-    copies cost few comparisons, and no link between components that share a band is lost; equal texts are one class throughout.  Bands find a pair at the threshold with a probability
-    of 0.99999 (32 bands of 4); the exact join is in jaccard_join.
+    The documents that have a band in common are a group, in which links are found as in jaccard_join: near copies cost
+    few comparisons, no link between components that share a band is lost, and equal texts are one class throughout.  A
+    pair at the threshold shares one of 32 bands of 4 with a probability of 0.99999; the exact join is in jaccard_join.
     """
+    from itertools import count
+
     from tallyward.llm import jaccard_join
-    from tallyward.operators.graph import connected_components
-    from tallyward.plans.lineage import cut
+    from tallyward.plans.lineage import free, written
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys, sizes, bits = ([None] * len(batch) for _ in range(4))
+            n = len(batch)
+            keys, checks, sizes, sketches, found = ([None] * n for _ in range(5))
             for row, members in jaccard_join.sets_of(batch.column(1)):
                 if len(members):
-                    digests[row], sizes[row], bits[row] = jaccard_join.digest(members), len(members), jaccard_join.sketch(members)
-                    parts = signature(members).reshape(bands, -1)
-                    keys[row] = [hashlib.blake2b(bytes([b]) + p.tobytes(), digest_size=8).digest() for b, p in enumerate(parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "digest", "bands", "size", "bits"])
-
-    rows = cut(source.mapInArrow(run, "doc_id long, digest binary, bands array<binary>, size long, bits array<long>"))
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"))
-    banded = rows.filter("digest is not null").select("digest", F.explode("bands").alias("band")).distinct()
-    least = banded.groupBy("band").agg(F.min("digest").alias("a"))
-    pairs = banded.join(least, "band").filter("a != digest").select("a", F.col("digest").alias("b")).distinct()
-    like = jaccard_join.Similarity(share)
-    links = jaccard_join._links(source, pairs, like)
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "digest")
-    sketches = rows.filter("digest is not null").select("digest", "size", "bits").dropDuplicates(["digest"])
-    for nearest in (True, False):
-        named = cut(banded.join(parts, "digest", "left").select(F.col("band").alias("grp"), "digest", F.coalesce("component", "digest").alias("part")))
-        mixed = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("grp")
-        left = named.join(mixed, "grp", "left_semi").join(sketches, "digest").select("grp", "digest", "size", "bits", "part")
-        links = links.unionByName(jaccard_join._links(source, jaccard_join._across(left, like, nearest), like))
-        parts = connected_components(links, "a", "b").withColumnRenamed("node", "digest")
-    linked = classes.join(parts, "digest", "left").withColumn("part", F.coalesce("component", "digest"))
+                    keys[row], checks[row] = jaccard_join.digest(members, seed)
+                    sizes[row], sketches[row] = len(members), jaccard_join.sketch(members)
+                    found[row] = [int.from_bytes(hashlib.blake2b(bytes([b]) + p.tobytes(), digest_size=8).digest(), "little", signed=True) for b, p in enumerate(signature(members).reshape(bands, -1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "check", "size", "sketch", "bands"])
+
+    for seed in count():
+        rows = written(source.mapInArrow(partial(run, seed=seed), "doc_id long, key long, check long, size long, sketch binary, bands array<long>"))
+        clash = rows.filter("key is not null").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b")
+        if not clash.limit(1).count():
+            break
+        free(rows)
+    known = rows.filter("key is not null")
+    groups = written(known.select(F.explode("bands").alias("grp"), "key").distinct())
+    narrow = written(known.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    parts = jaccard_join.linked_in_groups(source.select("text"), jaccard_join.Similarity(share), groups, narrow, seed)
+    free(groups, narrow)
+    linked = known.groupBy("key").agg(F.min("doc_id").alias("low")).join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
     lows = linked.groupBy("part").agg(F.min("low").alias("component_id"))
-    of_class = linked.join(lows, "part").select("digest", "component_id")
-    known = rows.filter("digest is not null").join(of_class, "digest").select("doc_id", "component_id")
-    return known.unionByName(rows.filter("digest is null").select("doc_id", F.col("doc_id").alias("component_id")))
+    of_class = linked.join(lows, "part").select("key", "component_id")
+    return known.join(of_class, "key").select("doc_id", "component_id").unionByName(rows.filter("key is null").select("doc_id", F.col("doc_id").alias("component_id")))

@@ -13,8 +13,8 @@ and, if a similar set may be in the next one, in that band too.
 
 Equal sets are one class throughout, named by a 64-bit key; a seed under which two classes had one key is replaced.
 Classes that share a signature are a group.  Each is compared with the least and the greatest key of its groups first;
-the links found make components.  Then each component is compared with the nearest other one of its groups, and at last
-all that a group still holds of different components.  So a large group of near copies costs few comparisons for each
+the links found make components.  Then all that a group still holds of different components is compared; where that is
+very much, each component with the nearest other one first.  So a large group of near copies costs few comparisons for each
 member and not one for each pair, and no link between different components is lost.  Parity sketches, whose distance
 never exceeds that of the sets, rule out most of what is not similar before any set is moved.  Large groups are cut into
 blocks, and each pair of blocks is a unit of work of bounded size.  Signatures of very large groups are dealt out by
@@ -52,8 +52,8 @@ _PART = 1 << 16
 BUCKET_SIGNATURES, PACK_SIGNATURES = 4_000_000, 1_500_000
 #: A signature counted as often is dealt out by signature and key (if it is as many times the mean count as below).
 HOT_SIGNATURES, HOT_TIMES = 1 << 20, 64
-#: Members to a block of a group.
-BLOCK_MEMBERS = 4096
+#: Members to a block of a group; and pairs for each member of a unit beyond which only the nearest are compared first.
+BLOCK_MEMBERS, PAIRS_FIRST = 4096, 8
 #: Sketches of a set have from one to two times as many bits as it has members; at least these.
 LEAST_SKETCH_BITS = 128
 #: Bits for each wanted class in the table by which tasks leave out sets that no comparison needs, and the most bits
@@ -140,17 +140,17 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _survey(source: DataFrame, like: Similarity) -> tuple[DataFrame, int]:
-    """In one pass over (text, any other columns): a row for each text (the other columns, size, key and check of its
-    set), and counts of signatures in parts; with the seed of the keys."""
+    """In one pass over (text, any other columns): a row for each text (the other columns; size, key, check and sketch of
+    its set, the sketch once for each task and class), and counts of signatures in parts; with the seed of the keys."""
     others = [f for f in source.schema.fields if f.name != "text"]
-    names = [*(f.name for f in others), "n_shingles", "key", "check", "part", "counts", "signatures"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", n_shingles long, key long, check long, part int, counts binary, signatures long"
+    names = [*(f.name for f in others), "n_shingles", "key", "check", "sketch", "part", "counts", "signatures"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", n_shingles long, key long, check long, sketch binary, part int, counts binary, signatures long"
 
     def run(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
         table, seen, total, kinds = np.zeros(COMMON_SLOTS, np.uint16), set(), 0, []
         for batch in batches:
             n = len(batch)
-            sizes, keys, checks = np.zeros(n, np.int64), [None] * n, [None] * n
+            sizes, keys, checks, sketches = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
             for row, members in sets_of(batch.column("text")):
                 sizes[row] = len(members)
                 if not len(members):
@@ -158,17 +158,18 @@ def _survey(source: DataFrame, like: Similarity) -> tuple[DataFrame, int]:
                 keys[row], checks[row] = digest(members, seed)
                 if keys[row] not in seen:  # a class counts once for each task
                     seen.add(keys[row])
+                    sketches[row] = sketch(members)
                     found = signatures(members, like, None)
                     total += len(found)
                     slot = found & np.uint64(COMMON_SLOTS - 1)
                     table[slot] += table[slot] < 65_535
             kept = [batch.column(f.name) for f in others]
             kinds = [c.type for c in kept]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
         if total:
             for k in range(COMMON_SLOTS // _PART):
                 own = table[k * _PART : (k + 1) * _PART]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes())], pa.binary()), pa.array([0 if k else total])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes())], pa.binary()), pa.array([0 if k else total])], names)
 
     for seed in counter():
         survey = written(source.mapInArrow(partial(run, seed=seed), schema))
@@ -323,7 +324,7 @@ def _marks(wanted: DataFrame) -> np.ndarray:
 
 
 def _members(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(key, size, sketch, members) of the wanted classes (distinct keys), written once."""
+    """(key, members) of the wanted classes (distinct keys)."""
     shared = texts.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,20 +337,21 @@ def _members(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
                     continue
                 seen.add(key)
                 keys.append(key)
-                members.append(x)
+                members.append(textkit.signed(x))
             for k in range(0, len(keys), 256):
-                part = members[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array([sketch(x) for x in part], pa.binary()), pa.array([textkit.signed(x) for x in part], pa.list_(pa.int64()))], ["key", "size", "sketch", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array(members[k : k + 256], pa.list_(pa.int64()))], ["key", "members"])
 
     # Sets that the table lets through in vain do no harm; a class comes once from each task that has it.
-    found = texts.mapInArrow(run, "key long, size long, sketch binary, members array<long>")
-    return written(found.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("members").alias("members")))
+    return texts.mapInArrow(run, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members"))
 
 
-def _links(pairs: DataFrame, members: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    sets = members.select("key", "members")
-    joined = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
+def _links(texts: DataFrame, pairs: DataFrame, like: Similarity, seed: int) -> DataFrame | None:
+    """The pairs (a, b) whose sets are similar enough; None if there are no pairs to compare."""
+    pairs = cut(pairs.select("a", "b"))
+    if not pairs.limit(1).count():
+        return None
+    sets = _members(texts, cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), seed)
+    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return cut(joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(f"100 * i >= {like.share} * (n - i)").select("a", "b"))
 
@@ -362,9 +364,8 @@ def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _near_pairs(pairs: DataFrame, members: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b, apart): those of the pairs (a, b) that sizes and sketches don't rule out."""
-    narrow = members.select("key", "size", "sketch")
+def _near_pairs(pairs: DataFrame, narrow: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b, apart): those of the pairs (a, b) that sizes and sketches don't rule out; narrow: (key, size, sketch)."""
     sized = pairs.join(narrow.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(narrow.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b")
     sized = sized.filter(f"100 * least(m, n) >= {like.share} * greatest(m, n)").select("a", "b", "m", "n", "x", "y")
 
@@ -382,7 +383,7 @@ def _near_pairs(pairs: DataFrame, members: DataFrame, like: Similarity) -> DataF
     return sized.mapInArrow(run, "a long, b long, apart long")
 
 
-def unit_pairs(key: np.ndarray, block: np.ndarray, size: np.ndarray, sketches: list[bytes], part: np.ndarray, like: Similarity, nearest: bool) -> Iterator[tuple[np.ndarray, ...]]:
+def unit_pairs(key: np.ndarray, block: np.ndarray, size: np.ndarray, sketches: list[bytes], part: np.ndarray, like: Similarity) -> Iterator[tuple[np.ndarray, ...]]:
     """(part of a, part of b, apart, a, b) arrays of the pairs of a unit, of different components, that sizes and
     sketches don't rule out; of a unit of two blocks only the pairs across."""
     order = np.argsort(size, kind="stable")
@@ -426,74 +427,81 @@ def _least_apart(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return part[order], apart[order], a[order], b[order]
 
 
-def _across(groups: DataFrame, like: Similarity, nearest: bool) -> DataFrame:
-    """(a, b): pairs of one group, of different components, that sizes and sketches don't rule out.
+def _across(groups: DataFrame, like: Similarity, most: int | None) -> DataFrame:
+    """(a, b, more): pairs of one group, of different components, that sizes and sketches don't rule out.
 
-    groups: (grp, key, n, size, sketch, part), n being the members of the group.  With ``nearest`` each component gets one
-    pair only, that whose sketches differ least.
+    groups: (grp, key, n, size, sketch, part), n being the members of the group.  A unit with more than ``most`` such pairs
+    for each of its members gives only those of them that are least apart for one of its components, with ``more`` set.
     """
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("long")
     own = F.pmod(F.xxhash64("key"), blocks)
     units = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = units.select("grp", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "key", "own", "size", "sketch", "part")
 
+    def unit(held: list) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        key, block, size, part = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 4))
+        chunks, least, number = [], [], 0
+        for chunk in unit_pairs(key, block, size, [x for h in held for x in h[3]], part, like):
+            if most is None:
+                yield *chunk[3:], False
+                continue
+            chunks.append(chunk)
+            number += len(chunk[0])
+            if number > most * len(key):
+                least = [_least_apart([*least, *((p, apart, a, b) for c in chunks for p, apart, a, b in ((c[0], *c[2:]), (c[1], *c[2:])))])]
+                chunks = []
+        yield from ((a, b, True) for _, _, a, b in least)
+        if not least:
+            yield from ((*c[3:], False) for c in chunks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found, waiting = None, [], [], 0
-
-        def out(found: list) -> pa.RecordBatch:
-            part, apart, a, b = _least_apart(found) if nearest else (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(apart), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["part", "apart", "a", "b"])
-
-        def pairs() -> Iterator[tuple[np.ndarray, ...]]:
-            key, block, size, part = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 4))
-            sketches = [x for h in held for x in h[3]]
-            if len(key) > 1:
-                for p, q, apart, a, b in unit_pairs(key, block, size, sketches, part, like, nearest):
-                    yield p, apart, a, b
-                    if nearest:
-                        yield q, apart, a, b
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal found, waiting
-            for x in pairs():
-                found.append(x)
-                waiting += len(x[0])
+        found: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            more = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+
+        waiting = 0
+        for held in _units(batches):
+            for pairs in unit(held):
+                found.append(pairs)
+                waiting += len(pairs[0])
                 if waiting >= 200_000:
-                    if nearest:
-                        found = [_least_apart(found)]
-                        waiting = len(found[0][0])
-                    if waiting >= 100_000:
-                        yield out(found)
-                        found, waiting = [], 0
-
-        for batch in batches:
-            unit = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            edges = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
-            columns = [batch.column(k).to_numpy() for k in (3, 4, 5)]
-            sketches, part = batch.column(6).to_pylist(), batch.column(7).to_numpy()
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(unit)], strict=True):
-                if (name := unit[a].tobytes()) != now:
-                    if held:
-                        yield from flush()
-                    now, held = name, []
-                held.append((columns[0][a:b], columns[1][a:b], columns[2][a:b], sketches[a:b], part[a:b]))
-        if held:
-            yield from flush()
+                    yield out()
+                    waiting = 0
         if found:
-            yield out(found)
-
-    found = units.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "part long, apart long, a long, b long")
-    if nearest:
-        found = found.groupBy("part").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b")
-    return found.select("a", "b").distinct()
-
-
-def _joined_parts(parts: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """(key, part) of all classes that have links, after links are added to those known."""
-    if parts is None:
-        return written(connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("part"))) if links.limit(1).count() else None
-    if not links.limit(1).count():
+            yield out()
+
+    return units.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "a long, b long, more boolean")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The (key, block, size, sketches, part) pieces of each unit (grp, lo, hi) of two members or more."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        unit = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+        edges = (np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist()
+        key, block, sizes, part = (batch.column(k).to_numpy() for k in (3, 4, 5, 7))
+        sketches = batch.column(6).to_pylist()
+        for a, b in zip([0, *edges], [*edges, len(unit)], strict=True):
+            if (name := unit[a].tobytes()) != now:
+                if size > 1:
+                    yield held
+                now, held, size = name, [], 0
+            held.append((key[a:b], block[a:b], sizes[a:b], sketches[a:b], part[a:b]))
+            size += b - a
+    if size > 1:
+        yield held
+
+
+def _joined_parts(parts: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """(key, part) of all classes that have links, after links are added to those known; None without any."""
+    if links is None or not links.limit(1).count():
         return parts
+    if parts is None:
+        return written(connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("part")))
     of = lambda name: parts.select(F.col("key").alias(name), F.col("part").alias(f"p{name}"))
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb"))
     named = cut(named)
@@ -508,30 +516,38 @@ def similar_classes(texts: DataFrame, like: Similarity, survey: DataFrame, seed:
     """(key, part) of the classes that have a similar one; those of one component have one part."""
     table, total = _common(survey)
     groups = written(_groups(texts, like, seed, table, total))
-    wanted = cut(groups.select("key").distinct())
-    members = _members(texts, wanted, seed)
-    counted = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    narrow = written(survey.filter("sketch is not null").groupBy("key").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
+    parts = linked_in_groups(texts, like, groups, narrow, seed)
+    free(groups, narrow)
+    return parts
 
-    # Each with the nearer one of the least and the greatest of its group.
-    ends = groups.join(counted, "grp").select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).filter("a != b").distinct()
-    near = _near_pairs(ends, members, like).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
+
+def linked_in_groups(texts: DataFrame, like: Similarity, groups: DataFrame, narrow: DataFrame, seed: int) -> DataFrame:
+    """(key, part) of the classes that have a similar one in a group they are in.
+
+    groups: (grp, key), distinct, written; narrow: (key, size, sketch) of all classes, once each.
+    """
+    ends = groups.join(groups.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high")), "grp")
+    ends = ends.select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).filter("a != b").distinct()
+    # Each with the nearer one of the least and the greatest of its groups.
+    near = _near_pairs(ends, narrow, like).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
     pairs = near.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
-    parts = _joined_parts(None, _links(pairs, members, like))
+    parts = _joined_parts(None, _links(texts, pairs, like, seed))
 
-    # What a group then holds of different components: first the nearest pair of each component, then all that is left.
-    for nearest in (True, False):
-        held = groups.select("grp", "key")
-        part = written(held.withColumn("part", F.col("key")) if parts is None else held.join(parts, "key", "left").select("grp", "key", F.coalesce("part", "key").alias("part")))
+    # What a group then holds of different components; of units with very many such pairs the nearest first.
+    for most in (PAIRS_FIRST, None):
+        part = written(groups.withColumn("part", F.col("key")) if parts is None else groups.join(parts, "key", "left").select("grp", "key", F.coalesce("part", "key").alias("part")))
         mixed = part.groupBy("grp").agg(F.count("*").alias("n"), F.min(F.struct("part", "key")).alias("p"), F.max(F.struct("part", "key")).alias("q")).filter("p.part != q.part")
-        of_two = mixed.filter("n = 2").select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
-        larger = part.join(mixed.filter("n > 2").select("grp", "n"), "grp").join(members.select("key", "size", "sketch"), "key").select("grp", "key", "n", "size", "sketch", "part")
-        pairs = _across(larger, like, nearest)
-        if nearest:
-            pairs = pairs.unionByName(_near_pairs(of_two, members, like).select("a", "b")).distinct()
-        parts = _joined_parts(parts, _links(pairs, members, like))
-        free(groups)
-        groups = part
-    free(groups, members)
+        larger = part.join(mixed.filter("n > 2").select("grp", "n"), "grp").join(narrow, "key").select("grp", "key", "n", "size", "sketch", "part")
+        found = cut(_across(larger, like, most))
+        pairs = found.select("a", "b")
+        if most is not None:
+            of_two = mixed.filter("n = 2").select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+            pairs = pairs.unionByName(_near_pairs(of_two, narrow, like).select("a", "b"))
+        parts = _joined_parts(parts, _links(texts, pairs.distinct(), like, seed))
+        free(part)
+        if not found.filter("more").limit(1).count():
+            break
     return parts if parts is not None else texts.sparkSession.createDataFrame([], "key long, part long")
 
 

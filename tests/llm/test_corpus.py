@@ -89,10 +89,45 @@ def test_fingerprints(spark):
             true = len(a & b) / len(a | b) if a | b else 1.0
             assert abs(likeness - true) <= 0.2
     assert got[10].fingerprint == got[n - 1].fingerprint
+    assert fingerprints.fingerprints_with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert fingerprints.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fingerprints.fingerprints_with_next(spark.createDataFrame([(7, "x y z")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+def test_next_document_with_repeated_ids(spark, ranges):
+    # A third of all rows has one id, a fifth has none; some are repeated whole.
+    rng = random.Random(ranges)
+    rows = [(7 if rng.random() < 0.3 else None if rng.random() < 0.2 else rng.randrange(-40, 40), rng.choice([None, "", f"text {rng.randrange(60)}"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).repartition(5)
+    got, groups = [], {}
+    for r in fingerprints.with_next(df, ranges=ranges).rdd.glom().flatMap(lambda part: [(k, r) for k, r in enumerate(part)]).map(lambda x: x[1]).collect():
+        groups.setdefault(r.range, []).append(r)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    key = lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1] is not None, r[1] or "")
+    want = sorted(rows, key=key)
+    order = sorted(groups, reverse=True)
+    for k, number in enumerate(order):
+        own = [(r.doc_id, r.text) for r in groups[number] if not r.copied]
+        copied = [(r.doc_id, r.text) for r in groups[number] if r.copied]
+        following = [(r.doc_id, r.text) for r in groups[order[(k + 1) % len(order)]] if not r.copied]
+        assert copied and key(copied[0]) == key(following[0])
+        got += own
+    assert list(map(key, got)) == list(map(key, want)) and (ranges < 8 or max(map(len, groups.values())) < 130)
+
+
+def test_signature_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 1500):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        want = []
+        for a, b in zip(fingerprints._A[:, 0].tolist(), fingerprints._B[:, 0].tolist(), strict=True):
+            least = min((a * v + b) % (1 << 64) for v in x.tolist())
+            want.append(int(textkit.mix64(np.array([least], np.uint64))[0]) >> 48)
+        assert fingerprints.signature(x).tolist() == want
+
+
 def test_near_duplicates_by_bands(spark):
     rng = random.Random(6)
     base = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(200)]
@@ -138,6 +173,7 @@ def test_jaccard_join(spark, seed, block, hot, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", block)
     monkeypatch.setattr(jaccard_join, "HOT_SIGNATURES", hot)
     monkeypatch.setattr(jaccard_join, "HOT_TIMES", 0)
+    monkeypatch.setattr(jaccard_join, "PAIRS_FIRST", 8 if seed == 3 else 0)
     rng = random.Random(seed)
     words, rows = [f"w{k}" for k in range(200)], []
     passage = " ".join(rng.choice(words) for _ in range(60))
@@ -179,7 +215,7 @@ def test_unit_pairs():
         sets.append(np.unique(np.concatenate([sets[-1][: -max(1, n // 20)], rng.choice(pool, max(1, n // 30))])))
     key, part = np.arange(len(sets)), rng.integers(0, 70, len(sets))
     for block in (np.zeros(len(sets), np.int64), rng.integers(0, 2, len(sets))):
-        found = jaccard_join.unit_pairs(key, block, np.array([len(x) for x in sets]), [jaccard_join.sketch(x) for x in sets], part, like, False)
+        found = jaccard_join.unit_pairs(key, block, np.array([len(x) for x in sets]), [jaccard_join.sketch(x) for x in sets], part, like)
         got = {(min(a, b), max(a, b)) for x in found for a, b in zip(x[3].tolist(), x[4].tolist(), strict=True)}
         for a in range(len(sets)):
             for b in range(a + 1, len(sets)):
@@ -265,16 +301,48 @@ def test_chat_format(spark):
 
     assert chat_format.format_turns(Rewriting(), turns).rewritten_at == 0
     rows = [(1, 1, "assistant", None), (1, 0, "user", "q"), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "user", "y")]
-    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat_format.Cached(t)), t).collect()}
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t), t).collect()}
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (2, hashlib.sha256(b"user\nq\nassistant\n\n").hexdigest(), 0)
     assert got[2].n_turns == 2 and got[None].n_turns == 1
 
 
-def test_chat_query_renders_prefixes(spark, monkeypatch):
-    seen, format_conversations = [], chat_format.format_conversations
-    monkeypatch.setattr(chat_format, "format_conversations", lambda rows, template: seen.append(template) or format_conversations(rows, template))
-    assert queries.op7_chat_format(spark, "/root/testdata/sf0.001").count() > 1
-    assert [type(t) for t in seen] == [chat_format.MarkedTemplate]
+def forgetful():
+    class Forgetful(chat_format.MarkedTemplate):
+        """Takes back what it said of the turns before the last two."""
+
+        def render(self, turns):
+            return chat_format.MarkedTemplate.render(self, [(r, x if k >= len(turns) - 2 else "...") for k, (r, x) in enumerate(turns)])
+
+    return Forgetful  # a class of a function goes to the workers whole
+
+
+def chat_rows(spark):
+    first, last = "\ue000", "".join(map(chr, [*range(0xE000, 0xE010), 92, 91, 93]))
+    rows = [(1, 1, "assistant", f"a{first}b"), (1, 0, first, f"{first}"), (1, 2, last, last * 2), (1, 3, "assistant", ""), (2, 0, "assistant", "</s>[INST] \\l \\\\ é😀"), (2, 0, "assistant", "x"), (3, 5, None, None), (None, 0, "user", "y")]
+    return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).repartition(3)
+
+
+def test_chat_query_against_brute_force(spark, monkeypatch, tmp_path):
+    rows, df = chat_rows(spark)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: tuple(r)[1:5] for r in queries.op7_chat_format(spark, str(tmp_path)).collect()}
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3] or ""))]
+        own = "".join(x for role, x in turns if role == "assistant")
+        want[conv] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(own), hashlib.sha256(own.encode()).hexdigest())
+    assert got == want
+    # The query's own path notices a template that rewrites history.
+    template = forgetful()
+    monkeypatch.setattr(chat_format, "MarkedTemplate", template)
+    assert {r.conv_id: r.n_turns for r in queries.op7_chat_format(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1, None: 1, -1: 2}
+    formatted = chat_format.format_conversations(df, template()).collect()
+    assert {r.conv_id: r.rewritten_at for r in formatted} == {1: 2, 2: None, 3: None, None: None}
+    assert chat_format.format_conversations(df.limit(0), template()).count() == 0
+    every = [("user", "".join(map(chr, p))) for p in chat_format.PRIVATE]
+    monkeypatch.undo()
+    assert len(chat_format.probe_for(every)) > 1 and chat_format.format_turns(chat_format.MarkedTemplate(), every).rewritten_at is None
 
 
 def test_toxicity(spark):
