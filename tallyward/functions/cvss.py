@@ -24,9 +24,12 @@ def _pick(value: Column, table: dict[str, float]) -> Column:
 
 
 def base_score(vector: Column) -> Column:
-    """The base score of a vector such as CVSS:3.1/AV:N/AC:L/...; null where a metric is missing."""
-    metrics = F.str_to_map(vector, F.lit("/"), F.lit(":"))
-    get = lambda k: F.try_element_at(metrics, F.lit(k))
+    """The base score of a vector such as CVSS:3.1/AV:N/AC:L/...; null where it has another head than CVSS:3, lacks a
+    metric, gives one twice, or has a scope other than U and C."""
+    parts = F.split(vector, "/")
+    get = lambda k: F.regexp_extract(vector, f"/{k}:([A-Z])(?:/|$)", 1)
+    names = F.transform(parts, lambda x: F.substring_index(x, ":", 1))
+    sound = vector.rlike("^CVSS:3[.][01]/") & (F.size(F.array_distinct(names)) == F.size(names)) & get("S").isin("U", "C")
     changed = get("S") == "C"
     c, i, a = (_pick(get(k), WEIGHTS["CIA"]) for k in "CIA")
     iss = 1 - (1 - c) * (1 - i) * (1 - a)
@@ -34,7 +37,7 @@ def base_score(vector: Column) -> Column:
     privileges = F.when(changed, _pick(get("PR"), WEIGHTS["PR_C"])).otherwise(_pick(get("PR"), WEIGHTS["PR_U"]))
     exploit = 8.22 * _pick(get("AV"), WEIGHTS["AV"]) * _pick(get("AC"), WEIGHTS["AC"]) * privileges * _pick(get("UI"), WEIGHTS["UI"])
     raw = F.least(F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit), F.lit(10.0))
-    return F.when(iss.isNull() | exploit.isNull() | get("S").isNull(), None).when(impact <= 0, 0.0).otherwise(roundup(raw))
+    return F.when(~F.coalesce(sound, F.lit(False)) | iss.isNull() | exploit.isNull(), None).when(impact <= 0, 0.0).otherwise(roundup(raw))
 
 
 def roundup(x: Column) -> Column:
@@ -43,7 +46,22 @@ def roundup(x: Column) -> Column:
     return F.when(whole % 10_000 == 0, whole / 100_000).otherwise((F.floor(whole / 10_000) + 1) / 10)
 
 
-def severity(known_exploited: Column, cvss: Column, label: Column) -> Column:
-    """BLOCKER if exploited, else by score, else by label, else MINOR."""
-    by_label = F.when(F.upper(label) == "CRITICAL", "CRITICAL").when(F.upper(label) == "HIGH", "MAJOR").otherwise("MINOR")
-    return F.when(known_exploited, "BLOCKER").when(cvss >= 9, "CRITICAL").when(cvss >= 7, "MAJOR").when(cvss.isNull(), by_label).otherwise("MINOR")
+#: Severity labels from the least to the greatest.
+LABELS = ["LOW", "MODERATE", "HIGH", "CRITICAL"]
+
+
+def label_rank(label: Column) -> Column:
+    """1 for LOW to 4 for CRITICAL (MEDIUM is MODERATE); 0 for any other label or none."""
+    up = F.upper(F.trim(label))
+    return F.coalesce(F.array_position(F.array(*map(F.lit, LABELS)), F.when(up == "MEDIUM", "MODERATE").otherwise(up)), F.lit(0)).cast("int")
+
+
+def max_score(vectors: Column) -> Column:
+    """The greatest base score of an array of vectors; null without a sound one."""
+    return F.array_max(F.transform(vectors, base_score))
+
+
+def severity(known_exploited: Column, malicious: Column, cvss: Column, label: Column) -> Column:
+    """BLOCKER if exploited or malicious, else by score from 7 on, else by label, else MINOR."""
+    by_label = F.when(label_rank(label) == 4, "CRITICAL").when(label_rank(label) == 3, "MAJOR").otherwise("MINOR")
+    return F.when(F.coalesce(known_exploited, F.lit(False)) | F.coalesce(malicious, F.lit(False)), "BLOCKER").when(cvss >= 9, "CRITICAL").when(cvss >= 7, "MAJOR").otherwise(by_label)

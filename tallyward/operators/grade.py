@@ -12,12 +12,12 @@ TYPES = ["VULN", "HOTSPOT", "BUG", "SMELL"]
 DUPLICATE_LINES = 6
 
 
-def line_metrics(docs: DataFrame, comment: str = r"^\s*(#|//|--)") -> DataFrame:
-    """(doc_id, n_lines, ncloc, comments), in one row-wise pass: no line is exploded."""
+def line_metrics(docs: DataFrame, comment: str = r"^\s*(#|//|--)", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, n_lines, ncloc, comments), in one row-wise pass: no line is exploded."""
     parts = F.split("text", "\n")
     code = F.filter(parts, lambda x: F.trim(x) != "")
     noted = F.filter(code, lambda x: x.rlike(comment))
-    return docs.select("doc_id", F.size(parts).cast("long").alias("n_lines"), (F.size(code) - F.size(noted)).cast("long").alias("ncloc"), F.size(noted).cast("long").alias("comments"))
+    return docs.select("doc_id", *keep, F.size(parts).cast("long").alias("n_lines"), (F.size(code) - F.size(noted)).cast("long").alias("ncloc"), F.size(noted).cast("long").alias("comments"))
 
 
 def duplication(docs: DataFrame, size: int = DUPLICATE_LINES) -> DataFrame:

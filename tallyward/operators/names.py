@@ -37,6 +37,25 @@ def unused(declared: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
     return declared.select(*keys).distinct().join(used.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Affixes that a distribution's name has and its module lacks, or the other way round.
+PREFIXES, SUFFIXES = ("python-", "py-", "lib"), ("-python", "-py", "-js", "js")
+
+
+def import_keys(name: Column) -> Column:
+    """The forms under which a declared name may be imported: folded, with and without each affix."""
+    folded = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
+    cut = [F.when(folded.startswith(p) & (F.length(folded) > len(p)), F.substring(folded, len(p) + 1, 10_000)) for p in PREFIXES]
+    cut += [F.when(folded.endswith(x) & (F.length(folded) > len(x)), folded.substr(F.lit(1), F.length(folded) - len(x))) for x in SUFFIXES]
+    return F.array_distinct(F.array_compact(F.array(folded, *cut)))
+
+
+def unused_by_import(declared: DataFrame, imported: DataFrame, key: str) -> DataFrame:
+    """Declared (key, name) of which no form is among the imported (key, module)."""
+    forms = declared.select(key, "name", F.explode(import_keys(F.col("name"))).alias("form"))
+    have = imported.select(key, F.regexp_replace(F.lower("module"), "[^a-z0-9]+", "-").alias("form")).distinct()
+    return declared.join(forms.join(have, [key, "form"]).select(key, "name").distinct(), [key, "name"], "left_anti")
+
+
 def compare_runs(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Full outer join of (key, verdict, rules): what is new, gone, changed or the same, and which rules were gained."""
     a = before.select(key, F.col("verdict").alias("verdict_a"), F.col("rules").alias("rules_a"))

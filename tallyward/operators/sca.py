@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.functions.versions import in_range
+from tallyward.functions.versions import keyed, unbounded, within
 from tallyward.operators.graph import connected_components
 
 #: Kinds of advisory ids from the preferred one on.
@@ -15,13 +15,18 @@ ID_ORDER = ["CVE", "GHSA", "PYSEC", "MAL", "GO", "RUSTSEC"]
 def match_inventory(inventory: DataFrame, affected: DataFrame) -> DataFrame:
     """(cve, ecosystem, name, version, verdict): AFFECTED, UNKNOWN or CLEAR, the strongest of all ranges.
 
-    inventory (ecosystem, name_key, name, version, key); affected (cve, ecosystem, name_key, low, low_included, high,
-    high_included), with a null range where all versions are meant.  Rows of one advisory for several spellings of a
-    name meet in the aggregation, so the result does not depend on the order of rows.
+    inventory (ecosystem, name_key, name, version); affected (cve, ecosystem, name_key, low_version, low_included,
+    high_version, high_included), a row for each range; an open bound is null, "" or "*".  A range that is open on both
+    sides affects any version, also an unknown one.  A version or a bound that can't be compared is UNKNOWN, never
+    CLEAR.  Keys are made before the join, once for each side; rows of one advisory for several spellings of a name meet
+    in the aggregation, so the result does not depend on the order of rows.
     """
-    joined = inventory.join(affected, ["ecosystem", "name_key"])
-    hit = in_range(F.col("key"), F.col("low"), F.col("low_included"), F.col("high"), F.col("high_included"))
-    rank = F.when(hit, 2).when(hit.isNull(), 1).otherwise(0)
+    have = inventory.select("ecosystem", "name_key", "name", "version", keyed(F.col("version")).alias("v"))
+    ranges = affected.select("cve", "ecosystem", "name_key", "low_included", "high_included", keyed(F.coalesce("low_version", F.lit("*"))).alias("low"), keyed(F.coalesce("high_version", F.lit("*"))).alias("high"))
+    joined = have.join(ranges, ["ecosystem", "name_key"])
+    every = unbounded(F.col("low.text")) & unbounded(F.col("high.text"))
+    hit = within(F.col("v"), F.col("ecosystem"), F.col("low"), F.col("low_included"), F.col("high"), F.col("high_included"))
+    rank = F.when(every | hit, 2).when(hit.isNull(), 1).otherwise(0)
     best = joined.groupBy("cve", "ecosystem", "name", "version").agg(F.max(rank).alias("r"))
     return best.select("cve", "ecosystem", "name", "version", F.element_at(F.array(*map(F.lit, ("CLEAR", "UNKNOWN", "AFFECTED"))), F.col("r") + 1).alias("verdict"))
 
@@ -33,10 +38,18 @@ def advisories_for(inventory: DataFrame, exact: DataFrame, loose: DataFrame) ->
     return a.unionByName(b).distinct()
 
 
-def fix_hint(matched: DataFrame, affected: DataFrame) -> DataFrame:
-    """(cve, name, fixed_in): the highest excluded upper bound of an affected package's ranges."""
-    bounds = affected.filter("not high_included and high is not null")
-    return matched.filter("verdict = 'AFFECTED'").join(bounds, ["cve", "ecosystem"]).groupBy("cve", "name").agg(F.max_by("high_version", F.struct("high", "high_version")).alias("fixed_in"))
+def fix_hint(matched: DataFrame, inventory: DataFrame, affected: DataFrame) -> DataFrame:
+    """(cve, ecosystem, name, fixed_in): the highest excluded upper bound of an affected package's own ranges.
+
+    Bounds are ordered by the first scheme of their ecosystem, or where it has no key for one by the other.
+    """
+    excluded = affected.filter(~F.col("high_included") & ~unbounded(F.col("high_version"))).select("cve", "ecosystem", "name_key", "high_version").distinct()
+    v, eco = keyed(F.col("high_version")), F.col("ecosystem")
+    first = F.when(eco.isin("npm", "go", "crates"), v["sem"]).otherwise(F.coalesce(v["pep"], v["sem"]))
+    bounds = excluded.withColumn("key", first).filter("key is not null")
+    named = inventory.select("ecosystem", "name_key", "name").distinct()
+    hit = matched.filter("verdict = 'AFFECTED'").select("cve", "ecosystem", "name").distinct().join(named, ["ecosystem", "name"])
+    return hit.join(bounds, ["cve", "ecosystem", "name_key"]).groupBy("cve", "ecosystem", "name").agg(F.max_by("high_version", F.struct("key", "high_version")).alias("fixed_in"))
 
 
 def known_only(inventory: DataFrame) -> DataFrame:

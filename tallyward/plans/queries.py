@@ -12,6 +12,9 @@ from tallyward.operators import findings as fd
 from tallyward.operators import grade as gr
 from tallyward.operators import history, names, sca
 
+#: Bytes of a table that a query sends to all tasks at most; with more the join is left to Spark.
+BROADCAST_BYTES = 64 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -110,9 +113,7 @@ _GRADE = f"""(SELECT *, security IN ('A','B') AND reliability IN ('A','B','C') A
 
 @query(f"SELECT source, ncloc, n_vuln, n_hotspot, n_bug, n_smell, security, reliability, maintainability, gate FROM {_GRADE}")
 def grade_by_source(spark, d):
-    docs = table(spark, d, "documents")
-    metrics = gr.line_metrics(docs.select("doc_id", "text", "source")).join(docs.select("doc_id", "source"), "doc_id")
-    return gr.grade(_findings(spark, d), metrics, "source")
+    return gr.grade(_findings(spark, d), gr.line_metrics(table(spark, d, "documents"), keep=("source",)), "source")
 
 
 @query(f"SELECT source, CAST(security IN ('A','B') AS INTEGER) AS secure, CAST(reliability IN ('A','B','C') AS INTEGER) AS reliable, CAST(maintainability IN ('A','B','C') AS INTEGER) AS maintainable, gate FROM {_GRADE}")
@@ -218,7 +219,7 @@ def content_dedupe(spark, d):
 def _grams(df, key, n=8):
     # The words become a column before they are used, or each gram would split the text again.
     words = df.select(key, F.split(F.lower("text"), " ").alias("w")).filter(F.size("w") >= n).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("k"))
-    return words.select(key, F.xxhash64(F.array_join(F.slice("w", F.col("k"), n), " ")).alias("g")).distinct()
+    return words.select(key, F.array_join(F.slice("w", F.col("k"), n), " ").alias("g"))
 
 
 _GRAM = "(SELECT DISTINCT {k}, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, string_split(lower(text), ' ') AS w FROM {t})))"
@@ -226,30 +227,97 @@ _GRAM = "(SELECT DISTINCT {k}, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT
 
 @query(f"SELECT doc_id, item_id, count(*) AS shared FROM {_GRAM.format(k='doc_id', t='documents')} d JOIN {_GRAM.format(k='item_id', t='benchmark')} b USING (g) GROUP BY ALL")
 def benchmark_contamination(spark, d):
-    return _grams(table(spark, d, "documents"), "doc_id").join(_grams(table(spark, d, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    """A document's grams meet the benchmark's before anything is shuffled, if those are few enough to be sent out."""
+    items = _grams(table(spark, d, "benchmark"), "item_id").distinct()
+    size = items.agg(F.sum(F.octet_length("g") + 16)).first()[0] or 0
+    found = _grams(table(spark, d, "documents"), "doc_id").join(F.broadcast(items) if size <= BROADCAST_BYTES else items, "g")
+    return found.groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("shared"))
 
 
 # --- inventory and advisories --------------------------------------------------------------------------------------
 
-_KEY = "CASE WHEN regexp_full_match({0}, '[0-9]{{1,9}}([.][0-9]{{1,9}})*') THEN array_to_string(list_transform(string_split(regexp_replace({0}, '([.]0+)+$', ''), '.'), lambda p: lpad(CASE WHEN p = '0' THEN p ELSE ltrim(p, '0') END, 10, '0')), '.') END"
-_INVENTORY = f"(SELECT *, {_KEY.format('version')} AS key FROM (SELECT 'pypi' AS ecosystem, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS name_key, p_name AS name, CASE p_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'latest' ELSE concat(p_partkey % 5, '.', p_size, '.', p_partkey % 3) END AS version FROM part))"
-_AFFECTED = f"(SELECT *, {_KEY.format('low_version')} AS low, {_KEY.format('high_version')} AS high FROM (SELECT concat('CVE-2024-', s_suppkey) AS cve, 'pypi' AS ecosystem, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS name_key, concat(s_suppkey % 3, '.', s_nationkey) AS low_version, s_suppkey % 2 = 0 AS low_included, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat(s_suppkey % 3 + s_nationkey % 3, '.', s_nationkey, '.0') END AS high_version, s_suppkey % 5 = 0 AS high_included, s_suppkey, s_nationkey FROM supplier JOIN part ON p_partkey = s_suppkey))"
-_RANGE = "CASE WHEN i.key IS NULL THEN 1 WHEN (i.key > a.low OR (a.low_included AND i.key = a.low)) AND (a.high IS NULL OR i.key < a.high OR (a.high_included AND i.key = a.high)) THEN 2 ELSE 0 END"
-_MATCH = f"(SELECT cve, i.ecosystem, i.name, i.version, (['CLEAR','UNKNOWN','AFFECTED'])[max({_RANGE}) + 1] AS verdict FROM {_INVENTORY} i JOIN {_AFFECTED} a ON i.ecosystem = a.ecosystem AND i.name_key = a.name_key GROUP BY ALL)"
+def _digits_sql(x: str) -> str:
+    t = f"coalesce(nullif(ltrim({x}, '0'), ''), '0')"
+    return f"(lpad(CAST(length({t}) AS VARCHAR), 3, '0') || {t})"
+
+
+def _release_sql(x: str) -> str:
+    return f"(array_to_string(list_transform(string_split(regexp_replace({x}, '([.]0+)+$', ''), '.'), lambda p: {_digits_sql('p')}), '.') || '.')"
+
+
+def _pep_sql(v: str, local: bool) -> str:
+    low = f"lower(trim({v}, ' '))"
+    g = lambda k: f"regexp_extract({low}, '{versions._PEP_FORM}', {k})" if k < 10 else f"split_part({low}, '+', 2)"
+    pre = f"CASE WHEN {g(3)} IN ('a', 'alpha') THEN 'a' || {_digits_sql(g(4))} WHEN {g(3)} IN ('b', 'beta') THEN 'b' || {_digits_sql(g(4))} WHEN {g(3)} <> '' THEN 'c' || {_digits_sql(g(4))} WHEN {g(8)} <> '' AND {g(5)} = '' AND {g(6)} = '' THEN '0' ELSE 'z' END"
+    post = f"CASE WHEN {g(5)} <> '' THEN '1' || {_digits_sql(g(5))} WHEN {g(6)} <> '' THEN '1' || {_digits_sql(g(7))} ELSE '0' END"
+    dev = f"CASE WHEN {g(8)} <> '' THEN '0' || {_digits_sql(g(9))} ELSE '1' END"
+    end = f" || '!' || CASE WHEN {g(10)} <> '' THEN array_to_string(list_transform(string_split_regex({g(10)}, '[-_.]'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '1' || {_digits_sql('p')} ELSE '0' || p END), '!') ELSE '' END" if local else ""
+    return f"CASE WHEN length({v}) <= 128 AND regexp_matches({low}, '{versions._PEP_FORM}') THEN concat_ws('!', {_digits_sql(g(1))}, {_release_sql(g(2))}, {pre}, {post}, {dev}){end} END"
+
+
+def _sem_sql(v: str) -> str:
+    g = lambda k: f"regexp_extract(trim({v}, ' '), '{versions._SEM_FORM}', {k})"
+    pre = f"CASE WHEN {g(2)} = '' THEN 'z' ELSE '0' || array_to_string(list_transform(string_split({g(2)}, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '0' || {_digits_sql('p')} ELSE '1' || p END), '!') END"
+    return f"CASE WHEN length({v}) <= 128 AND regexp_matches(trim({v}, ' '), '{versions._SEM_FORM}') THEN concat_ws('!', {_release_sql(g(1))}, {pre}) END"
+
+
+def _keys_sql(v: str, p: str) -> str:
+    return f"{_pep_sql(v, True)} AS {p}pep, {_pep_sql(v, False)} AS {p}plain, {_sem_sql(v)} AS {p}sem"
+
+
+def _scheme_sql(eco: str, dashed: str, pep: str, sem: str) -> str:
+    return f"CASE WHEN {eco} IN ('go', 'crates') THEN {sem} WHEN {eco} = 'npm' OR ({eco} <> 'pypi' AND {dashed}) THEN coalesce({sem}, {pep}) ELSE coalesce({pep}, {sem}) END"
+
+
+def _compared_sql(b: str) -> str:
+    sign = lambda x, y: f"CASE WHEN {x} < {y} THEN -1 WHEN {x} = {y} THEN 0 WHEN {x} > {y} THEN 1 END"
+    pep = f"CASE WHEN contains({b}_version, '+') THEN {sign('v_pep', f'{b}_pep')} ELSE {sign('v_plain', f'{b}_plain')} END"
+    return _scheme_sql("ecosystem", f"(contains(version, '-') OR contains({b}_version, '-'))", pep, sign("v_sem", f"{b}_sem"))
+
+
+_ECO = "(['pypi','npm','go','other'])[{0} % 4 + 1]"
+_FORMS = ("CASE {k} % 13 WHEN 0 THEN NULL WHEN 1 THEN 'latest' WHEN 2 THEN concat({a}, '.', {b}, 'rc', {c}) WHEN 3 THEN concat('v', {a}, '.', {b}, '.', {c}, '-beta.', {b}) WHEN 4 THEN concat({a}, '.', {b}, '.0') WHEN 5 THEN concat({a}, '.', {b}, '.post', {c}) WHEN 6 THEN concat({a}, '.', {b}, '.dev', {c})"
+          " WHEN 7 THEN concat({a}, '.', {b}, '+local.', {c}) WHEN 8 THEN concat('1!', {a}, '.', {b}) WHEN 9 THEN concat({a}, '.', {b}, '.', {c}, '-alpha') WHEN 10 THEN '2.*' ELSE concat({a}, '.', {b}, '.', {c}) END")
+_VERSION = _FORMS.format(k="p_partkey", a="p_partkey % 5", b="p_size % 9", c="p_partkey % 3")
+_LOW = "CASE s_suppkey % 6 WHEN 0 THEN '*' ELSE " + _FORMS.format(k="(s_suppkey + s_nationkey)", a="s_suppkey % 3", b="s_nationkey % 7", c="s_suppkey % 2") + " END"
+_HIGH = "CASE s_suppkey % 7 WHEN 0 THEN NULL ELSE " + _FORMS.format(k="(s_suppkey + 2 * s_nationkey + 5)", a="(s_suppkey % 3 + s_nationkey % 3)", b="s_nationkey % 8", c="s_suppkey % 2") + " END"
+_NAME = "concat('pkg-', p_partkey % 40)"
+_INVENTORY = f"(SELECT DISTINCT {_ECO.format('(p_partkey % 40)')} AS ecosystem, {_NAME} AS name_key, {_NAME} AS name, {_VERSION} AS version FROM part)"
+# Two packages of each advisory, with ranges of their own.
+_AFFECTED = f"""(SELECT concat('CVE-2024-', s_suppkey) AS cve, {_ECO.format('((s_suppkey + j) % 40)')} AS ecosystem, concat('pkg-', (s_suppkey + j) % 40) AS name_key, low_version, s_suppkey % 2 = 0 AS low_included,
+  CASE WHEN j = 0 THEN high_version ELSE concat(s_nationkey % 6 + 1, '.', s_suppkey % 4, '.0') END AS high_version, s_suppkey % 5 = 0 AS high_included FROM (SELECT s_suppkey, s_nationkey, {_LOW} AS low_version, {_HIGH} AS high_version FROM supplier), range(0, 2) AS r(j))"""
+_RANGED = f"""(SELECT cve, name_key, name, ecosystem, version, CASE WHEN low_open AND high_open THEN 2 WHEN {_scheme_sql("ecosystem", "false", "v_pep", "v_sem")} IS NULL THEN 1 WHEN NOT low_open AND lo IS NULL THEN 1
+  WHEN NOT (low_open OR lo > 0 OR (low_included AND lo = 0)) THEN 0 WHEN NOT high_open AND hi IS NULL THEN 1 WHEN high_open OR hi < 0 OR (high_included AND hi = 0) THEN 2 ELSE 0 END AS r FROM (
+  SELECT *, {_compared_sql("low")} AS lo, {_compared_sql("high")} AS hi, low_version IN ('', '*') AS low_open, high_version IN ('', '*') AS high_open FROM
+  (SELECT *, {_keys_sql("version", "v_")} FROM {_INVENTORY}) i JOIN (SELECT *, {_keys_sql("low_version", "low_")}, {_keys_sql("high_version", "high_")} FROM (SELECT * REPLACE (coalesce(low_version, '*') AS low_version, coalesce(high_version, '*') AS high_version) FROM {_AFFECTED})) a USING (ecosystem, name_key)))"""
+_MATCH = f"(SELECT cve, ecosystem, name, version, (['CLEAR','UNKNOWN','AFFECTED'])[max(r) + 1] AS verdict FROM {_RANGED} GROUP BY ALL)"
+
+
+def _forms(k, a, b, c):
+    t = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, F.Column) else F.lit(x) for x in parts])
+    made = [None, F.lit("latest"), t(a, ".", b, "rc", c), t("v", a, ".", b, ".", c, "-beta.", b), t(a, ".", b, ".0"), t(a, ".", b, ".post", c), t(a, ".", b, ".dev", c), t(a, ".", b, "+local.", c), t("1!", a, ".", b), t(a, ".", b, ".", c, "-alpha"), F.lit("2.*")]
+    chosen = t(a, ".", b, ".", c)
+    for n, form in enumerate(made):
+        chosen = F.when(k % 13 == n, form).otherwise(chosen)
+    return chosen
+
+
+def _eco(k):
+    return F.element_at(F.array(*map(F.lit, ("pypi", "npm", "go", "other"))), (k % 4 + 1).cast("int"))
 
 
 def _inventory(spark, d):
-    p = table(spark, d, "part")
-    version = F.when(F.col("p_partkey") % 11 == 0, None).when(F.col("p_partkey") % 11 == 1, "latest").otherwise(F.concat_ws(".", F.col("p_partkey") % 5, "p_size", F.col("p_partkey") % 3))
-    return p.select(F.lit("pypi").alias("ecosystem"), text.normalise_name(F.col("p_name")).alias("name_key"), F.col("p_name").alias("name"), version.alias("version")).withColumn("key", versions.release_key(F.col("version")))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("pkg-"), k % 40)
+    return table(spark, d, "part").select(_eco(k % 40).alias("ecosystem"), name.alias("name_key"), name.alias("name"), _forms(k, k % 5, F.col("p_size") % 9, k % 3).alias("version")).distinct()
 
 
 def _affected(spark, d):
-    s, p = table(spark, d, "supplier"), table(spark, d, "part").select("p_partkey", "p_name")
-    a = s.join(p, F.col("p_partkey") == F.col("s_suppkey"))
-    k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    a = a.select(F.concat(F.lit("CVE-2024-"), k).alias("cve"), F.lit("pypi").alias("ecosystem"), text.normalise_name(F.col("p_name")).alias("name_key"), F.concat_ws(".", k % 3, n).alias("low_version"), (k % 2 == 0).alias("low_included"), F.when(k % 7 == 0, None).otherwise(F.concat_ws(".", k % 3 + n % 3, n, F.lit(0))).alias("high_version"), (k % 5 == 0).alias("high_included"))
-    return a.withColumn("low", versions.release_key(F.col("low_version"))).withColumn("high", versions.release_key(F.col("high_version")))
+    k, n, j = F.col("s_suppkey"), F.col("s_nationkey"), F.col("j")
+    s = table(spark, d, "supplier").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    low = F.when(k % 6 == 0, "*").otherwise(_forms(k + n, k % 3, n % 7, k % 2))
+    high = F.when(j == 1, F.concat_ws(".", (n % 6 + 1).cast("string"), (k % 4).cast("string"), F.lit("0"))).when(k % 7 == 0, None).otherwise(_forms(k + 2 * n + 5, k % 3 + n % 3, n % 8, k % 2))
+    return s.select(F.concat(F.lit("CVE-2024-"), k).alias("cve"), _eco((k + j) % 40).alias("ecosystem"), F.concat(F.lit("pkg-"), (k + j) % 40).alias("name_key"), low.alias("low_version"), (k % 2 == 0).alias("low_included"), high.alias("high_version"), (k % 5 == 0).alias("high_included"))
 
 
 @query(f"SELECT cve, ecosystem, name, version, verdict FROM {_MATCH}")
@@ -257,9 +325,23 @@ def sca_match(spark, d):
     return sca.match_inventory(_inventory(spark, d), _affected(spark, d))
 
 
-@query(f"SELECT cve, name, arg_max(high_version, high) AS fixed_in FROM (SELECT DISTINCT m.cve, m.name, a.high, a.high_version FROM {_MATCH} m JOIN {_AFFECTED} a ON m.cve = a.cve WHERE verdict = 'AFFECTED' AND NOT high_included AND high IS NOT NULL) GROUP BY cve, name")
+@query(f"""WITH b AS (SELECT DISTINCT cve, ecosystem, name_key, high_version, CASE WHEN ecosystem IN ('npm', 'go', 'crates') THEN {_sem_sql("high_version")} ELSE coalesce({_pep_sql("high_version", True)}, {_sem_sql("high_version")}) END AS key FROM {_AFFECTED} WHERE NOT high_included AND high_version NOT IN ('', '*'))
+  SELECT m.cve, m.ecosystem, m.name, arg_max(high_version, (key, high_version)) AS fixed_in FROM (SELECT DISTINCT cve, ecosystem, name FROM {_MATCH} WHERE verdict = 'AFFECTED') m JOIN b ON b.cve = m.cve AND b.ecosystem = m.ecosystem AND b.name_key = m.name WHERE key IS NOT NULL GROUP BY ALL""")
 def sca_fix_hint(spark, d):
-    return sca.fix_hint(sca_match(spark, d), _affected(spark, d))
+    return sca.fix_hint(sca_match(spark, d), _inventory(spark, d), _affected(spark, d))
+
+
+@query(f"SELECT p_partkey, version, {_pep_sql('version', True)} AS pep, {_sem_sql('version')} AS sem FROM (SELECT p_partkey, {_VERSION} AS version FROM part)")
+def version_keys(spark, d):
+    k = F.col("p_partkey")
+    v = table(spark, d, "part").select(k, _forms(k, k % 5, F.col("p_size") % 9, k % 3).alias("version"))
+    return v.select("p_partkey", "version", versions.pep440(F.col("version")).alias("pep"), versions.semantic(F.col("version")).alias("sem"))
+
+
+@query(f"SELECT DISTINCT cve, name_key, CASE WHEN lo IS NULL AND hi IS NULL THEN 'all versions' ELSE concat_ws(' ', lo, hi) END AS ranges FROM (SELECT *, CASE WHEN low_version NOT IN ('', '*') THEN concat(CASE WHEN low_included THEN '>=' ELSE '>' END, low_version) END AS lo, CASE WHEN high_version NOT IN ('', '*') THEN concat(CASE WHEN high_included THEN '<=' ELSE '<' END, high_version) END AS hi FROM {_AFFECTED})")
+def version_ranges_text(spark, d):
+    c = F.col
+    return _affected(spark, d).select("cve", "name_key", versions.format_range(c("low_version"), c("low_included"), c("high_version"), c("high_included")).alias("ranges")).distinct()
 
 
 @query(f"SELECT ecosystem, name, version FROM {_INVENTORY} i WHERE version IS NOT NULL OR name NOT IN (SELECT name FROM {_INVENTORY} WHERE version IS NOT NULL)")
@@ -278,10 +360,10 @@ _SCORE = f"""(SELECT c_custkey, v, CASE WHEN impact <= 0 THEN 0.0 ELSE (CASE WHE
   FROM (SELECT c_custkey, {_VECTOR} AS v FROM customer)))))"""
 
 
-def _vectors(spark, d):
+def _vectors(spark, d, *keep):
     k = F.col("c_custkey")
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("CVSS:3.1/AV:"), at("NALP", k % 4), F.lit("/AC:"), at("LH", k % 2), F.lit("/PR:"), at("NLH", k % 3), F.lit("/UI:"), at("NR", F.floor(k / 2) % 2), F.lit("/S:"), at("UC", F.floor(k / 4) % 2), F.lit("/C:"), at("HLN", F.floor(k / 3) % 3), F.lit("/I:"), at("HLN", F.floor(k / 9) % 3), F.lit("/A:"), at("HLN", F.floor(k / 27) % 3)).alias("v"))
+    return table(spark, d, "customer").select("c_custkey", *keep, F.concat(F.lit("CVSS:3.1/AV:"), at("NALP", k % 4), F.lit("/AC:"), at("LH", k % 2), F.lit("/PR:"), at("NLH", k % 3), F.lit("/UI:"), at("NR", F.floor(k / 2) % 2), F.lit("/S:"), at("UC", F.floor(k / 4) % 2), F.lit("/C:"), at("HLN", F.floor(k / 3) % 3), F.lit("/I:"), at("HLN", F.floor(k / 9) % 3), F.lit("/A:"), at("HLN", F.floor(k / 27) % 3)).alias("v"))
 
 
 @query(f"SELECT c_custkey, v AS vector, round(score, 1) AS score FROM {_SCORE}")
@@ -289,10 +371,12 @@ def cvss_score(spark, d):
     return _vectors(spark, d).select("c_custkey", F.col("v").alias("vector"), F.round(cvss.base_score(F.col("v")), 1).alias("score"))
 
 
-@query(f"SELECT severity, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 13 = 0 THEN 'BLOCKER' WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'MAJOR' ELSE 'MINOR' END AS severity FROM {_SCORE}) GROUP BY severity")
+@query(f"SELECT severity, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 13 = 0 OR c_custkey % 17 = 0 THEN 'BLOCKER' WHEN c_custkey % 5 <> 0 AND score >= 9 THEN 'CRITICAL' WHEN c_custkey % 5 <> 0 AND score >= 7 THEN 'MAJOR' WHEN c_mktsegment = 'BUILDING' THEN 'CRITICAL' WHEN c_mktsegment = 'MACHINERY' THEN 'MAJOR' ELSE 'MINOR' END AS severity FROM {_SCORE} JOIN customer USING (c_custkey)) GROUP BY severity")
 def sca_severity(spark, d):
-    v = _vectors(spark, d).withColumn("score", cvss.base_score(F.col("v")))
-    return v.select(cvss.severity(F.col("c_custkey") % 13 == 0, F.col("score"), F.lit(None).cast("string")).alias("severity")).groupBy("severity").agg(F.count("*").alias("n"))
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    v = _vectors(spark, d, "c_mktsegment").withColumn("score", F.when(k % 5 != 0, cvss.base_score(F.col("v"))))
+    label = F.when(segment == "BUILDING", "critical").when(segment == "MACHINERY", "High").when(segment == "FURNITURE", "medium")
+    return v.select(cvss.severity(k % 13 == 0, k % 17 == 0, F.col("score"), label).alias("severity")).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 _EDGES = "(SELECT s_suppkey AS id, s_suppkey + 1 AS alias FROM supplier WHERE s_nationkey % 3 = 0)"
@@ -387,7 +471,7 @@ def lookalike_names(spark, d):
     s = lambda a, n=1000: F.substring("p_name", a, n)
     k = F.col("p_partkey") % 5
     altered = F.when(k == 0, F.concat(s(1, 1), s(3))).when(k == 1, F.concat(s(1, 3), s(3))).when(k == 2, F.concat(s(1, 1), s(3, 1), s(2, 1), s(4))).when(k == 3, F.concat(F.lit("x"), s(2))).otherwise(F.col("p_name"))
-    targets = p.groupBy(F.col("p_name").alias("target")).agg(F.count("*").alias("c")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "target")))
+    targets = p.groupBy(F.col("p_name").alias("target")).agg((-F.count("*")).alias("rank"))
     return names.lookalikes(p.select(altered.alias("name")), targets)
 
 
@@ -396,10 +480,19 @@ def name_normalize(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", text.normalise_name(F.col("s_name")).alias("name_key"))
 
 
-@query("SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey EXCEPT SELECT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'")
+_DECLARED = "(SELECT DISTINCT l_suppkey, concat((['', 'python-', ''])[l_partkey % 3 + 1], p_name, (['', '', '-python'])[l_partkey % 3 + 1]) AS name, l_partkey % 3 AS kind, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_IMPORTED = "(SELECT DISTINCT l_suppkey, replace(p_name, ' ', '_') AS module FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' AND l_linenumber < 3)"
+
+
+@query(f"SELECT l_suppkey, name, row_number() OVER (PARTITION BY l_suppkey ORDER BY name) AS place FROM {_DECLARED} d WHERE NOT EXISTS (SELECT 1 FROM {_IMPORTED} i WHERE i.l_suppkey = d.l_suppkey AND i.module = replace(d.p_name, ' ', '_'))")
 def unused_dependencies(spark, d):
-    used = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    return names.unused(used, used.filter("l_returnflag = 'R'"), ["l_suppkey", "p_brand"])
+    """Declared names, some with an affix that the module lacks, of which no form is imported; in their order."""
+    used = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    k = F.col("l_partkey") % 3
+    declared = used.select("l_suppkey", F.when(k == 1, F.concat(F.lit("python-"), "p_name")).when(k == 2, F.concat("p_name", F.lit("-python"))).otherwise(F.col("p_name")).alias("name")).distinct()
+    imported = used.filter("l_returnflag != 'N' and l_linenumber < 3").select("l_suppkey", F.regexp_replace("p_name", " ", "_").alias("module"))
+    left = names.unused_by_import(declared, imported, "l_suppkey")
+    return left.withColumn("place", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("name")).cast("long"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat('7:', event_id)), event_id) AS n FROM events) WHERE n <= 25")
@@ -469,10 +562,3 @@ def revenue_rollup(spark, d):
 @query()
 def normalize_unicode(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.unicode_nfkc("text")).alias("nfkc"))
-
-
-@query()
-def pep440_order(spark, d):
-    k = F.col("p_partkey")
-    version = F.concat_ws("", (k % 4).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("", "a1", "b2", "rc1", ".post1", ".dev3"))), (k % 6 + 1).cast("int")))
-    return table(spark, d, "part").select("p_partkey", version.alias("version")).withColumn("key", versions.pep440_sort_key("version"))

@@ -17,11 +17,27 @@ from tallyward.sources import readers, sinks
 from tallyward.streaming import events
 
 
-def test_pep440_order():
-    ordered = ["1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.2", "1.10", "2.0", "1!0.1"]
-    keys = [versions.pep440_key(v) for v in ordered]
-    assert keys == sorted(keys) and versions.pep440_key("1.0") == versions.pep440_key("1.0.0")
-    assert versions.pep440_key("latest") is None and versions.pep440_key("1" * 200) is None
+def ordered_keys(spark, key, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, v string").select("n", key(F.col("v")).alias("k")).collect()
+    return [r.k for r in sorted(rows)]
+
+
+def test_pep440_order(spark):
+    ordered = ["1.0.dev1", "1.0a1.dev2", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0+abc", "1.0+abc.2", "1.0+1", "1.0.post1.dev3", "1.0.post1", "1.0.1", "1.2", "1.10", "2.0", "12345678901234567890.1", "1!0.1"]
+    keys = ordered_keys(spark, versions.pep440, ordered)
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    same = ordered_keys(spark, versions.pep440, ["1.0", "1.0.0", " v1 ", "1.00"])
+    assert len(set(same)) == 1
+    assert ordered_keys(spark, versions.pep440, ["latest", "1" * 200, "2.*", "", None, "1..2"]) == [None] * 6
+    assert len(set(ordered_keys(spark, versions.pep440, ["1.0-1", "1.0.post1", "1.0rev1", "1.0-r1"]))) == 1
+
+
+def test_semantic_order(spark):
+    ordered = ["1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.1", "1.2.0", "1.10.0"]
+    keys = ordered_keys(spark, versions.semantic, ordered)
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert len(set(ordered_keys(spark, versions.semantic, ["v1.0", "1", "=1.0.0", "1.0.0+build.5"]))) == 1
+    assert ordered_keys(spark, versions.semantic, ["latest", "1.0rc1", "x", None]) == [None] * 4
 
 
 def test_release_key(spark):
@@ -30,17 +46,27 @@ def test_release_key(spark):
     assert k["1.0"] == k["1.0.0"] < k["1.2"] < k["1.10"] and k["01.2"] == k["1.2"] and k["x"] is None and k[None] is None and k["0"] is not None
 
 
-@pytest.mark.parametrize(("vector", "score"), [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1), ("CVSS:3.0/AV:L/AC:L/PR:L/UI:N/S:U/C:N/I:N/A:N", 0.0), ("nonsense", None)])
+@pytest.mark.parametrize(("vector", "score"), [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1), ("CVSS:3.0/AV:L/AC:L/PR:L/UI:N/S:U/C:N/I:N/A:N", 0.0), ("nonsense", None), ("CVSS:3.1/AV:N/AV:L/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", None), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:X/C:H/I:H/A:H", None), ("CVSS:2.0/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", None), (None, None)])
 def test_cvss(spark, vector, score):
     assert spark.range(1).select(cvss.base_score(F.lit(vector)).alias("s")).first().s == score
 
 
 def test_three_valued_match(spark):
-    inventory = spark.createDataFrame([("p", "a", "a", v) for v in ("1.0", "2.0", "latest", None)], "ecosystem string, name_key string, name string, version string").withColumn("key", versions.release_key(F.col("version")))
-    affected = spark.createDataFrame([("C-1", "p", "a", "0.5", True, "1.5", False), ("C-1", "p", "a", "3", True, None, False)], "cve string, ecosystem string, name_key string, low string, low_included boolean, high string, high_included boolean")
-    affected = affected.withColumn("low", versions.release_key(F.col("low"))).withColumn("high", versions.release_key(F.col("high")))
-    got = {r.version: r.verdict for r in sca.match_inventory(inventory, affected).collect()}
-    assert got == {"1.0": "AFFECTED", "2.0": "CLEAR", "latest": "UNKNOWN", None: "UNKNOWN"}
+    ranges = [("C-1", "pypi", "a", "0.5", True, "1.5", False), ("C-1", "pypi", "a", "3", True, None, False), ("C-2", "pypi", "a", "latest", True, "1.0", True), ("C-3", "pypi", "a", "*", True, "", True), ("C-4", "npm", "b", None, True, "1.0.0", False), ("C-5", "go", "c", "v1.2.3-beta.1", False, "1.2.3", False), ("C-6", "pypi", "a", "1.0", True, "1.0", True)]
+    affected = spark.createDataFrame(ranges, "cve string, ecosystem string, name_key string, low_version string, low_included boolean, high_version string, high_included boolean")
+    have = [("pypi", "a", "A", v) for v in ("1.0", "2.0", "latest", None, "1.5rc1", "1.5", "1.0+ubuntu1", "0.5.dev1")] + [("npm", "b", "B", v) for v in ("1.0.0-rc.1", "1.0.0", "1.0.0+x")] + [("go", "c", "C", v) for v in ("v1.2.3-beta.2", "1.2.3-beta", "1.2rc1")]
+    inventory = spark.createDataFrame(have, "ecosystem string, name_key string, name string, version string")
+    matched = sca.match_inventory(inventory, affected)
+    got = {(r.cve, r.version): r.verdict[0] for r in matched.collect()}
+    assert {v: got["C-1", v] for v in ("1.0", "2.0", "latest", None, "1.5rc1", "1.5", "0.5.dev1")} == {"1.0": "A", "2.0": "C", "latest": "U", None: "U", "1.5rc1": "A", "1.5": "C", "0.5.dev1": "C"}
+    assert {got["C-2", v] for v in ("1.0", "2.0", "latest")} == {"U"}  # the lower bound can't be compared
+    assert {x for (c, _), x in got.items() if c == "C-3"} == {"A"}
+    assert [got["C-4", v] for v in ("1.0.0-rc.1", "1.0.0", "1.0.0+x")] == ["A", "C", "C"]
+    assert [got["C-5", v] for v in ("v1.2.3-beta.2", "1.2.3-beta", "1.2rc1")] == ["A", "C", "U"]
+    assert got["C-6", "1.0+ubuntu1"] == "A"  # a bound without a label ignores the version's
+    two = spark.createDataFrame([("C-7", "pypi", "a", "0", True, "1.5", False), ("C-7", "pypi", "z", "0", True, "9.0", False), ("C-7", "pypi", "a", "0", True, "1.5rc1", False)], affected.schema)
+    hints = sca.fix_hint(sca.match_inventory(inventory, two), inventory, two).collect()
+    assert {(r.cve, r.name, r.fixed_in) for r in hints} == {("C-7", "A", "1.5")}
 
 
 def test_components_against_union_find(spark):
@@ -57,8 +83,12 @@ def test_components_against_union_find(spark):
         if a is not None and a != b:
             parent[max(root(a), root(b))] = min(root(a), root(b))
     want = {x: root(x) for x in parent}
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == want
+    for most in (0, 10**6):  # in rounds of all tasks, and in one task
+        got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long"), task_edges=most).collect()}
+        assert got == {k: v for k, v in want.items()}
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "src string, dst string")
+    assert {tuple(r) for r in graph.connected_components(named).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert graph.connected_components(named.limit(0)).count() == 0
 
 
 def test_cap_and_dedupe(spark):
