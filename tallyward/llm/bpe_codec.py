@@ -4,13 +4,16 @@ A rolling hash over the UTF-8 bytes cuts a text where its value meets a mask, so
 give equal chunks wherever they stand.  A chunk that a worker has met before is not encoded again: what is kept of a
 chunk is the encoding of its *core* (from its first to its last white space) and its ragged ends.
 
-Chunks are cut without regard for words, so the join of two chunks has to be repaired: the ragged end of the left one
-and the ragged start of the right one are encoded again as one piece.  The encoder never lets a token, a normalisation
-or an added token reach over white space, so the encoding on both sides of the repaired piece agrees exactly with what
-the chunks have; where a chunk has no white space at all the piece grows over further chunks until it has.
+Chunks are cut without regard for words, so the join of two chunks has to be repaired: a window of text around it is
+encoded again as one piece by the library, and its ids must begin and end with just those that the chunks have for the
+same words on both sides.  As long as they don't agree the window is widened over more words of both cores, at last over
+all of them; a text whose joins never agree is encoded whole.  Where a chunk has no white space at all the window grows
+over further chunks until it has.
 
-Within a core, the pieces that the encoder's own pattern makes (words, mostly) are encoded by the library once and kept.  All caches are
-bounded, and their content never changes a result.
+Within a core, the pieces that the encoder's own pattern makes (words, mostly) are encoded by the library once and kept.
+All caches are bounded, and their content never changes a result.  This holds for files whose normaliser and pattern are
+those below, which never let a token, a normalisation or an added token reach over white space; with any other file
+texts are encoded whole by the library.
 
 Cases: null and empty texts encode to no ids and decode to the empty text; very long texts are encoded whole; repeated
 rows give repeated results; an empty table gives an empty result; extra columns are ignored.
@@ -19,6 +22,7 @@ rows give repeated results; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -45,6 +49,20 @@ _ASCII = re.compile(rf"[a-z]+|[0-9]|{_ENDINGS}|[^ \t\n\ra-z0-9]+")
 _LATIN = re.compile(rf"[a-zß-öø-ÿ]+|[0-9]|{_ENDINGS}|[^ \t\n\ra-z0-9ß-öø-ÿ]+")
 
 
+# The normaliser and the pre-tokeniser of files whose texts may be cut at white space.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+
+
+def cut_at_white_space(file: dict) -> bool:
+    """Whether the texts of a tokenizer file may be cut at white space, as this module does."""
+    model, added = file["model"], file.get("added_tokens") or []
+    apart = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and not re.search(r"\s", t["content"]) and "<" in t["content"] for t in added)
+    return (file.get("normalizer"), file.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER) and apart and model["type"] == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("ignore_merges"))
+
+
 class Bounded(dict):
     """A cache in two generations: when the younger is full it becomes the older, which is then forgotten."""
 
@@ -64,6 +82,29 @@ class Bounded(dict):
             self.clear()
 
 
+def _last_words(core: str, n: int) -> str:
+    """The end of a core that holds its last n words."""
+    at = len(core)
+    for _ in range(n):
+        while at and core[at - 1] in " \t\n\r":
+            at -= 1
+        while at and core[at - 1] not in " \t\n\r":
+            at -= 1
+    # From the white space in front of the word; all of the core, if there is no more.
+    return core[max(0, at - 1) :] if core[:at].strip(" \t\n\r") else core
+
+
+def _first_words(core: str, n: int) -> str:
+    """The start of a core that holds its first n words."""
+    at = 0
+    for _ in range(n):
+        while at < len(core) and core[at] in " \t\n\r":
+            at += 1
+        while at < len(core) and core[at] not in " \t\n\r":
+            at += 1
+    return core[: at + 1] if core[at:].strip(" \t\n\r") else core
+
+
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """For each of several texts, given as consecutive UTF-8 bytes, where its chunks begin and end, by content."""
     n = len(data)
@@ -105,6 +146,8 @@ class ChunkCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.by_chunks = cut_at_white_space(json.load(f))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size()
@@ -114,7 +157,7 @@ class ChunkCodec:
         self.token = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
         self.joined = self.tokenizer.decoder is None  # then decoding joins the tokens by blanks
         self.words, self.chunks = Bounded(CACHE_WORDS), Bounded(CACHE_CHUNK_BYTES)
-        self.chunks_seen = self.chunks_encoded = 0
+        self.chunks_seen = self.chunks_encoded = self.joins_widened = 0
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -141,10 +184,16 @@ class ChunkCodec:
                 self.words.keep(piece, ids)
         return ["".join(map(known.__getitem__, x)) for x in split]
 
+    def whole(self, text: str) -> str:
+        """The ids of a text by the library alone."""
+        return "".join(map(chr, self.tokenizer.encode(text, add_special_tokens=False).ids))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The ids of consecutive texts: shared chunks are encoded once, then the joins are repaired."""
-        raw, cuts = data.tobytes(), cut_points(data, offsets)
-        texts = [[raw[a:b] for a, b in zip(c, c[1:], strict=False)] for c in cuts]
+        raw = data.tobytes()
+        if not self.by_chunks:
+            return [self.whole(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        texts = [[raw[a:b] for a, b in zip(c, c[1:], strict=False)] for c in cut_points(data, offsets)]
         have: dict[bytes, tuple] = {}
         new: list[bytes] = []
         for chunk in dict.fromkeys(c for t in texts for c in t):
@@ -154,37 +203,61 @@ class ChunkCodec:
                 have[chunk] = value
         self.chunks_seen += sum(map(len, texts))
         self.chunks_encoded += len(new)
-        cores = []
+        split = []
         for chunk in new:
             text = chunk.decode()
             first = _BREAK.search(text)
             last = max(map(text.rfind, " \t\n\r"))
             # (ragged start, core, ragged end); without white space all of it is ragged
-            have[chunk] = (text[: first.start()], text[first.start() : last + 1], text[last + 1 :]) if first else (text, None, "")
-            cores.append(have[chunk][1])
+            split.append((text[: first.start()], text[first.start() : last + 1], text[last + 1 :]) if first else (text, None, ""))
+        ids = iter(self.spans([core for _, core, _ in split if core is not None]))
+        for chunk, (start, core, end) in zip(new, split, strict=True):
+            have[chunk] = (start, core, end, None if core is None else next(ids))
+            self.chunks.keep(chunk, have[chunk], 4 * len(chunk) + 400)
         joins, plans = [], []
         for t in texts:
-            plan, ragged = [], ""
+            plan, ragged, left = [], "", ""
             for chunk in t:
-                start, core, end = have[chunk]
+                start, core, end, _ = have[chunk]
                 ragged += start
                 if core is None:
-                    continue  # the piece to encode again grows over this chunk
+                    continue  # the window grows over this chunk
                 plan += [len(joins), chunk]
-                joins.append(ragged)
-                ragged = end
+                joins.append((left, ragged, core))
+                ragged, left = end, core
             plans.append([*plan, len(joins)])
-            joins.append(ragged)
-        real = [c for c in cores if c is not None]
-        ids = self.spans(real + joins)
-        done = iter(ids[: len(real)])
-        for chunk, core in zip(new, cores, strict=True):
-            start, _, end = have[chunk]
-            have[chunk] = (start, None if core is None else next(done), end)
-        for chunk in new:
-            self.chunks.keep(chunk, have[chunk], 3 * len(chunk) + 400)
-        repaired = ids[len(real) :]
-        return ["".join([repaired[x] if isinstance(x, int) else have[x][1] for x in plan]) for plan in plans]
+            joins.append((left, ragged, ""))
+        repaired = self.repair(joins)
+        out = []
+        for t, plan in zip(texts, plans, strict=True):
+            parts = [repaired[x] if isinstance(x, int) else have[x][3] for x in plan]
+            out.append(self.whole(b"".join(t).decode()) if None in parts else "".join(parts))
+        return out
+
+    def repair(self, joins: list[tuple[str, str, str]]) -> list[str | None]:
+        """The ids of what is between the cores of each join (left core, ragged text, right core); None if windows over
+        all of both cores don't agree with the ids of the cores."""
+        out: list[str | None] = [None] * len(joins)
+        open_, words = range(len(joins)), 1
+        while open_:
+            sides = {k: (_last_words(joins[k][0], words), _first_words(joins[k][2], words)) for k in open_}
+            windows = {k: (left, joins[k][1], right) for k, (left, right) in sides.items()}
+            distinct = list(dict.fromkeys(windows.values()))
+            known = dict(zip(dict.fromkeys(x for left, _, right in distinct for x in (left, right)), self.spans(list(dict.fromkeys(x for left, _, right in distinct for x in (left, right)))), strict=True))
+            found = {}
+            for window, e in zip(distinct, self.tokenizer.encode_batch_fast(list(map("".join, distinct)), add_special_tokens=False), strict=True):
+                ids, left, right = "".join(map(chr, e.ids)), known[window[0]], known[window[2]]
+                if len(ids) >= len(left) + len(right) and ids.startswith(left) and ids.endswith(right):
+                    found[window] = ids[len(left) : len(ids) - len(right)]
+            again = []
+            for k in open_:
+                if (ids := found.get(windows[k])) is not None:
+                    out[k] = ids
+                elif sides[k] != (joins[k][0], joins[k][2]):
+                    again.append(k)
+            self.joins_widened += len(again)
+            open_, words = again, 4 * words
+        return out
 
     @staticmethod
     def array(ids: str) -> np.ndarray:

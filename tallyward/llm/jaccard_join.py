@@ -296,30 +296,26 @@ def _groups(texts: DataFrame, like: Similarity, seed: int, table: np.ndarray, to
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
-    """A bit table in which the slots of the wanted keys are set (a Bloom filter of one hash)."""
-    slots = _PART * 8
-    while slots < min(WANTED_MOST, WANTED_BITS * wanted.count()):
+    """A bit table in which the slots of the wanted keys are set (a Bloom filter of one hash).
+
+    Each task makes a table of its share of the keys, a million or more; the driver lays them over each other.
+    """
+    n, slots = wanted.count(), 1 << 16
+    while slots < min(WANTED_MOST, WANTED_BITS * n):
         slots *= 2
 
-    def run(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(slots, bool)
         for batch in batches:
-            if merge:
-                for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    held = bits.setdefault(part, np.zeros(_PART, np.uint8))
-                    held |= np.frombuffer(zstandard.decompress(data), np.uint8)
-            else:
-                slot = np.unique(batch.column(0).to_numpy() & (slots - 1))
-                for part in np.unique(slot >> 19).tolist():
-                    mine = slot[slot >> 19 == part] & (_PART * 8 - 1)
-                    np.bitwise_or.at(bits.setdefault(part, np.zeros(_PART, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([zstandard.compress(x.tobytes()) for x in bits.values()], pa.binary())], ["part", "data"])
+            bits[batch.column(0).to_numpy() & (slots - 1)] = True
+        for k in range(0, slots, _PART * 8):
+            yield pa.RecordBatch.from_arrays([pa.array([k // 8], pa.int64()), pa.array([zstandard.compress(np.packbits(bits[k : k + _PART * 8]).tobytes())], pa.binary())], ["at", "data"])
 
     table = np.zeros(slots // 8, np.uint8)
-    own = wanted.select("key").mapInArrow(partial(run, merge=False), "part int, data binary")
-    # WANTED_MOST / 8 bytes (32 MB) come to the driver at most.
-    for row in own.repartition("part").mapInArrow(partial(run, merge=True), "part int, data binary").toLocalIterator():
-        table[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+    # A table has WANTED_MOST / 8 bytes (32 MB) at most; tables come to the driver part by part, one task after another.
+    for row in wanted.select("key").coalesce(max(1, min(64, n >> 20))).mapInArrow(run, "at long, data binary").toLocalIterator():
+        part = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+        table[row["at"] : row["at"] + len(part)] |= part
     return table
 
 
@@ -333,7 +329,7 @@ def _members(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             keys, members = [], []
             for _, x in sets_of(batch.column(0)):
                 key = digest(x, seed)[0] if len(x) else None
-                if key is None or key in seen or not marks[(slot := key & (len(marks) * 8 - 1)) >> 3] >> (slot & 7) & 1:
+                if key is None or key in seen or not marks[(slot := key & (len(marks) * 8 - 1)) >> 3] >> (7 - (slot & 7)) & 1:
                     continue
                 seen.add(key)
                 keys.append(key)
@@ -557,7 +553,7 @@ def jaccard_rows(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *(c.alias(n) for n, c in more.items()))
     survey, seed = _survey(rows, like)
     parts = similar_classes(rows.select("text"), like, survey, seed)
-    return survey.filter("key is not null").join(parts, "key", "left").select("doc_id", *more, F.coalesce("part", "key").alias("part"))
+    return survey.filter("key is not null").select("doc_id", *more, "key").join(parts, "key", "left").select("doc_id", *more, F.coalesce("part", "key").alias("part"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:

@@ -5,17 +5,20 @@ can't use (its documents' tokens times the epochs allowed) is shared by its sibl
 weights.  Since a node is never given more than all below it can use, a shortage is made up among siblings first and
 reaches an ancestor's siblings only when no sibling has room.  The split is exact in integers: children are taken in
 the order of capacity over weight; the ones that fill up get their capacity, the others floors of their shares and, in
-that order, one token each of what is left.
+that order, one token each of what is left.  Budgets are computed in decimals of 38 digits, so they are exact beyond
+2**53 tokens; so is the order for weights below 2**26.
 
 A leaf's tokens are then taken from its documents in seeded order (the MD5 of seed, epoch and id), epoch after epoch: a
 document is taken while the tokens before it are fewer than the leaf's budget, so a budget is exceeded by less than one
 document.  No leaf is sorted in one place: tokens are summed by the first digits of the digest, running sums over those
-sums give the slice in which the budget ends, and only the documents of that slice are ordered.  All else is decided by
+sums (65,536 rows for a leaf at most, however many documents it has) give the slice in which the budget ends, and only
+the documents of that slice are ordered.  All else is decided by
 comparing digests with one short row for each leaf, so texts are never shuffled.
 
 Everything is DataFrame operations.  Cases: null domains, languages or sources are leaves like any others; a null or
 empty text has no tokens and is taken as long as its leaf has budget left where it stands; a weight of 0 excludes a
-subtree; repeated ids are ordered by text; an empty table gives an empty result; other columns are passed through.
+subtree; repeated ids are ordered by text; an empty table gives an empty result; other columns are passed through,
+whatever their names, but columns named m_domain, m_lang, m_source, m_tokens or m_epoch are replaced.
 """
 
 from __future__ import annotations
@@ -40,17 +43,19 @@ def count_words(text: Column) -> Column:
 
 def split_budget(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     """Adds ``got`` to rows (parent columns, name, weight, capacity, given): each parent's ``given`` split by water level."""
-    order = Window.partitionBy(*parent).orderBy((F.col("capacity") / F.col("weight")).asc(), F.col(name).asc_nulls_first())
+    # Capacity over weight: whole part, then a fraction of small integers, which a double tells apart.
+    by_share = [F.expr("capacity div weight").asc(), (F.expr("capacity % weight").cast("double") / F.col("weight")).asc(), F.col(name).asc_nulls_first()]
+    order = Window.partitionBy(*parent).orderBy(*by_share)
     before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     n = nodes.filter("weight > 0").withColumn("rest", (F.col("given") - F.coalesce(F.sum("capacity").over(before), F.lit(0))).cast(_WHOLE)).withColumn("share", F.sum("weight").over(behind).cast(_WHOLE))
     # Filled up to its capacity: the level that would be reached with this child and those behind it is above it.
-    n = n.withColumn("full", F.expr("capacity * share <= weight * rest"))
+    n = n.withColumn("full", F.expr(f"cast(capacity as {_WHOLE}) * share <= cast(weight as {_WHOLE}) * rest"))
     n = n.withColumn("level_rest", F.first(F.when(~F.col("full"), F.col("rest")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     n = n.withColumn("level_share", F.first(F.when(~F.col("full"), F.col("share")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    n = n.withColumn("part", F.when(F.col("full"), F.col("capacity").cast("long")).otherwise(F.expr("cast((weight * level_rest) div level_share as long)")))
+    n = n.withColumn("part", F.when(F.col("full"), F.col("capacity").cast("long")).otherwise(F.expr(f"cast((cast(weight as {_WHOLE}) * level_rest) div level_share as long)")))
     whole = Window.partitionBy(*parent)
     n = n.withColumn("left_over", F.least(F.col("given"), F.sum("capacity").over(whole)) - F.sum("part").over(whole))
-    place = F.row_number().over(Window.partitionBy(*parent, "full").orderBy((F.col("capacity") / F.col("weight")).asc(), F.col(name).asc_nulls_first()))
+    place = F.row_number().over(Window.partitionBy(*parent, "full").orderBy(*by_share))
     return n.withColumn("got", (F.col("part") + F.when(~F.col("full") & (place <= F.col("left_over")), 1).otherwise(0)).cast("long"))
 
 
@@ -99,16 +104,17 @@ def mix(
 
     ``share`` is the size of the mix as a share of all tokens (in thousandths, rounded down).
     """
-    rows = docs.withColumns({"m_domain": domain, "m_lang": lang, "m_source": source, "m_tokens": tokens.cast("long")})
-    tie = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    key = lambda epoch: F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), tie)
+    # A row's own columns stand in one, so that their names can't clash with those used here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), domain.alias("m_domain"), lang.alias("m_lang"), source.alias("m_source"), tokens.cast("long").alias("m_tokens"))
+    tie = F.md5(F.coalesce(F.col("row")[text_col], F.lit("")))
+    key = lambda epoch: F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("row")[id_col].cast("string"), F.lit("null")))), tie)
     narrow = cut(rows.select(*_LEAF, "m_tokens", *[key(F.lit(e)).alias(f"k{e}") for e in range(epochs)]))
 
     leaves = narrow.groupBy(*_LEAF).agg(F.sum("m_tokens").alias("supply"), F.count("*").alias("n")).withColumn("capacity", F.col("supply") * epochs)
-    total = F.floor(F.col("supplied") * int(share * 1000) / 1000)
+    total = F.expr(f"cast(supplied as {_WHOLE}) * {int(share * 1000)} div 1000")
     plan = budgets(leaves, weights, total).join(leaves.select(*[F.col(c).alias(f"{c}_") for c in _LEAF], "supply"), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in _LEAF]).select(*_LEAF, "supply", "budget")
     # Whole epochs, and what is left for the last one.
-    plan = plan.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("budget") / F.col("supply"))).otherwise(0).cast("int")).withColumn("last", F.expr("budget - whole * supply"))
+    plan = plan.withColumn("whole", F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(0).cast("int")).withColumn("last", F.expr("budget - whole * supply"))
     plan = cut(plan)
 
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in _LEAF]
@@ -131,7 +137,9 @@ def mix(
     chosen = rows.join(small, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in _LEAF])
     own = F.coalesce(*[F.when(F.col("whole") == e, key(F.lit(e))) for e in range(epochs)])
     times = F.col("whole") + F.when(F.col("upto").isNotNull() & (own <= F.col("upto")), 1).otherwise(0)
-    return chosen.withColumn("m_times", times).filter("m_times > 0").withColumn("m_epoch", F.explode(F.sequence(F.lit(0), F.col("m_times") - 1))).drop(*[f"{c}_" for c in _LEAF], "whole", "upto", "m_times")
+    taken = chosen.withColumn("times", times).filter("times > 0").withColumn("m_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    own_columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in (*_LEAF, "m_tokens", "m_epoch")]
+    return taken.select(*own_columns, *_LEAF, "m_tokens", "m_epoch")
 
 
 #: Rows (leaves) that are sent to all tasks at most; with more the join is left to Spark.

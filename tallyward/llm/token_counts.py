@@ -10,7 +10,9 @@ that merge independently of each other.  The rules for cutting are computed from
 the count of a segment is kept in a cache of bounded size, since segments (words, mostly) recur across documents.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; very long texts and segments are counted whole; repeated rows
-give repeated results; extra columns are ignored; an empty table gives an empty result.
+give repeated results; extra columns are ignored; an empty table gives an empty result.  A model with a normaliser,
+without a mark before the text, without bytes for unknown characters, of another type than BPE or with pieces that a
+user has defined is refused when it is loaded, since its counts would be wrong.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class PieceCounter(dict):
         import sentencepiece
 
         super().__init__()
+        self._refuse_others(model_file)
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         # With spaces instead of marks an ASCII text stays one byte a character.
@@ -46,6 +49,24 @@ class PieceCounter(dict):
         self.older: dict[str, int] = {}
         self.cut = self._cutter(self.rank)
 
+    @staticmethod
+    def _refuse_others(model_file: str) -> None:
+        from sentencepiece import sentencepiece_model_pb2 as messages
+
+        with open(model_file, "rb") as f:
+            model = messages.ModelProto.FromString(f.read())
+        normal, trained = model.normalizer_spec, model.trainer_spec
+        against = {
+            "a normaliser": bool(normal.precompiled_charsmap or normal.normalization_rule_tsv),
+            "no mark before the text": not normal.add_dummy_prefix or trained.treat_whitespace_as_suffix,
+            "spaces that are removed or kept": normal.remove_extra_whitespaces or not normal.escape_whitespaces,
+            "another type than BPE": trained.model_type != trained.BPE,
+            "no bytes for unknown characters": not trained.byte_fallback,
+            "pieces that a user has defined": any(p.type == p.USER_DEFINED for p in model.pieces),
+        }
+        if found := [k for k, v in against.items() if v]:
+            raise ValueError(f"token counts can't be made for a model with {', '.join(found)}")
+
     @staticmethod
     def _cutter(pieces) -> re.Pattern:
         """A pattern whose matches cover any text and between which no piece has a pair of characters.

@@ -6,7 +6,8 @@ dimensions, by Cauchy and Schwarz), is below the k-th best score known is droppe
 Bounds are widened for rounding and a tie survives, so the result is exact.
 
 Queries are sent out in blocks of a fixed size in bytes; each block is one pass over all candidates, whose partitions
-keep k rows for each query, and the best of these are ranked in Spark.
+keep k rows for each query, and the best of these are ranked in Spark.  Of several blocks one at a time is held by the
+driver and the tasks: its k rows for each query are written to the shared folder before the next one is sent.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; a vector is compared with those
 of its own length; equal scores rank by the smaller id; repeated rows are candidates each, a repeated query counts
@@ -22,9 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.plans.lineage import written
+
 #: Bytes of query components sent to the tasks at once; dimensions in a block; candidates handled at once.
 QUERY_BYTES, BLOCK, CANDIDATES = 16 << 20, 16, 4096
 _NONE = np.iinfo(np.int64).min
@@ -101,7 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     size = queries.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / query_bytes))
 
-    def search(number: int) -> DataFrame:
+    def search(number: int) -> tuple[DataFrame, Broadcast]:
         mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).collect()  # about query_bytes
         by_size: dict[int, list] = {}
         for r in mine:
@@ -119,8 +123,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
                 used = np.arange(b.k) < b.count[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, b.count)), pa.array(b.found[used]), pa.array(b.scores[used])], ["query_id", "vec_id", "score"])
 
-        return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-
-    found = reduce(DataFrame.unionByName, map(search, range(blocks)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score"), shared
+
+    if blocks == 1:
+        return search(0)[0]
+    done = []
+    for number in range(blocks):
+        ranked, shared = search(number)
+        done.append(written(ranked))
+        shared.destroy()  # nothing reads the block again
+    return reduce(DataFrame.unionByName, done)

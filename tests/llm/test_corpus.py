@@ -53,6 +53,17 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs_of(spark, ["a"]).limit(0), PIECES).count() == 0
 
 
+def test_token_counts_refuses_other_models(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as messages
+
+    with open(PIECES, "rb") as f:
+        model = messages.ModelProto.FromString(f.read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "other.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="removed"):
+        token_counts.PieceCounter(str(tmp_path / "other.model"))
+
+
 def test_codec(spark):
     from tokenizers import Tokenizer
 
@@ -70,6 +81,36 @@ def test_codec(spark):
     for _, _, data, offsets in textkit.slices(pa.array([base] * 5)):
         codec.encode(data, offsets)
     assert codec.chunks_encoded < codec.chunks_seen / 3  # shared chunks are encoded once
+    assert bpe_codec.encode(docs_of(spark, ["a"]).limit(0), BPE).count() == bpe_codec.encode_digests(docs_of(spark, ["a"]).limit(0), BPE).count() == 0
+
+
+def test_codec_of_another_file(spark):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = [*odd_texts(60, 3), "words  and   more words\n" * 300]
+    for r in bpe_codec.encode(docs_of(spark, texts), file).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (list(r.ids), r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
+
+
+def test_joins_are_widened_until_they_agree(monkeypatch):
+    """With wrong ids for short spans, as of a tokenizer that looks further, the windows grow until all agree."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    want = "".join(map(chr, library.encode(text, add_special_tokens=False).ids))
+    data, offsets = textkit.utf8_buffers(pa.array([text]))
+    codec = bpe_codec.ChunkCodec(BPE)
+    assert codec.encode(data, offsets) == [want] and not codec.joins_widened
+    spans = bpe_codec.ChunkCodec.spans
+    for longest in (30, 1 << 30):  # at last the text is encoded whole
+        codec = bpe_codec.ChunkCodec(BPE)
+        monkeypatch.setattr(bpe_codec.ChunkCodec, "spans", lambda self, texts, n=longest: [x[:-1] + "!" if 0 < len(t) < n else x for x, t in zip(spans(self, texts), texts, strict=True)])
+        assert codec.encode(data, offsets) == [want] and codec.joins_widened > 5
 
 
 def test_fingerprints(spark):
@@ -441,10 +482,19 @@ def test_mixing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = queries.mixed(df).groupBy("m_domain", "m_lang", "m_source").agg(F.sum("m_tokens").alias("t"), F.max("m_epoch").alias("e")).collect()
     total = sum(len((t or "").split()) for _, t, _, _, _ in rows)
+    clashing = df.withColumns({c: F.lit(7) for c in ("whole", "upto", "m_times", "m_tokens", "m_domain_", "times", "row", "supply", "k0")})
+    again = queries.mixed(clashing)
+    assert again.select(*df.columns, "m_epoch", "m_tokens").exceptAll(queries.mixed(df).select(*df.columns, "m_epoch", "m_tokens")).count() == 0
+    assert again.filter("whole = 7 and upto = 7 and row = 7 and times = 7").count() == again.count() == queries.mixed(df).count() > 0
     assert total * 0.6 - 1 <= sum(r.t for r in got) <= total * 0.6 + 30 * len(got) and all(r.e < 4 for r in got)
     assert queries.mixed(df.limit(0)).count() == 0
     b = mixing.budgets(spark.createDataFrame([("a", "x", "s", 10, 10), ("a", "x", "t", 90, 90), ("b", "y", "u", 900, 900)], "m_domain string, m_lang string, m_source string, supply long, capacity long"), ({}, {}, {}), 400)
     assert {r.m_source: r.budget for r in b.collect()} == {"s": 10, "t": 90, "u": 300}
+    # Beyond what a double holds.
+    big = 10**18 + 1
+    b = mixing.budgets(spark.createDataFrame([("a", "x", "s", big, big), ("b", "y", "u", big, big), ("c", "z", "v", 3, 3)], "m_domain string, m_lang string, m_source string, supply long, capacity long"), ({"a": 2}, {}, {}), big)
+    rest = big - 3
+    assert {r.m_source: r.budget for r in b.collect()} == {"v": 3, "s": 2 * rest // 3 + (1 if rest % 3 else 0), "u": rest - (2 * rest // 3 + (1 if rest % 3 else 0))}
 
 
 def test_pipeline_stages(spark):
