@@ -53,15 +53,19 @@ def matches(rule: Rule, line: Column, lang: Column | None = None) -> Column:
 
 
 def scan_lines(docs: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """(kept columns, line_no, rule, type, severity): one pass over the lines, all rules at once.
+    """(kept columns, line_no, line, rule, type, severity): one pass over the texts, all rules at once.
 
-    A document without any match of any rule is left out before its lines are made.
+    A rule is first tried on the whole text, by its literal alone where it has one, so most texts lose most rules before
+    their lines are made; lines are tested in the row, and only hits are exploded.
     """
     text = F.col("text")
-    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
-    some = docs.filter(text.rlike(any_rule)).select(*keep, "text")
-    found = F.array_compact(F.array(*[F.when(matches(r, F.col("line")), F.struct(F.lit(r.id).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"))) for r in rules]))
-    return lines(some).select(*keep, "line_no", "line", F.explode(found).alias("f")).select(*keep, "line_no", "line", "f.*")
+    tried = [F.coalesce(text.contains(r.gate) if r.gate else text.rlike(r.pattern), F.lit(False)) for r in rules]
+    some = docs.select(*keep, "text", F.array(*tried).alias("tried")).filter(F.exists("tried", lambda x: x))
+    hit = lambda line: F.array_compact(F.array(*[F.when(F.element_at(F.col("tried"), n + 1) & matches(r, line), F.lit(n)) for n, r in enumerate(rules)]))
+    tested = F.transform(F.split("text", "\n"), lambda line, k: F.transform(hit(line), lambda n: F.struct((k + 1).cast("long").alias("line_no"), line.alias("line"), n.alias("n"))))
+    hits = some.select(*keep, F.explode(F.flatten(tested)).alias("h"))
+    named = lambda of: F.element_at(F.array(*[F.lit(getattr(r, of)) for r in rules]), F.col("h.n") + 1)
+    return hits.select(*keep, "h.line_no", "h.line", named("id").alias("rule"), named("type").alias("type"), named("severity").alias("severity"))
 
 
 def scan_whole_text(docs: DataFrame, pattern: str) -> DataFrame:
@@ -79,12 +83,15 @@ def dedupe(findings: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def cap(findings: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each key by order; ``omitted`` on the last one says how many more there were."""
-    # Both windows share one partitioning and one sort.
+    """At most ``most`` rows of each key by order; ``omitted`` on the last one says how many more there were.
+
+    Counts are aggregated on their own: a row number alone lets each task drop what is beyond the limit before the
+    shuffle, so a key with very many findings is never sorted whole.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    whole = Window.partitionBy(*keys)
-    numbered = findings.withColumn("place", F.row_number().over(w).cast("long")).withColumn("n_", F.count("*").over(whole))
-    return numbered.filter(F.col("place") <= most).withColumn("omitted", F.when((F.col("place") == most) & (F.col("n_") > most), F.col("n_") - most).otherwise(0)).drop("n_")
+    first = findings.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= most)
+    over = findings.groupBy(*keys).agg(F.count("*").alias("n_")).filter(F.col("n_") > most)
+    return first.join(over, keys, "left").withColumn("omitted", F.when((F.col("place") == most) & F.col("n_").isNotNull(), F.col("n_") - most).otherwise(0)).drop("n_")
 
 
 def suppress(findings: DataFrame, all_lines: DataFrame, marker: str, keys: list[str], never: str = r"^(SC|X)-") -> DataFrame:

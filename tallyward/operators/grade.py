@@ -52,6 +52,27 @@ def grade(findings: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     return g.withColumn("gate", F.col("security").isin("A", "B") & F.col("reliability").isin("A", "B", "C") & F.col("maintainability").isin("A", "B", "C")).drop("worst_vuln", "worst_bug")
 
 
+def gate(findings: DataFrame, metrics: DataFrame, copies: DataFrame, key: str, supply_chain: str) -> DataFrame:
+    """The six conditions of the full gate for each key of metrics (key, ncloc), and whether all hold.
+
+    No vulnerability of MAJOR or more, no bug of CRITICAL or more, at most 20 smells for 100 lines, less than a tenth of the
+    lines duplicated (copies: key, measured, duplicated), no hotspot of CRITICAL or more, no blocker of the supply chain.
+    """
+    worst = lambda kind: F.min(F.when(F.col("type") == kind, severity_order()))
+    high = F.col("severity").isin("BLOCKER", "CRITICAL")
+    counts = findings.groupBy(key).agg(worst("VULN").alias("vuln"), worst("BUG").alias("bug"), F.count_if(F.col("type") == "SMELL").alias("smells"), F.count_if((F.col("type") == "HOTSPOT") & high).alias("hot"), F.count_if(F.col("rule").rlike(supply_chain) & (F.col("severity") == "BLOCKER")).alias("chain"))
+    sized = metrics.groupBy(key).agg(F.sum("ncloc").alias("ncloc"))
+    doubled = copies.groupBy(key).agg(F.sum("measured").alias("measured"), F.sum("duplicated").alias("duplicated"))
+    g = sized.join(counts, key, "left").join(doubled, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    conditions = {
+        "secure": F.coalesce(F.col("vuln"), F.lit(6)) > 3, "reliable": F.coalesce(F.col("bug"), F.lit(6)) > 2, "maintainable": zero("smells") * 100 <= 20 * F.col("ncloc"),
+        "unduplicated": F.col("duplicated") * 10 < F.col("measured"), "reviewed": zero("hot") == 0, "chain_clean": zero("chain") == 0,
+    }
+    named = g.select(key, *[c.alias(n) for n, c in conditions.items()])
+    return named.withColumn("passed", F.forall(F.array(*conditions), lambda x: x))
+
+
 def per_file_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key).agg(F.count("*").alias("n"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("rule", F.lit(1))))).alias("rules"))
 

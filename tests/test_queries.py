@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyward.plans.queries import ORACLES, QUERIES
+from tallyward.plans.every import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
