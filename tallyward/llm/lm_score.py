@@ -1,14 +1,17 @@
 """Language-model scores of documents: a causal self-attention model in numpy over subword ids.
 
-Every token (a word, or the end of its text) begins with a subword of a public vocabulary: the longest piece that it
-starts with.  The most frequent of these are the model's subword ids; the others share one, the end has one of its own.
-A text's probability is the product over its tokens of P(subword id | ids before) and P(token | its subword id).  The
-first factor is the attention model's, the second comes from the counts of all training tokens, smoothed by one.
+Every token (a word, or the end of its text) is cut into subword ids of a public vocabulary, the longest piece that fits
+first: the ids are every byte and the pieces that most tokens begin with, 1,023 in all, and one for the end.  The model
+attends to all subword ids of the tokens before: a place of its input is the sum of the embeddings of a token's ids.  A
+text's probability is the product over its tokens of P(first id | ids before), which is the attention model's, by classes
+of ids and then by members, and P(the token | its first id), for the ids behind the first, which comes from the counts of
+all training tokens that begin with it, smoothed by one: what follows within a word is a matter of the word, which counts
+know exactly and a model of this size does not.
 
 Counting: a task sums its tokens and hands on (hash, count, subword); Spark sums these for all tasks.  Training: each
 task runs Adam from the same weights over windows of its training documents; the weights are averaged by windows, and
-the next round starts there.  The windows of a text follow each other and the rounds take them in turns, so every
-training token is learned from, just once.  Scoring: windows overlap by
+the next round starts there, so scores depend (in their last digits) on how the table is dealt into tasks.  The windows
+of a text follow each other and the rounds take them in turns, so every training token is learned from, just once.  Scoring: windows overlap by
 ``CONTEXT`` ids, each token is scored once, in the window in which it has most context, and windows are run in batches
 under a causal mask.  Words with a count above a threshold, ``HEAD_WORDS`` at most, are sent to the tasks; the others
 are looked up by a join.
@@ -33,46 +36,114 @@ from tallyward.llm import textkit
 from tallyward.plans.lineage import written
 
 HEAD_WORDS = 500_000
-IDS, WIDTH, WINDOW, CONTEXT = 128, 16, 32, 8
-OTHER, END, START = 0, IDS - 1, IDS
-ROUNDS, BATCH, RATE = 2, 32, 1e-2
+#: Subword ids: FAN classes of FAN ids each.
+FAN = 32
+IDS, WIDTH, WINDOW, CONTEXT = FAN * FAN, 16, 32, 8
+END, START = IDS - 1, IDS
+ROUNDS, BATCH, RATE = 2, 64, 1e-2
 #: Share of the attention model in P(subword id | ids before); the rest is the ids' own frequency.
 TRUST = 0.97
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
-_PIECE_BYTES = 4
+_PIECE_BYTES = 8
+#: Words of more bytes are cut into pieces one by one.
+_LONG_WORD = 64
 
 
 class Subwords:
-    """The pieces of a vocabulary that a token may begin with, longest match first; every byte is a piece."""
+    """The pieces of a vocabulary in lower case, of up to 8 bytes; every byte is a piece."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         found = {model.id_to_piece(k).replace("▁", "").lower().encode() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
-        pieces = sorted({p for p in found if 1 < len(p) <= _PIECE_BYTES} | {bytes([b]) for b in range(256)})
-        self.size, self.tables = len(pieces), {}
+        self.pieces = sorted({p for p in found if 1 < len(p) <= _PIECE_BYTES} | {bytes([b]) for b in range(256) if not 65 <= b <= 90})
+        self.size = len(self.pieces)
         self.power = textkit._power_tables(_PIECE_BYTES)[0]
+
+    def hashes(self, pieces: list[bytes]) -> np.ndarray:
+        """Of pieces of one length, as a running sum over a text's bytes gives them."""
+        n = len(pieces[0])
+        return (textkit._LOWER_VALUES[np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, n)] * self.power[:n]).sum(axis=1, dtype=np.uint64)
+
+
+class _Lookup:
+    """Values of hashes: a table without collisions for some hundred keys, a sorted list for more."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.keys, self.values, self.factor = hashes[order], values[order], None
+        if len(hashes) <= 1024:
+            rng = np.random.default_rng(7)
+            for tries in range(64):
+                bits = 12 + tries // 8
+                factor, shift = np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1), np.uint64(64 - bits)
+                slot = hashes * factor >> shift
+                if len(np.unique(slot)) == len(slot):
+                    self.factor, self.shift = factor, shift
+                    self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+                    self.keys[slot], self.values[slot] = hashes, values
+                    return
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its value) of each."""
+        at = hashes * self.factor >> self.shift if self.factor is not None else np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, self.values[at]
+
+
+class Cutter:
+    """Cuts words into some of the pieces, the longest that fits first; ``values`` gives each piece its number."""
+
+    def __init__(self, pieces: Subwords, values: dict[bytes, int]):
+        self.power, self.tables = pieces.power, []
         for n in range(1, _PIECE_BYTES + 1):
-            chosen = [(k, np.frombuffer(p, np.uint8)) for k, p in enumerate(pieces) if len(p) == n]
-            hashes = (textkit._LOWER_VALUES[np.array([b for _, b in chosen]).reshape(-1, n)] * self.power[:n]).sum(axis=1, dtype=np.uint64)
-            order = np.argsort(hashes)
-            self.tables[n] = hashes[order], np.array([k for k, _ in chosen])[order]
-
-    def first(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The piece that each word begins with."""
-        out, held = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.uint64)
-        for n in range(1, _PIECE_BYTES + 1):
-            long = np.flatnonzero(ends - starts >= n)
-            held[long] += textkit._LOWER_VALUES[data[starts[long] + (n - 1)]] * self.power[n - 1]
-            keys, values = self.tables[n]
-            at = np.minimum(np.searchsorted(keys, held[long]), len(keys) - 1)
-            hit = keys[at] == held[long]
-            out[long[hit]] = values[at[hit]]
-        return out
+            if own := sorted(p for p in values if len(p) == n):
+                self.tables.append((n, _Lookup(pieces.hashes(own), np.array([values[p] for p in own], np.int32))))
+
+    def longest(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, bytes) of the longest piece at each place, that reaches no further than the word's end."""
+        value, size, held, done = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64), 0
+        for n, table in self.tables:
+            for k in range(done, n):
+                held += textkit._LOWER_VALUES[data[np.minimum(at + k, len(data) - 1)]] * self.power[k]
+            done = n
+            there, found = table.find(held)
+            hit = np.flatnonzero(there & (at + n <= ends))
+            value[hit], size[hit] = found[hit], n
+        return value, size
+
+    def cut(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first piece of each word, how many more it has, those in order)."""
+        first, size = self.longest(data, starts, ends)
+        more, owner, order = [], [], []
+        short = ends - starts <= _LONG_WORD
+        rest, at, place = np.flatnonzero((starts + size < ends) & short), starts + size, 0
+        while len(rest):
+            value, size = self.longest(data, at[rest], ends[rest])
+            more.append(value)
+            owner.append(rest)
+            order.append(np.full(len(rest), place))
+            at[rest] += size
+            rest, place = rest[at[rest] < ends[rest]], place + 1
+        for k in np.flatnonzero((at < ends) & ~short).tolist():
+            value, size = self.longest(data, np.arange(at[k], ends[k]), np.full(ends[k] - at[k], ends[k]))
+            steps, here, size = [], 0, size.tolist()
+            while here < len(size):
+                steps.append(here)
+                here += size[here]
+            more.append(value[steps])
+            owner.append(np.full(len(steps), k))
+            order.append(np.arange(len(steps)))
+        counts = np.zeros(len(starts), np.int64)
+        if not more:
+            return first, counts, np.zeros(0, np.int32)
+        more, owner, order = map(np.concatenate, (more, owner, order))
+        counts += np.bincount(owner, minlength=len(starts))
+        return first, counts, more[np.lexsort((order, owner))]
 
 
 _subwords: dict[str, Subwords] = {}
+_cutters: dict[tuple, Cutter] = {}
 
 
 def subwords(model_file: str) -> Subwords:
@@ -82,21 +153,63 @@ def subwords(model_file: str) -> Subwords:
     return _subwords[model_file]
 
 
+def cutter(model_file: str, chosen: tuple[int, ...] | None = None) -> Cutter:
+    """For all pieces, numbered as they are; or for some, numbered by their place among those."""
+    key = (model_file, chosen)
+    if key not in _cutters:
+        if len(_cutters) > 2:
+            _cutters.clear()
+        pieces = subwords(model_file)
+        _cutters[key] = Cutter(pieces, {pieces.pieces[p]: k for k, p in enumerate(range(pieces.size) if chosen is None else chosen)})
+    return _cutters[key]
+
+
+class Slice:
+    """The words of some texts as subword ids, once for each different word."""
+
+    def __init__(self, cut: Cutter, data: np.ndarray, offsets: np.ndarray):
+        w = self.words = textkit.words(data, offsets)
+        self.hashes, first, self.word = np.unique(w.hashes, return_index=True, return_inverse=True)
+        self.lead, self.more, self.rest = cut.cut(data, w.starts[first], w.ends[first])
+        self.begin = np.cumsum(self.more) - self.more
+
+    def rest_of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids behind the first, place in ``word`` of each) of words."""
+        n = self.more[word]
+        owner = np.repeat(np.arange(len(word)), n)
+        return self.rest[self.begin[word[owner]] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)], owner
+
+
 class Attention:
-    """One layer of causal self-attention with a residual path, and its gradients."""
+    """One layer of causal self-attention with a residual path, and its gradients.
+
+    A place of the input is the sum of the embeddings of all subword ids of a token, the first by one table and the
+    others by another; the output is a distribution over ids by classes, then by members of the class.
+    """
 
-    NAMES = ("E", "P", "Wq", "Wk", "Wv", "Wo", "U", "b")
+    NAMES = ("E", "R", "P", "Wq", "Wk", "Wv", "Wo", "U", "b", "V", "d")
 
     def __init__(self, frequency: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.w = {"E": small(IDS + 1, WIDTH), "P": small(WINDOW, WIDTH), "Wq": small(WIDTH, WIDTH), "Wk": small(WIDTH, WIDTH), "Wv": small(WIDTH, WIDTH), "Wo": small(WIDTH, WIDTH), "U": np.zeros((WIDTH, IDS), np.float32), "b": np.log(frequency).astype(np.float32)}
+        classes = frequency.reshape(FAN, FAN)
+        self.w = {"E": small(IDS + 1, WIDTH), "R": np.zeros((IDS, WIDTH), np.float32), "P": small(WINDOW, WIDTH), **{n: small(WIDTH, WIDTH) for n in ("Wq", "Wk", "Wv", "Wo")}}
+        self.w |= {"U": np.zeros((WIDTH, FAN), np.float32), "b": np.log(classes.sum(axis=1)).astype(np.float32), "V": np.zeros((FAN, WIDTH, FAN), np.float32), "d": np.log(classes / classes.sum(axis=1, keepdims=True)).astype(np.float32)}
         self.frequency = frequency
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-    def states(self, ids: np.ndarray) -> dict:
-        w, n = self.w, ids.shape[1]
-        x = w["E"][ids] + w["P"][:n]
+    def embedded(self, lead: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Rows for tokens with first ids ``lead`` and further ids ``rest`` of the tokens ``owner`` (rising)."""
+        x = self.w["E"][lead]
+        if len(rest):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            x[owner[first]] += np.add.reduceat(self.w["R"][rest], first)
+        return x
+
+    def states(self, x: np.ndarray) -> dict:
+        """x: (windows, places, WIDTH), embedded tokens."""
+        w, n = self.w, x.shape[1]
+        x = x + w["P"][:n]
         q, k, v = x @ w["Wq"], x @ w["Wk"], x @ w["Wv"]
         a = q @ k.transpose(0, 2, 1)
         a *= WIDTH**-0.5
@@ -107,40 +220,70 @@ class Attention:
         z = a @ v
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "z": z, "h": x + z @ w["Wo"]}
 
+    def _outputs(self, h: np.ndarray, wanted: np.ndarray) -> tuple:
+        """Rows ordered by class: (order, bounds of the classes, states, class distributions, member distributions)."""
+        kind = (wanted // FAN).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")
+        h, kind = h[order], kind[order]
+        bounds = np.searchsorted(kind, np.arange(FAN + 1))
+        by_class = h @ self.w["U"]
+        by_class += self.w["b"]
+        member = np.empty((len(h), FAN), h.dtype)
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            np.matmul(h[bounds[c] : bounds[c + 1]], self.w["V"][c], out=member[bounds[c] : bounds[c + 1]])
+        member += self.w["d"][kind]
+        for p in (by_class, member):
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+        return order, bounds, h, by_class, member
+
     def log10_next(self, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """log10 of the probability of the wanted ids after states h (rows)."""
-        scores = h @ self.w["U"]
-        scores += self.w["b"]
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
-        p = scores[np.arange(len(wanted)), wanted] / scores.sum(axis=1)
-        return np.log10(TRUST * p + (1 - TRUST) * self.frequency[wanted])
-
-    def gradients(self, ids: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict:
-        w, s = self.w, self.states(ids)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        scores = flat(s["h"]) @ w["U"] + w["b"]
-        scores -= scores.max(axis=1, keepdims=True)
-        p = np.exp(scores)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), wanted.ravel()] -= 1
-        p *= (real.ravel() / max(1, real.sum())).astype(np.float32)[:, None]
-        g = {"U": flat(s["h"]).T @ p, "b": p.sum(axis=0)}
-        dh = (p @ w["U"].T).reshape(s["h"].shape)
+        order, _, _, by_class, member = self._outputs(h, wanted)
+        row, own = np.arange(len(order)), wanted[order]
+        out = np.empty(len(order))
+        out[order] = np.log10(TRUST * by_class[row, own // FAN].astype(np.float64) * member[row, own % FAN] + (1 - TRUST) * self.frequency[own])
+        return out
+
+    def gradients(self, lead: np.ndarray, rest: np.ndarray, owner: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict:
+        """Of the mean loss over the real places of windows: lead, wanted, real are (windows, places); owner is flat."""
+        w, flat = self.w, lambda t: t.reshape(-1, t.shape[-1])
+        s = self.states(self.embedded(lead.ravel(), rest, owner).reshape(*lead.shape, WIDTH))
+        places = np.flatnonzero(real)
+        order, bounds, h, by_class, member = self._outputs(flat(s["h"])[places], wanted.ravel()[places])
+        places, own, row = places[order], wanted.ravel()[places][order], np.arange(len(order))
+        by_class[row, own // FAN] -= 1
+        member[row, own % FAN] -= 1
+        by_class /= max(1, len(row))
+        member /= max(1, len(row))
+        g = {"U": h.T @ by_class, "b": by_class.sum(axis=0), "V": np.zeros_like(w["V"]), "d": np.zeros_like(w["d"])}
+        d = by_class @ w["U"].T
+        there = np.flatnonzero(np.diff(bounds))
+        if len(there):
+            g["d"][there] = np.add.reduceat(member, bounds[there])
+        for c in there.tolist():
+            part = slice(bounds[c], bounds[c + 1])
+            np.matmul(h[part].T, member[part], out=g["V"][c])
+            d[part] += member[part] @ w["V"][c].T
+        dh = np.zeros_like(flat(s["h"]))
+        dh[places] = d
+        dh = dh.reshape(s["h"].shape)
         g["Wo"] = flat(s["z"]).T @ flat(dh)
         dz = dh @ w["Wo"].T
         da = dz @ s["v"].transpose(0, 2, 1)
         dv = s["a"].transpose(0, 2, 1) @ dz
-        ds = s["a"] * (da - (da * s["a"]).sum(axis=-1, keepdims=True)) * WIDTH**-0.5
-        dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
+        da -= (da * s["a"]).sum(axis=-1, keepdims=True)
+        da *= s["a"]
+        da *= WIDTH**-0.5
+        dq, dk = da @ s["k"], da.transpose(0, 2, 1) @ s["q"]
         dx = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-        for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-            g[name] = flat(s["x"]).T @ flat(d)
-        at = np.zeros((ids.size, IDS + 1), dx.dtype)  # a product with this is much faster than np.add.at
-        at[np.arange(ids.size), ids.ravel()] = 1
-        g["E"] = at.T @ flat(dx)
+        for name, y in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
+            g[name] = flat(s["x"]).T @ flat(y)
+        g["E"] = _summed_by(lead.ravel(), flat(dx), IDS + 1)
+        g["R"] = _summed_by(rest, flat(dx)[owner], IDS)
         g["P"] = np.zeros_like(w["P"])
-        g["P"][: ids.shape[1]] = dx.sum(axis=0)
+        g["P"][: lead.shape[1]] = dx.sum(axis=0)
         return g
 
     def vector(self) -> np.ndarray:
@@ -154,6 +297,16 @@ class Attention:
             at += size
 
 
+def _summed_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their ids."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(ids):
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        out[ids[order][first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 class Adam:
     def __init__(self, model: Attention):
         self.model, self.steps = model, 0
@@ -173,7 +326,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
-    pieces, held, texts = subwords(model_file), [], 0
+    pieces, held, texts = cutter(model_file), [], 0
 
     def merged(parts: list) -> tuple:
         h, n, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -185,7 +338,7 @@ def _count(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.Re
         for _, _, data, offsets in textkit.slices(batch.column(0)):
             w = textkit.words(data, offsets)
             keys, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-            held.append((keys, n, pieces.first(data, w.starts[first], w.ends[first])))
+            held.append((keys, n, pieces.longest(data, w.starts[first], w.ends[first])[0]))
             if len(held) >= 16:
                 held = [merged(held)]
     if texts:
@@ -195,21 +348,6 @@ def _count(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000]), pa.array(lead[k : k + 100_000].astype(np.int32))], ["hash", "n", "lead"])
 
 
-def _ids(lead: np.ndarray, of_piece: np.ndarray) -> np.ndarray:
-    return of_piece[lead]
-
-
-def _sequences(w: textkit.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (start, then ids), wanted ids (ids, then end), and where each text begins in both."""
-    n = len(w.bounds) - 1
-    bounds = w.bounds + np.arange(n + 1)
-    inputs, wanted = np.full(bounds[-1], START, np.int64), np.full(bounds[-1], END, np.int64)
-    text = np.repeat(np.arange(n), np.diff(w.bounds))
-    inputs[np.arange(len(ids)) + text + 1] = ids
-    wanted[np.arange(len(ids)) + text] = ids
-    return inputs, wanted, bounds
-
-
 def _windows(bounds: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, first place) of the windows of a round: those of all rounds hold each place once."""
     size = np.diff(bounds)
@@ -221,53 +359,69 @@ def _windows(bounds: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train(batches: Iterator[pa.RecordBatch], model_file: str, shared, turn: int) -> Iterator[pa.RecordBatch]:
-    frequency, vector, of_piece = shared.value
-    model = Attention(frequency)
+    frequency, vector, chosen = shared.value
+    model, cut = Attention(frequency), cutter(model_file, chosen)
     model.load(vector)
-    adam, pieces, windows, held = Adam(model), subwords(model_file), 0, []
+    adam, windows, held, waiting = Adam(model), 0, [], 0
 
-    def step(chosen: list) -> None:
-        adam.step(model.gradients(*(np.concatenate(x) for x in zip(*chosen, strict=True))))
+    def step() -> None:
+        lead, wanted, real = (np.concatenate([h[k] for h in held]) for k in range(3))
+        sizes = np.cumsum([0, *(h[0].size for h in held)])
+        adam.step(model.gradients(lead, np.concatenate([h[3] for h in held]), np.concatenate([h[4] + a for h, a in zip(held, sizes, strict=False)]), wanted, real))
 
     for batch in batches:
         for _, _, data, offsets in textkit.slices(batch.column(0)):
-            w = textkit.words(data, offsets)
-            bounds = w.bounds + np.arange(len(w.bounds))
+            words = Slice(cut, data, offsets)
+            bounds = words.words.bounds + np.arange(len(words.words.bounds))
             text, begin = _windows(bounds, turn)
-            at = begin[:, None] + np.arange(WINDOW)
-            end = bounds[text + 1][:, None]
-            real = at < end
-            word = np.minimum(at, end - 1) - text[:, None]  # of the wanted id; the last place is the end of the text
-            last, first = at >= end - 1, at == bounds[text][:, None]
-            lead = lambda k: _ids(pieces.first(data, w.starts[k], w.ends[k]), of_piece)  # noqa: E731, B023
-            wanted, inputs = np.full(at.shape, END), np.full(at.shape, START)
-            wanted[~last] = lead(word[~last])
-            inner = real & ~first
-            inputs[inner] = lead(word[inner] - 1)
-            for k in range(0, len(at), BATCH):
-                held.append((inputs[k : k + BATCH], wanted[k : k + BATCH], real[k : k + BATCH]))
-                if sum(len(x[0]) for x in held) >= BATCH:
-                    step(held)
-                    held = []
-            windows += len(at)
+            windows += len(begin)
+            for k in range(0, len(begin), BATCH):
+                own = text[k : k + BATCH, None]
+                at = begin[k : k + BATCH, None] + np.arange(WINDOW)
+                end = bounds[own + 1]
+                real = at < end
+                word = at - own  # of the wanted id; the last place is the end of the text
+                lead, wanted = np.full(at.shape, START), np.full(at.shape, END)
+                inner = real & (at < end - 1)
+                wanted[inner] = words.lead[words.word[word[inner]]]
+                inner = real & (at > bounds[own])
+                before = words.word[word[inner] - 1]
+                lead[inner] = words.lead[before]
+                rest, owner = words.rest_of(before)
+                held.append((lead, wanted, real, rest, np.flatnonzero(inner)[owner]))
+                waiting += len(at)
+                if waiting >= BATCH:
+                    step()
+                    held, waiting = [], 0
     if held:
-        step(held)
+        step()
     if windows:
         yield pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([(model.vector().astype(np.float64) * windows).tolist()], pa.list_(pa.float64()))], ["windows", "weights"])
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    windows, weights = 0, None
+    for batch in batches:
+        for n, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            row = row.values.to_numpy()
+            windows, weights = windows + n, row.copy() if weights is None else weights + row
+    if windows:
+        yield pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([weights], pa.list_(pa.float64()))], ["windows", "weights"])
+
+
 class Tables:
-    """What scoring needs: frequent words with counts and ids, sums by id, and the attention model."""
+    """What scoring needs: frequent words with counts, sums by id, the chosen pieces and the attention model."""
 
-    def __init__(self, hashes, counts, ids, of_piece, of_id, model):
+    def __init__(self, hashes, counts, chosen, of_id, model):
         order = np.argsort(hashes)
-        self.hashes, self.logs, self.ids = hashes[order], np.log10(counts[order] + 1.0), ids[order].astype(np.uint8)
-        self.of_piece, self.of_id, self.model = of_piece, of_id, model
+        self.hashes, self.logs = hashes[order], np.log10(counts[order] + 1.0)
+        self.chosen, self.of_id, self.model = chosen, of_id, model
 
 
-def _window_scores(model: Attention, inputs: np.ndarray, wanted: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 P(id | ids before) at each place: overlapping windows, each place scored once."""
-    out, fresh = np.zeros(len(inputs)), WINDOW - CONTEXT
+def window_scores(model: Attention, x: np.ndarray, wanted: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """log10 P(id | ids before) at each place: overlapping windows, each place scored once, in the window in which it has
+    most context; x: embedded inputs of the places."""
+    out, fresh = np.zeros(len(x)), WINDOW - CONTEXT
     size = np.diff(bounds)
     more = np.maximum(0, -(-(size - WINDOW) // fresh))
     text = np.repeat(np.arange(len(size)), more + 1)
@@ -277,34 +431,40 @@ def _window_scores(model: Attention, inputs: np.ndarray, wanted: np.ndarray, bou
         at = begin[k : k + 256, None] + np.arange(WINDOW)
         end = bounds[text[k : k + 256] + 1][:, None]
         scored = (at < end) & ((number[k : k + 256, None] == 0) | (np.arange(WINDOW) >= CONTEXT))
-        h = model.states(inputs[np.minimum(at, len(inputs) - 1)])["h"][scored]
+        h = model.states(x[np.minimum(at, len(x) - 1)])["h"][scored]
         place = at[scored]
         out[place] = model.log10_next(h, wanted[place])
     return out
 
 
 def _score(batches: Iterator[pa.RecordBatch], model_file: str, shared) -> Iterator[pa.RecordBatch]:
-    t, pieces, task, seen = shared.value, subwords(model_file), TaskContext.get().partitionId(), 0
+    t, task, seen = shared.value, TaskContext.get().partitionId(), 0
+    cut = cutter(model_file, t.chosen)
     for batch in batches:
         for a, b, data, offsets in textkit.slices(batch.column(2)):
-            w = textkit.words(data, offsets)
-            at = np.minimum(np.searchsorted(t.hashes, w.hashes), max(0, len(t.hashes) - 1))
-            known = t.hashes[at] == w.hashes if len(t.hashes) else np.zeros(len(w.hashes), bool)
-            ids = np.zeros(len(known), np.int64)
-            ids[known] = t.ids[at[known]]
-            rare = np.flatnonzero(~known)
-            ids[rare] = _ids(pieces.first(data, w.starts[rare], w.ends[rare]), t.of_piece)
-            inputs, wanted, bounds = _sequences(w, ids)
-            scores = _window_scores(t.model, inputs, wanted, bounds) - t.of_id[wanted]
-            text = np.repeat(np.arange(b - a), np.diff(w.bounds))
-            logs = np.bincount(text[known], t.logs[at[known]], b - a) if known.any() else np.zeros(b - a)
-            tails = np.split(textkit.signed(w.hashes[rare]), np.searchsorted(rare, w.bounds[1:-1]))
+            words = Slice(cut, data, offsets)
+            w, n = words.words, b - a
+            at = np.minimum(np.searchsorted(t.hashes, words.hashes), max(0, len(t.hashes) - 1))
+            known = t.hashes[at] == words.hashes if len(t.hashes) else np.zeros(len(words.hashes), bool)
+            logs = np.where(known, t.logs[at], 0.0) if len(t.hashes) else np.zeros(len(known))
+            # A place for each token and one for the end of each text; its input is the token before.
+            bounds, text = w.bounds + np.arange(n + 1), np.repeat(np.arange(n), np.diff(w.bounds))
+            place = np.arange(len(text)) + text
+            wanted = np.full(bounds[-1], END)
+            wanted[place] = words.lead[words.word]
+            x = np.empty((bounds[-1], WIDTH), np.float32)
+            x[bounds[:-1]] = t.model.w["E"][START]
+            every = np.arange(len(words.lead))
+            x[place + 1] = t.model.embedded(words.lead, *words.rest_of(every))[words.word]
+            scores = window_scores(t.model, x, wanted, bounds) - t.of_id[wanted]
+            here = known[words.word]
+            tails = np.split(textkit.signed(words.hashes[words.word[~here]]), np.searchsorted(np.flatnonzero(~here), w.bounds[1:-1]))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(seen, seen + b - a) + (task << 40)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                pa.array(np.diff(w.bounds) + 1), pa.array(np.bincount(text[known], minlength=b - a).astype(np.int64)),
-                pa.array(logs), pa.array(np.add.reduceat(scores, bounds[:-1])), pa.array(tails, pa.list_(pa.int64())),
+                pa.array(np.arange(seen, seen + n) + (task << 40)), batch.column(0).slice(a, n), batch.column(1).slice(a, n),
+                pa.array(np.diff(w.bounds) + 1), pa.array(np.bincount(text, here, n).astype(np.int64)),
+                pa.array(np.bincount(text, logs[words.word], n).astype(np.float64)), pa.array(np.add.reduceat(scores, bounds[:-1])), pa.array(tails, pa.list_(pa.int64())),
             ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "path", "tail"])
-            seen += b - a
+            seen += n
 
 
 def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
@@ -317,10 +477,16 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     # Sums by leading piece: as many rows as pieces at most.
     leads = vocabulary.groupBy("lead").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, kinds = sum(r["n"] for r in leads), sum(r["v"] for r in leads)
-    common = sorted((r for r in leads if r["lead"] >= 0), key=lambda r: (-r["n"], r["lead"]))[: IDS - 2]
-    of_piece = np.zeros(subwords(model_file).size, np.int64)
-    for k, r in enumerate(common, 1):
-        of_piece[r["lead"]] = k
+    # The ids: every byte, and the pieces that most tokens begin with.
+    pieces = subwords(model_file)
+    usage = {r["lead"]: r["n"] for r in leads}
+    single = {k for k, p in enumerate(pieces.pieces) if len(p) == 1}
+    common = sorted((k for k in usage if k >= 0 and k not in single), key=lambda k: (-usage[k], k))[: IDS - 1 - len(single)]
+    chosen = tuple(sorted(single | set(common), key=lambda k: (-usage.get(k, 0), k)))
+    # A token begins with the longest chosen piece that the longest one begins with.
+    cut, data = cutter(model_file, chosen), np.frombuffer(b"".join(pieces.pieces), np.uint8)
+    ends = np.cumsum([len(p) for p in pieces.pieces])
+    of_piece = cut.longest(data, np.concatenate([[0], ends[:-1]]), ends)[0]
     n, v = np.zeros(IDS), np.zeros(IDS)
     for r in leads:
         k = END if r["lead"] < 0 else of_piece[r["lead"]]
@@ -330,16 +496,12 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     model = Attention(frequency)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((frequency, model.vector(), of_piece))
+        shared = spark.sparkContext.broadcast((frequency, model.vector(), chosen))
         own = training.mapInArrow(partial(_train, model_file=model_file, shared=shared, turn=turn), "windows long, weights array<double>")
-        size = len(model.vector())
-        # One vector comes back, summed over the tasks.
-        summed = own.select("windows", F.posexplode("weights")).groupBy("pos").agg(F.sum("col").alias("w"), F.sum("windows").alias("n")).collect()
-        if len(summed) == size:
-            vector = np.zeros(size)
-            for r in summed:
-                vector[r["pos"]] = r["w"] / r["n"]
-            model.load(vector)
+        # One vector comes back, summed over the tasks in two steps.
+        some = own.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_summed, "windows long, weights array<double>")
+        for r in some.coalesce(1).mapInArrow(_summed, "windows long, weights array<double>").collect():
+            model.load(np.array(r["weights"]) / r["windows"])
 
     # The least count at which no more than head_words words are left.
     by_count = sorted(((r["n"], r["v"]) for r in vocabulary.groupBy("n").agg(F.count("*").alias("v")).collect()), reverse=True)
@@ -350,7 +512,7 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         least, held = c, held + words
     head = vocabulary.filter((F.col("n") >= least) & (F.col("lead") >= 0)).toArrow()
     hashes = head["hash"].to_numpy().view(np.uint64)
-    tables = Tables(hashes, head["n"].to_numpy(), of_piece[head["lead"].to_numpy()] if len(hashes) else np.zeros(0, np.int64), of_piece, np.log10(n + v + 1), model)
+    tables = Tables(hashes, head["n"].to_numpy(), chosen, np.log10(n + v + 1), model)
     shared = spark.sparkContext.broadcast(tables)
 
     kind = source.schema["doc_id"].dataType.simpleString()

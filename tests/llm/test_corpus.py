@@ -297,36 +297,102 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def some_pieces(n=300):
+    return tuple(k for k, p in enumerate(lm_score.subwords(PIECES).pieces) if len(p) == 1 or k % 40 == 0)[: max(n, 256) + 500]
+
+
+def test_words_are_cut_whole():
+    chosen = some_pieces()
+    pieces = lm_score.subwords(PIECES).pieces
+    values = {pieces[p]: k for k, p in enumerate(chosen)}
+    texts = [lower(t) for t in odd_texts(80, 5) if t] + ["ab" * 5000, "the theory thereafter", "é" * 200]
+    words = sorted({w for t in texts for w in WORD.findall(t)})
+    data, offsets = textkit.utf8_buffers(pa.array(words))
+    first, more, rest = lm_score.cutter(PIECES, chosen).cut(data, offsets[:-1], offsets[1:])
+    begin = np.cumsum(more) - more
+    for k, word in enumerate(words):
+        raw, want = word.encode(), []
+        while raw:
+            n = next(n for n in range(min(8, len(raw)), 0, -1) if raw[:n] in values)
+            want.append(values[raw[:n]])
+            raw = raw[n:]
+        assert [first[k], *rest[begin[k] : begin[k] + more[k]]] == want
+
+
 def test_every_training_token_is_learned_from(monkeypatch):
     texts = ["of " * n for n in (0, 1, 30, 31, 32, 33, 500, 3000)] + [None]
     tokens, seen = sum(len(WORD.findall(t or "")) + 1 for t in texts), []
     learn = lm_score.Attention.gradients
-    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, ids, wanted, real: seen.append((int(real.sum()), int((real & (wanted == lm_score.END)).sum()))) or learn(self, ids, wanted, real))
+    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, lead, rest, owner, wanted, real: seen.append((int(real.sum()), int((real & (wanted == lm_score.END)).sum()))) or learn(self, lead, rest, owner, wanted, real))
     frequency = np.full(lm_score.IDS, 1 / lm_score.IDS)
-    shared = SimpleNamespace(value=(frequency, lm_score.Attention(frequency).vector(), np.zeros(lm_score.subwords(PIECES).size, np.int64)))
+    shared = SimpleNamespace(value=(frequency, lm_score.Attention(frequency).vector(), some_pieces()))
     for turn in range(lm_score.ROUNDS):
         assert len(list(lm_score._train(iter([pa.record_batch([pa.array(texts)], ["text"])]), PIECES, shared, turn=turn))) == 1
     assert (sum(n for n, _ in seen), sum(n for _, n in seen)) == (tokens, len(texts))
 
 
+def random_model(seed=0):
+    rng = np.random.default_rng(seed)
+    m = lm_score.Attention(rng.dirichlet(np.ones(lm_score.IDS)))
+    m.w = {k: x + rng.standard_normal(x.shape) * 0.2 for k, x in m.w.items()}
+    return m, rng
+
+
+def plain_log_probabilities(m, tokens):
+    """Without batches: log P of each id after the tokens (first id, further ids) before."""
+    w, out = m.w, []
+    x = np.stack([w["E"][lead] + sum((w["R"][r] for r in rest), np.zeros(lm_score.WIDTH)) + w["P"][k] for k, (lead, rest) in enumerate(tokens)])
+    for t in range(len(x)):
+        a = np.exp((x[: t + 1] @ w["Wk"]) @ (x[t] @ w["Wq"]) / 4)
+        h = x[t] + (a / a.sum()) @ (x[: t + 1] @ w["Wv"]) @ w["Wo"]
+        soft = lambda s: s - np.log(np.exp(s).sum())
+        out.append((soft(h @ w["U"] + w["b"])[:, None] + np.stack([soft(h @ w["V"][c] + w["d"][c]) for c in range(lm_score.FAN)])).ravel())
+    return np.array(out)
+
+
 def test_attention_gradients():
-    rng = np.random.default_rng(0)
-    m = lm_score.Attention(np.full(lm_score.IDS, 1 / lm_score.IDS))
-    ids, wanted = rng.integers(0, lm_score.IDS, (3, 8)), rng.integers(0, lm_score.IDS, (3, 8))
-    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    m, rng = random_model()
+    lead, wanted = rng.integers(0, lm_score.IDS, (3, 8)), rng.integers(0, lm_score.IDS, (3, 8))
+    wanted[0, :4] = [5, 6, 7, 1000]
+    real = rng.random((3, 8)) < 0.8
+    owner = np.sort(rng.integers(0, 24, 15))
+    rest = rng.integers(0, 40, 15)
 
     def loss():
-        s = m.states(ids)["h"].reshape(-1, lm_score.WIDTH) @ m.w["U"] + m.w["b"]
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), wanted.ravel()]).mean())
-
-    g = m.gradients(ids, wanted, np.ones((3, 8), bool))
-    for name in ("Wq", "Wk", "Wv", "Wo", "U", "P"):
-        before = m.w[name][1, 2]
-        m.w[name][1, 2] = before + 1e-5
+        total = 0.0
+        for k in range(3):
+            tokens = [(lead[k, t], rest[owner == 8 * k + t]) for t in range(8)]
+            logs = plain_log_probabilities(m, tokens)
+            total -= sum(logs[t, wanted[k, t]] for t in range(8) if real[k, t])
+        return total / real.sum()
+
+    g = m.gradients(lead, rest, owner, wanted, real)
+    c = wanted[0, 0] // lm_score.FAN
+    for name, at in (("Wq", (1, 2)), ("Wk", (3, 2)), ("Wv", (1, 2)), ("Wo", (5, 2)), ("U", (1, c)), ("P", (1, 2)), ("E", (lead[1, 1], 3)), ("R", (rest[0], 4)), ("V", (c, 2, 6)), ("d", (c, 5)), ("b", (c,))):
+        before = m.w[name][at]
+        m.w[name][at] = before + 1e-5
         up = loss()
-        m.w[name][1, 2] = before - 1e-5
-        assert abs((up - loss()) / 2e-5 - g[name][1, 2]) < 1e-5
-        m.w[name][1, 2] = before
+        m.w[name][at] = before - 1e-5
+        assert abs((up - loss()) / 2e-5 - g[name][at]) < 1e-6, name
+        m.w[name][at] = before
+
+
+def test_window_scores_against_a_plain_pass():
+    m, rng = random_model(1)
+    sizes = [1, 5, 31, 32, 33, 56, 57, 130]
+    bounds = np.cumsum([0, *sizes])
+    tokens = [(int(rng.integers(0, lm_score.IDS)), rng.integers(0, lm_score.IDS, rng.integers(0, 4))) for _ in range(bounds[-1])]
+    wanted = rng.integers(0, lm_score.IDS, bounds[-1])
+    rest, owner = np.concatenate([r for _, r in tokens]), np.repeat(np.arange(len(tokens)), [len(r) for _, r in tokens])
+    got = lm_score.window_scores(m, m.embedded(np.array([t for t, _ in tokens]), rest, owner), wanted, bounds)
+    step = lm_score.WINDOW - lm_score.CONTEXT
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        for k in range(b - a):
+            begin = 0 if k < lm_score.WINDOW else (k - lm_score.CONTEXT) // step * step
+            logs = plain_log_probabilities(m, tokens[a + begin : a + k + 1])[-1]
+            assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-9)  # a distribution over all ids
+            p = lm_score.TRUST * np.exp(logs[wanted[a + k]]) + (1 - lm_score.TRUST) * m.frequency[wanted[a + k]]
+            assert math.isclose(got[a + k], math.log10(p), rel_tol=1e-6)
 
 
 def test_chat_format(spark):
