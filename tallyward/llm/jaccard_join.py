@@ -53,7 +53,7 @@ BUCKET_SIGNATURES, PACK_SIGNATURES = 4_000_000, 1_500_000
 #: A signature counted as often is dealt out by signature and key (if it is as many times the mean count as below).
 HOT_SIGNATURES, HOT_TIMES = 1 << 20, 64
 #: Members to a block of a group; and pairs for each member of a unit beyond which only the nearest are compared first.
-BLOCK_MEMBERS, PAIRS_FIRST = 4096, 8
+BLOCK_MEMBERS, PAIRS_FIRST = 4096, 1
 #: Sketches of a set have from one to two times as many bits as it has members; at least these.
 LEAST_SKETCH_BITS = 128
 #: Bits for each wanted class in the table by which tasks leave out sets that no comparison needs, and the most bits
@@ -457,7 +457,9 @@ def _across(groups: DataFrame, like: Similarity, most: int | None) -> DataFrame:
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             more = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+            # Groups have most of their pairs in common.
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), more.astype(np.int64)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(pair[2] > 0)], ["a", "b", "more"])
 
         waiting = 0
         for held in _units(batches):

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the lexicon and the curve are learned from, at most; entries of the lexicon, at most.
-SAMPLE_ROWS, LEXICON_SIZE = 20_000, 400
+#: Labelled rows that the lexicon and the curve are learned from, at most.  Entries are as many as reach LEAST_SHARE and
+#: LEAST_RATIO in these; there is no limit to their number but what so many texts hold.
+SAMPLE_ROWS = 20_000
 #: An entry occurs in this share of the toxic documents of the sample at least, and this many times as often there.
-LEAST_SHARE, LEAST_RATIO = 0.015, 50.0
-STEMS, STEM_GAIN = (4, 5, 6), 1.3
+LEAST_SHARE, LEAST_RATIO = 0.015, 20.0
+LEAST_WORD, STEMS, STEM_GAIN = 4, (3, 4, 5, 6, 7, 8), 1.3
 EDITS, LONG_EDITS, LONG, FUZZY_LENGTH, MISSPELT = 1, 2, 9, 4, 0.8
 WINDOW_CHARS, QUOTED, REPORTED, ADDRESSED = 48, 0.3, 0.6, 1.2
 CACHE_TOKENS = 300_000
@@ -61,39 +62,53 @@ class Automaton:
         return state[-1] <= self.edits
 
 
+def _swaps(token: str) -> list[str]:
+    """A token with each two neighbouring letters swapped that differ."""
+    return [token[:k] + token[k + 1] + token[k] + token[k + 2 :] for k in range(len(token) - 1) if token[k] != token[k + 1]]
+
+
 class Lexicon(dict):
     """Weights of entries; as a dict it is the cache token -> weight (0: no hit)."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], inflected: dict[str, float] | None = None, clean: set[str] | None = None):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], inflected: dict[str, float] | None = None, clean: set[str] | None = None, dense: set[str] | None = None):
         super().__init__()
         self.words, self.stems = words, stems
         #: Words, and longer stems with a star, under a stem that stands for them if spelt right; no misspellings.
         self.inflected, self.clean = inflected or {}, clean or set()
-        self.weights = {**{w: x for w, x in self.inflected.items() if w[-1] != "*"}, **words}
-        self.beginnings = {s: x for s, x in {**{w[:-1]: x for w, x in self.inflected.items() if w[-1] == "*"}, **stems}.items() if len(s) > FUZZY_LENGTH}
+        #: Entries (stems with a star) in whose neighbourhood ordinary words lie densely: matched exactly only.
+        self.dense = dense or set()
+        self.weights = {w: x for w, x in {**{w: x for w, x in self.inflected.items() if w[-1] != "*"}, **words}.items() if w not in self.dense}
+        self.beginnings = {s: x for s, x in {**{w[:-1]: x for w, x in self.inflected.items() if w[-1] == "*"}, **stems}.items() if len(s) > FUZZY_LENGTH and s + "*" not in self.dense}
         self.begin_sizes = sorted({len(s) for s in self.beginnings})
         self.lengths = sorted({len(s) for s in stems})
         self.tries: dict[int, dict] = {}  # by the edits of their entries
-        self.starts: set[str] = set()
-        self.ends: set[str] = set()
-        self.middles: set[str] = set()
+        #: By the length of a token: (place, size, parts) tests, one of which holds for any token near an entry; tokens of
+        #: other lengths have the tests of the longest.  As many edits as an entry allows leave one of its parts whole.
+        places: dict[int, dict[tuple[int, int], set[str]]] = {}
+        longest = max([0, *map(len, self.weights), *map(len, self.beginnings)]) + LONG_EDITS + 1
         for word, stem in [*((w, False) for w in self.weights if len(w) >= FUZZY_LENGTH), *((s, True) for s in self.beginnings)]:
-            node = self.tries.setdefault(self.edits_of(word), {})
+            edits, size = self.edits_of(word), len(word)
+            node = self.tries.setdefault(edits, {})
             for c in word:
                 node = node.setdefault(c, {})
             node["*" if stem else ""] = word
-            # As many edits leave one of so many parts whole.
-            n = self.edits_of(word) + 1
-            parts = [word[len(word) * k // n : len(word) * (k + 1) // n] for k in range(n)]
-            self.starts.add(parts[0])
-            (self.middles if stem else self.ends).add(parts[-1])
-            self.middles.update(parts[1:-1])
-        self.sizes = sorted({len(p) for p in self.starts | self.ends})
-        self.middle_sizes = sorted({len(p) for p in self.middles})
+            cuts = [size * k // (edits + 1) for k in range(edits + 2)]
+            for n in range(size - edits, longest + 1 if stem else size + edits + 1):
+                tests = places.setdefault(n, {})
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    shifts = [0] if k == 0 else [n - size] if k == edits and not stem else range(-edits, edits + 1)
+                    for shift in shifts:
+                        if a + shift >= 0:
+                            tests.setdefault((a + shift, b - a), set()).add(word[a:b])
+        self.longest = longest
+        self.tests = {n: [(at, at + size, parts) for (at, size), parts in sorted(t.items())] for n, t in places.items()}
+        #: Letters in order, of words and of stems: a token with two letters swapped has the same.
+        self.letters = {"".join(sorted(w)) for w in self.weights if len(w) >= FUZZY_LENGTH}
+        self.begin_letters = {"".join(sorted(s)) for s in self.beginnings}
 
     @property
     def parts(self) -> tuple:
-        return self.words, self.stems, self.inflected, self.clean
+        return self.words, self.stems, self.inflected, self.clean, self.dense
 
     @staticmethod
     def edits_of(entry: str) -> int:
@@ -110,17 +125,20 @@ class Lexicon(dict):
 
     def misspelt(self, token: str) -> float:
         """The greatest weight of what a token may be a misspelling of; else 0."""
+        return max((self.beginnings[e[:-1]] if e[-1] == "*" else self.weights[e] for e in self.meant(token)), default=0.0)
+
+    def meant(self, token: str) -> list[str]:
+        """The entries that a token may be a misspelling of, stems with a star."""
         if len(token) < FUZZY_LENGTH - EDITS:
-            return 0.0
-        found = [self.weights[w] for w in self.near(token)] + [self.beginnings[s] for s in self.near_stems(token)] if self.may_be_near(token) else []
+            return []
+        found = self.near(token) + [s + "*" for s in self.near_stems(token)] if self.may_be_near(token) else []
         # Swapped letters: of a whole word, or of the stem that a longer token goes on from.
-        for k in range(len(token) - 1):
-            if token[k] != token[k + 1]:
-                swapped = token[:k] + token[k + 1] + token[k] + token[k + 2 :]
-                if (weight := self.weights.get(swapped)) is not None and len(swapped) >= FUZZY_LENGTH:
-                    found.append(weight)
-                found += [self.beginnings[swapped[:n]] for n in self.begin_sizes if n > k + 1 and swapped[:n] in self.beginnings]
-        return max(found, default=0.0)
+        if "".join(sorted(token)) in self.letters:
+            found += [s for s in _swaps(token) if s in self.weights]
+        for n in self.begin_sizes:
+            if "".join(sorted(token[:n])) in self.begin_letters:
+                found += [s + "*" for s in _swaps(token[:n]) if s in self.beginnings]
+        return found
 
     def exact(self, token: str) -> float:
         """The weight of a token that is an entry or begins with one; else 0."""
@@ -133,11 +151,10 @@ class Lexicon(dict):
 
     def may_be_near(self, token: str) -> bool:
         """False for a token that can't be near an entry: it has no part that the edits would leave whole."""
-        if len(token) < FUZZY_LENGTH - EDITS:
-            return False
-        if any(token[:n] in self.starts or token[-n:] in self.ends for n in self.sizes):
-            return True
-        return any(token[k : k + n] in self.middles for n in self.middle_sizes for k in range(1, len(token) - n + 1))
+        for a, b, parts in self.tests.get(min(len(token), self.longest), ()):
+            if token[a:b] in parts:
+                return True
+        return False
 
     def near(self, token: str) -> list[str]:
         """The words within the edits for their length of a token: its automaton and the trie are walked together."""
@@ -190,7 +207,7 @@ def context(text: str, start: int, end: int) -> float:
 
 def terms(text: str) -> set[str]:
     """Words of four letters or more, and stems (marked by a star) of longer ones."""
-    words = {w for w in map(str.lower, _TOKEN.findall(text)) if len(w) >= min(STEMS)}
+    words = {w for w in map(str.lower, _TOKEN.findall(text)) if len(w) >= LEAST_WORD}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -215,7 +232,7 @@ def learn(sample: DataFrame) -> Lexicon:
     least = max(3, LEAST_SHARE * n[1])
     counts = sample.select("text", "toxic").mapInArrow(run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
-    rows = counts.filter(F.col("t") >= least).select("term", "t", odds.alias("odds")).filter(F.col("odds") >= math.log(LEAST_RATIO)).orderBy(F.desc("t"), "term").limit(LEXICON_SIZE).collect()
+    rows = counts.filter(F.col("t") >= least).select("term", "t", odds.alias("odds")).filter(F.col("odds") >= math.log(LEAST_RATIO)).orderBy(F.desc("t"), "term").collect()
     words = {r["term"]: r for r in rows if not r["term"].endswith("*")}
     stems: dict[str, float] = {}
     for r in sorted((r for r in rows if r["term"].endswith("*")), key=lambda r: (len(r["term"]), r["term"])):
@@ -227,30 +244,48 @@ def learn(sample: DataFrame) -> Lexicon:
     covered = tuple(stems)
     kept = {x: w["odds"] for x, w in words.items() if not x.startswith(covered)}
     inflected = {r["term"]: r["odds"] for r in rows if r["term"].startswith(covered) and r["term"][:-1] not in stems} if covered else {}
-    return Lexicon(kept, stems, inflected, _clean_neighbours(sample, Lexicon(kept, stems, inflected)))
+    often = {r["term"]: r["t"] / n[1] for r in rows}
+    return Lexicon(kept, stems, inflected, *_clean_neighbours(sample, Lexicon(kept, stems, inflected), often))
+
 
+def _clean_neighbours(sample: DataFrame, lexicon: Lexicon, often: dict[str, float]) -> tuple[set[str], set[str]]:
+    """(tokens near an entry that are no misspellings, entries whose misspellings are not told apart).
 
-def _clean_neighbours(sample: DataFrame, lexicon: Lexicon) -> set[str]:
-    """The tokens near an entry that are no misspellings: those that clean documents of the sample hold."""
+    The former are those that clean documents of the sample hold now and then.  The latter are entries to which the rare
+    tokens of clean documents are near more often than LEAST_RATIO allows, against how often (by entry) toxic documents
+    hold the entry itself.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(lexicon.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(*shared.value)
+        lexicon, known = Lexicon(*shared.value), {}
         for batch in batches:
-            found = [t for text in batch.column(0).to_pylist() for t in {t.lower() for t in _TOKEN.findall(text)} if not lexicon.exact(t) and lexicon[t]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
-
-    many = max(1, 0.0005 * sample.filter("toxic = 0").count())
-    clean = sample.filter("toxic = 0").select("text").mapInArrow(run, "token string").groupBy("token").agg(F.count("*").alias("n"))
-    # Near tokens of SAMPLE_ROWS documents at most.
-    return {r["token"] for r in clean.filter(F.col("n") > many).collect()}
+            tokens, entries = [], []
+            for text in batch.column(0).to_pylist():
+                for t in {t.lower() for t in _TOKEN.findall(text)}:
+                    if t not in known:
+                        known[t] = [] if lexicon.exact(t) else lexicon.meant(t)
+                    if known[t]:
+                        tokens.append(t)
+                        entries.append(known[t])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(entries, pa.list_(pa.string()))], ["token", "entries"])
+
+    size = sample.filter("toxic = 0").count()
+    many = max(1, 0.0005 * size)
+    near = sample.filter("toxic = 0").select("text").mapInArrow(run, "token string, entries array<string>").groupBy("token").agg(F.count("*").alias("n"), F.first("entries").alias("entries")).collect()
+    rare: dict[str, int] = {}  # near tokens of SAMPLE_ROWS documents at most
+    for r in near:
+        if r["n"] <= many:
+            for e in r["entries"]:
+                rare[e] = rare.get(e, 0) + r["n"]
+    dense = {e for e, k in rare.items() if k > 1 and k / size * LEAST_RATIO > often.get(e, 0)}
+    return {r["token"] for r in near if r["n"] > many}, dense
 
 
 def _curve(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve through (evidence, label, rows)."""
+    """(slope, offset) of the logistic curve through (logarithm of evidence, label, rows)."""
     x, y, n = (np.array(v, float) for v in zip(*points, strict=True))
     a, b = 0.0, 0.0
-    x = np.log1p(x)
     n = n / n.sum()
     for _ in range(100):
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -288,10 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shared.value)
         for batch in batches:
-            found = [round(lexicon.evidence(t or ""), 1) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x, 1000.0) for x in found]), batch.column(1).cast(pa.int32())], ["evidence", "toxic"])
+            # The curve is one of the logarithm, which is rounded: it has some hundred values.
+            found = [round(math.log1p(lexicon.evidence(t or "")), 2) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1).cast(pa.int32())], ["evidence", "toxic"])
 
-    points = sample.mapInArrow(run, "evidence double, toxic int").groupBy("evidence", "toxic").agg(F.count("*").alias("n")).collect()  # 20,002 rows at most
+    points = sample.mapInArrow(run, "evidence double, toxic int").groupBy("evidence", "toxic").agg(F.count("*").alias("n")).collect()
     if not points or not (lexicon.words or lexicon.stems):
         return ToxicityModel(lexicon, 0.0, 0.0)
     return ToxicityModel(lexicon, *_curve([(p["evidence"], p["toxic"], p["n"]) for p in points]))
@@ -316,5 +352,5 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, keep: list[str] | Non
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Rows never learned from; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
