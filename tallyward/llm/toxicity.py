@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm import textkit
+
 #: Labelled rows that the lexicon and the curve are learned from, at most.  Entries are as many as reach LEAST_SHARE and
 #: LEAST_RATIO in these; there is no limit to their number but what so many texts hold.
 SAMPLE_ROWS = 20_000
@@ -44,22 +46,51 @@ _QUOTES = "\"“”„«»‘’"
 
 
 class Automaton:
-    """Accepts the strings within ``edits`` of a word; a state is the row of distances to its prefixes."""
+    """Accepts the strings within ``edits`` of a word.
+
+    A state holds, for each number of edits up to that, the set of places in the word that may have been reached with
+    them, as the bits of an integer, so a step is a few operations on whole sets (the non-deterministic automaton run in
+    parallel).
+    """
 
     def __init__(self, word: str, edits: int):
-        self.word, self.edits = word, edits
+        self.edits, self.end = edits, 1 << len(word)
+        self.places: dict[str, int] = {}
+        for k, c in enumerate(word):
+            self.places[c] = self.places.get(c, 0) | 1 << k
+        self.all = 2 * self.end - 1
 
     def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.word) + 1))
+        return tuple((2 << d) - 1 & self.all for d in range(self.edits + 1))
 
     def step(self, state: tuple[int, ...], letter: str) -> tuple[int, ...] | None:
-        row = [state[0] + 1]
-        for k, c in enumerate(self.word):
-            row.append(min(row[k] + 1, state[k + 1] + 1, state[k] + (c != letter)))
-        return tuple(row) if min(row) <= self.edits else None  # None: no string can be accepted from here
+        """The state after a letter; None if no string can be accepted from there."""
+        here = self.places.get(letter, 0)
+        before, reached = state[0], (state[0] & here) << 1
+        out = [reached]
+        for places in state[1:]:
+            # The same letter; one too many; another one; one left out.
+            reached = ((places & here) << 1 | before | before << 1 | reached << 1) & self.all
+            out.append(reached)
+            before = places
+        return tuple(out) if reached else None
 
     def accepts(self, state: tuple[int, ...]) -> bool:
-        return state[-1] <= self.edits
+        return bool(state[-1] & self.end)
+
+
+_POWER = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(512)], np.uint64)
+
+
+def _hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first 0, 1, ... ``width`` characters of texts a hash in order and one that is the same in any order."""
+    codes = np.array(texts, f"U{max(1, width)}").view(np.uint32).reshape(len(texts), -1).astype(np.uint64)
+    mixed = textkit.mix64(codes + np.uint64(1))
+    ordered, loose = (np.zeros((len(texts), mixed.shape[1] + 1), np.uint64) for _ in range(2))
+    np.cumsum(mixed, axis=1, out=loose[:, 1:])
+    for k in range(mixed.shape[1]):
+        ordered[:, k + 1] = ordered[:, k] * _POWER[1] + mixed[:, k]
+    return ordered, loose
 
 
 def _swaps(token: str) -> list[str]:
@@ -105,6 +136,16 @@ class Lexicon(dict):
         #: Letters in order, of words and of stems: a token with two letters swapped has the same.
         self.letters = {"".join(sorted(w)) for w in self.weights if len(w) >= FUZZY_LENGTH}
         self.begin_letters = {"".join(sorted(s)) for s in self.beginnings}
+        # The same tests on hashes: of parts by place, of whole words, of stems by length, and of letters in any order.
+        every = lambda texts: np.sort(np.array([_hashes([t], len(t))[0][0, -1] for t in texts], np.uint64))
+        loose = lambda texts: np.sort(np.array([_hashes([t], len(t))[1][0, -1] for t in texts], np.uint64))
+        self.hashed_tests = {n: [(a, b, every(parts)) for a, b, parts in t] for n, t in self.tests.items()}
+        by_size = lambda texts: {n: [t for t in texts if len(t) == n] for n in sorted({len(t) for t in texts})}
+        self.hashed_words = {n: every(t) for n, t in by_size(words).items()}
+        self.hashed_stems = {n: every(t) for n, t in by_size(stems).items()}
+        self.hashed_letters = {n: loose(t) for n, t in by_size(self.letters).items()}
+        self.hashed_begin_letters = {n: loose(t) for n, t in by_size(self.begin_letters).items()}
+        self.width = max([self.longest, *self.hashed_words, *self.hashed_stems, *self.hashed_letters])
 
     @property
     def parts(self) -> tuple:
@@ -123,6 +164,43 @@ class Lexicon(dict):
         self[token] = value
         return value
 
+    def prepare(self, tokens: set[str]) -> None:
+        """Notes of many tokens at once those that can be no hit, so that only the others are looked at one by one."""
+        new = [t for t in tokens if t not in self]
+        if len(self) + len(new) > CACHE_TOKENS:
+            self.clear()
+            new = list(tokens)
+        if not new:
+            return
+        low = [t.lower() for t in new]
+        size = np.fromiter(map(len, low), np.int64, len(low))
+        ordered, loose = _hashes(low, self.width)
+        maybe = np.zeros(len(low), bool)
+        has = lambda hashes, known: known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+        for n, known in self.hashed_stems.items():
+            rows = np.flatnonzero(size >= n)
+            maybe[rows] |= has(ordered[rows, n], known)
+        for n, known in self.hashed_begin_letters.items():
+            rows = np.flatnonzero(size >= n)
+            maybe[rows] |= has(loose[rows, n], known)
+        capped = np.minimum(size, self.longest)
+        order = np.argsort(capped, kind="stable")
+        bounds = np.searchsorted(capped[order], np.arange(self.longest + 2))
+        for n in range(1, self.longest + 1):
+            rows = order[bounds[n] : bounds[n + 1]]
+            if not len(rows):
+                continue
+            hit, own = np.zeros(len(rows), bool), ordered[rows]
+            for a, b, known in self.hashed_tests.get(n, ()):
+                if b <= own.shape[1] - 1:
+                    hit |= has(own[:, b] - own[:, a] * _POWER[b - a], known)
+            maybe[rows] |= hit
+        for hashes, tables in ((ordered, self.hashed_words), (loose, self.hashed_letters)):
+            for n, known in tables.items():
+                rows = np.flatnonzero(size == n)
+                maybe[rows] |= has(hashes[rows, n], known)
+        self.update((new[k], 0.0) for k in np.flatnonzero(~maybe).tolist())
+
     def misspelt(self, token: str) -> float:
         """The greatest weight of what a token may be a misspelling of; else 0."""
         return max((self.beginnings[e[:-1]] if e[-1] == "*" else self.weights[e] for e in self.meant(token)), default=0.0)
@@ -173,7 +251,7 @@ class Lexicon(dict):
                 node, state = open_.pop()
                 for letter, child in node.items():
                     if letter in ("", "*"):
-                        if letter == mark and (automaton.accepts(state) if mark == "" else min(state) <= edits):
+                        if letter == mark and (mark or automaton.accepts(state)):
                             found.append(child)
                     elif (following := automaton.step(state, letter)) is not None:
                         open_.append((child, following))
@@ -181,7 +259,16 @@ class Lexicon(dict):
 
     def evidence(self, text: str) -> float:
         """The sum of the weights of all hits in a text, by context."""
-        found = [t for t in set(_TOKEN.findall(text)) if self[t]]
+        return self._evidence(text, set(_TOKEN.findall(text)))
+
+    def evidences(self, texts: list[str]) -> list[float]:
+        """The evidence of each of several texts."""
+        tokens = [set(_TOKEN.findall(t)) for t in texts]
+        self.prepare(set().union(*tokens))
+        return [self._evidence(t, own) for t, own in zip(texts, tokens, strict=True)]
+
+    def _evidence(self, text: str, tokens: set[str]) -> float:
+        found = [t for t in tokens if self[t]]
         if not found:
             return 0.0
         marked = set(found)
@@ -304,9 +391,13 @@ class ToxicityModel:
         self.lexicon, self.slope, self.offset = lexicon, slope, offset
 
     def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
         if not self.lexicon.words and not self.lexicon.stems:
-            return 0.0
-        return 1 / (1 + math.exp(-(self.slope * math.log1p(self.lexicon.evidence(text or "")) + self.offset)))
+            return [0.0] * len(texts)
+        found = self.lexicon.evidences([t or "" for t in texts])
+        return [1 / (1 + math.exp(-(self.slope * math.log1p(e) + self.offset))) for e in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -324,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
         lexicon = Lexicon(*shared.value)
         for batch in batches:
             # The curve is one of the logarithm, which is rounded: it has some hundred values.
-            found = [round(math.log1p(lexicon.evidence(t or "")), 2) for t in batch.column(0).to_pylist()]
+            found = [round(math.log1p(e), 2) for e in lexicon.evidences([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1).cast(pa.int32())], ["evidence", "toxic"])
 
     points = sample.mapInArrow(run, "evidence double, toxic int").groupBy("evidence", "toxic").agg(F.count("*").alias("n")).collect()
@@ -344,7 +435,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, keep: list[str] | Non
         parts, slope, offset = shared.value
         model = ToxicityModel(Lexicon(*parts), slope, offset)
         for batch in batches:
-            scores = [model.score(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text")
+            scores = [x for a, b, _, _ in textkit.slices(texts) for x in model.scores(texts.slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}

@@ -492,6 +492,20 @@ def test_automaton_and_trie():
         assert not want or lexicon.may_be_near(token)
 
 
+def test_tokens_told_at_once_are_told_alike():
+    rng = random.Random(21)
+    make = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    words = {make(rng.choice([4, 5, 6, 9, 12])): 2.0 for _ in range(25)}
+    stems = {make(rng.choice([3, 5, 7])): 1.0 for _ in range(8)}
+    one, two = toxicity.Lexicon(words, stems), toxicity.Lexicon(words, stems)
+    tokens = {make(rng.randint(1, 14)) for _ in range(3000)} | {w.upper() for w in words}
+    for w in [*words, *stems]:
+        k = rng.randrange(len(w))
+        tokens |= {w[:k] + w[k + 1 :], w[:k] + "z" + w[k:], w[:k] + "z" + w[k + 1 :], w + make(4), w[:k] + w[k + 1 :] + make(3), *toxicity._swaps(w), "x" * 700 + w}
+    one.prepare(tokens)
+    assert {t: one[t] for t in tokens} == {t: two[t] for t in tokens} and sum(x > 0 for x in one.values()) > 60
+
+
 def test_misspellings_of_all_entries(spark):
     rng = random.Random(13)
     plain = ["".join(rng.choice("aeiou") + rng.choice("bcdfghkl") for _ in range(3)) for _ in range(300)]
