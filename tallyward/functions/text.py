@@ -178,7 +178,7 @@ def fnv1a(text: Column) -> Column:
     # Fixed values of the function: its offset and its prime.
     offset, prime, whole = 14695981039346656037, 1099511628211, 1 << 64
     digits = F.filter(F.split(F.regexp_replace(F.hex(text.cast("binary")), "(..)", "$1 "), " "), lambda x: x != "")
-    big = lambda n: F.lit(n).cast("decimal(38,0)")
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
     # The exclusive or touches the lowest byte only; the product is taken in two halves, each within 38 digits.
     def step(h: Column, byte: Column) -> Column:
         low = (h % big(256)).cast("int")

@@ -66,13 +66,43 @@ def recheck(events: DataFrame, key: str = "user_id", ts: str = "ts", ready: str
 
 
 def upsert_batches(stream: DataFrame, keys: list[str], version: str, path: str, checkpoint: str):
-    """Keeps a table of the newest row of each key: every batch is merged and written as the next generation."""
-    from tallyward.sources.sinks import upserted
+    """Keeps a table of the newest row of each key; each batch writes only the buckets that its rows fall in."""
+    from tallyward.sources.sinks import upsert_buckets
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target, before = f"{path}/gen={number}", f"{path}/gen={number - 1}"
-        new = batch.dropDuplicates(keys) if number == 0 else upserted(spark.read.parquet(before), batch, keys, version)
-        new.write.mode("overwrite").parquet(target)
+        upsert_buckets(batch.sparkSession, path, batch, keys, version)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tag_sightings(stream: DataFrame, late: str = "72 hours") -> DataFrame:
+    """(repo, tag, first_sha, sha, moved) whenever a tag is seen: the commit it was first seen at is kept as state.
+
+    stream: (repo, tag, sha, at).  The state of a tag goes when it was not seen for the watermark's delay.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["at", "sha"])
+        first = state.get[0] if state.exists else rows["sha"].iloc[0]
+        state.update((first,))
+        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"repo": k[0], "tag": k[1], "first_sha": first, "sha": rows["sha"], "moved": rows["sha"] != first})
+
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in ("repo", "tag"))
+    return stream.withWatermark("at", late).groupBy("repo", "tag").applyInPandasWithState(step, f"{kinds}, first_sha string, sha string, moved boolean", "first_sha string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def within_budget(calls: DataFrame, key: str, ts: str, most: int, span: str = "1 hour", *then: str) -> DataFrame:
+    """Adds ``allowed``: whether a call is among the first ``most`` of its key and window; the others wait."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key, "window_").orderBy(ts, *then)
+    return calls.withColumn("window_", F.window(ts, span)["start"]).withColumn("allowed", F.row_number().over(w) <= most).drop("window_")
+
+
+def resumed(events: DataFrame, ts: str, cursor: str | None, lookback: str = "1 hour") -> DataFrame:
+    """Events from a cursor on, and those of a time before it that may have come late; all without a cursor."""
+    return events if cursor is None else events.filter(F.col(ts) >= F.lit(cursor).cast("timestamp") - F.expr(f"interval {lookback}"))
