@@ -165,12 +165,18 @@ def cutter(model_file: str, chosen: tuple[int, ...] | None = None) -> Cutter:
 
 
 class Slice:
-    """The words of some texts as subword ids, once for each different word."""
-
-    def __init__(self, cut: Cutter, data: np.ndarray, offsets: np.ndarray):
-        w = self.words = textkit.words(data, offsets)
-        self.hashes, first, self.word = np.unique(w.hashes, return_index=True, return_inverse=True)
-        self.lead, self.more, self.rest = cut.cut(data, w.starts[first], w.ends[first])
+    """The words of some texts as subword ids, once for each different word; of all words, or of those that are needed."""
+
+    def __init__(self, cut: Cutter, words: textkit.Words, needed: np.ndarray | None = None):
+        self.words = words
+        places = np.arange(len(words.hashes)) if needed is None else np.flatnonzero(needed)
+        self.hashes, first, own = np.unique(words.hashes[places], return_index=True, return_inverse=True)
+        self.word = own
+        if needed is not None:
+            self.word = np.zeros(len(needed), np.int64)
+            self.word[places] = own
+        first = places[first]
+        self.lead, self.more, self.rest = cut.cut(words.data, words.starts[first], words.ends[first])
         self.begin = np.cumsum(self.more) - self.more
 
     def rest_of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +186,15 @@ class Slice:
         return self.rest[self.begin[word[owner]] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)], owner
 
 
+#: Scores before an exponential are held within these bounds; no weight is lost to overflow then.
+_BOUND = 60.0
+
+
+def _exponentials(scores: np.ndarray) -> None:
+    np.clip(scores, -_BOUND, _BOUND, out=scores)
+    np.exp(scores, out=scores)
+
+
 class Attention:
     """One layer of causal self-attention with a residual path, and its gradients.
 
@@ -196,7 +211,7 @@ class Attention:
         self.w = {"E": small(IDS + 1, WIDTH), "R": np.zeros((IDS, WIDTH), np.float32), "P": small(WINDOW, WIDTH), **{n: small(WIDTH, WIDTH) for n in ("Wq", "Wk", "Wv", "Wo")}}
         self.w |= {"U": np.zeros((WIDTH, FAN), np.float32), "b": np.log(classes.sum(axis=1)).astype(np.float32), "V": np.zeros((FAN, WIDTH, FAN), np.float32), "d": np.log(classes / classes.sum(axis=1, keepdims=True)).astype(np.float32)}
         self.frequency = frequency
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def embedded(self, lead: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Rows for tokens with first ids ``lead`` and further ids ``rest`` of the tokens ``owner`` (rising)."""
@@ -211,17 +226,15 @@ class Attention:
         w, n = self.w, x.shape[1]
         x = x + w["P"][:n]
         q, k, v = x @ w["Wq"], x @ w["Wk"], x @ w["Wv"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= WIDTH**-0.5
-        a += self.mask[:n, :n]
-        a -= a.max(axis=-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=-1, keepdims=True)
+        a = (q * WIDTH**-0.5) @ k.transpose(0, 2, 1)
+        _exponentials(a)
+        a *= self.mask[:n, :n]
+        a /= (a @ np.ones(n, a.dtype))[..., None]
         z = a @ v
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "z": z, "h": x + z @ w["Wo"]}
 
     def _outputs(self, h: np.ndarray, wanted: np.ndarray) -> tuple:
-        """Rows ordered by class: (order, bounds of the classes, states, class distributions, member distributions)."""
+        """Rows ordered by class: (order, bounds of the classes, states, class weights, member weights)."""
         kind = (wanted // FAN).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         h, kind = h[order], kind[order]
@@ -232,18 +245,17 @@ class Attention:
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             np.matmul(h[bounds[c] : bounds[c + 1]], self.w["V"][c], out=member[bounds[c] : bounds[c + 1]])
         member += self.w["d"][kind]
-        for p in (by_class, member):
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
+        _exponentials(by_class)
+        _exponentials(member)
         return order, bounds, h, by_class, member
 
     def log10_next(self, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """log10 of the probability of the wanted ids after states h (rows)."""
         order, _, _, by_class, member = self._outputs(h, wanted)
-        row, own = np.arange(len(order)), wanted[order]
+        row, own, ones = np.arange(len(order)), wanted[order], np.ones(FAN, member.dtype)
+        p = (by_class[row, own // FAN] / (by_class @ ones)).astype(np.float64) * (member[row, own % FAN] / (member @ ones))
         out = np.empty(len(order))
-        out[order] = np.log10(TRUST * by_class[row, own // FAN].astype(np.float64) * member[row, own % FAN] + (1 - TRUST) * self.frequency[own])
+        out[order] = np.log10(TRUST * p + (1 - TRUST) * self.frequency[own])
         return out
 
     def gradients(self, lead: np.ndarray, rest: np.ndarray, owner: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict:
@@ -253,10 +265,12 @@ class Attention:
         places = np.flatnonzero(real)
         order, bounds, h, by_class, member = self._outputs(flat(s["h"])[places], wanted.ravel()[places])
         places, own, row = places[order], wanted.ravel()[places][order], np.arange(len(order))
-        by_class[row, own // FAN] -= 1
-        member[row, own % FAN] -= 1
-        by_class /= max(1, len(row))
-        member /= max(1, len(row))
+        # Of the mean over all rows.
+        share, ones = 1 / max(1, len(row)), np.ones(FAN, member.dtype)
+        by_class *= (share / (by_class @ ones))[:, None]
+        member *= (share / (member @ ones))[:, None]
+        by_class[row, own // FAN] -= share
+        member[row, own % FAN] -= share
         g = {"U": h.T @ by_class, "b": by_class.sum(axis=0), "V": np.zeros_like(w["V"]), "d": np.zeros_like(w["d"])}
         d = by_class @ w["U"].T
         there = np.flatnonzero(np.diff(bounds))
@@ -273,7 +287,7 @@ class Attention:
         dz = dh @ w["Wo"].T
         da = dz @ s["v"].transpose(0, 2, 1)
         dv = s["a"].transpose(0, 2, 1) @ dz
-        da -= (da * s["a"]).sum(axis=-1, keepdims=True)
+        da -= np.einsum("bij,bij->bi", da, s["a"])[..., None]
         da *= s["a"]
         da *= WIDTH**-0.5
         dq, dk = da @ s["k"], da.transpose(0, 2, 1) @ s["q"]
@@ -371,10 +385,17 @@ def _train(batches: Iterator[pa.RecordBatch], model_file: str, shared, turn: int
 
     for batch in batches:
         for _, _, data, offsets in textkit.slices(batch.column(0)):
-            words = Slice(cut, data, offsets)
-            bounds = words.words.bounds + np.arange(len(words.words.bounds))
+            w = textkit.words(data, offsets)
+            bounds = w.bounds + np.arange(len(w.bounds))
             text, begin = _windows(bounds, turn)
             windows += len(begin)
+            # The words of this turn's windows: what is wanted in them, and what stands before that.
+            inside = np.zeros(bounds[-1] + WINDOW + 1, np.int8)
+            inside[begin] += 1
+            inside[np.minimum(begin + WINDOW, bounds[text + 1])] -= 1
+            inside = np.cumsum(inside, dtype=np.int8) > 0
+            place = np.arange(len(w.hashes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(w.bounds))
+            words = Slice(cut, w, inside[place] | inside[place + 1])
             for k in range(0, len(begin), BATCH):
                 own = text[k : k + BATCH, None]
                 at = begin[k : k + BATCH, None] + np.arange(WINDOW)
@@ -442,8 +463,8 @@ def _score(batches: Iterator[pa.RecordBatch], model_file: str, shared) -> Iterat
     cut = cutter(model_file, t.chosen)
     for batch in batches:
         for a, b, data, offsets in textkit.slices(batch.column(2)):
-            words = Slice(cut, data, offsets)
-            w, n = words.words, b - a
+            w, n = textkit.words(data, offsets), b - a
+            words = Slice(cut, w)
             at = np.minimum(np.searchsorted(t.hashes, words.hashes), max(0, len(t.hashes) - 1))
             known = t.hashes[at] == words.hashes if len(t.hashes) else np.zeros(len(words.hashes), bool)
             logs = np.where(known, t.logs[at], 0.0) if len(t.hashes) else np.zeros(len(known))
