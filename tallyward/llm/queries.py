@@ -25,6 +25,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share a band of signatures and are similar, by verified links."""
+    from tallyward.llm.fingerprints import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Weights of the mix by domain, language and source; 1 where none is given.
 MIX_WEIGHTS = ({"web": 5, "books": 3, "code": 2}, {"en": 6, "de": 2, "fr": 1, "es": 1}, {"src0": 2})
 MIX = {"share": 0.6, "epochs": 4, "seed": 17}
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_topk_search": op9_topk_search,
     "op10_url_filter": op10_url_filter,
+    "fingerprint_near_duplicates": fingerprint_near_duplicates,
 }
 
 

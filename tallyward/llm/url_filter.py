@@ -3,8 +3,8 @@
 The rules are tried first, the longest first.  The URLs that they accept and those that they reject train a character
 model each: a Markov model of variable order, in which a context of n characters is smoothed by the one of n - 1 as
 Witten and Bell do, down to a uniform distribution.  A URL that no rule decides is accepted if its log-likelihood
-ratio, divided by its length, reaches a threshold, at which the decisions of the two models agree best with those of
-the rules (the mean of both classes' accuracy).
+ratio, divided by its length, reaches a threshold, at which the decisions of two models agree best with those of the
+rules on texts that these have not learned from (the mean of both classes' accuracy).
 
 Characters are counted over all URLs that a rule decides; a task sends on sums of its counts, and none is left out.
 Counts of up to ``MODEL_GRAMS`` for each class are sent to the tasks whole; beyond that nothing is sent, and the distinct
@@ -33,6 +33,8 @@ ORDER = 5
 MODEL_GRAMS = 400_000
 #: N-grams whose ratios are sent to the tasks when the others are joined, since many URLs have them.
 HOT_GRAMS = 10_000
+#: One text in as many is kept for the threshold.
+FOLDS = 10
 _BINS, _RANGE = 4001, 4.0
 _UNIT = float(1 << 36)
 
@@ -246,24 +248,39 @@ def _bin(scores: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((scores + _RANGE) / (2 * _RANGE) * (_BINS - 1)), 0, _BINS - 1).astype(np.int32)
 
 
-def fit(decided: DataFrame, model_grams: int = MODEL_GRAMS) -> RatioModel | JoinedModel | None:
-    """A model from (text, reject) rows; None if one class has none."""
-    counts = cut(_counts(decided))
+def _model(counts: DataFrame, model_grams: int) -> RatioModel | JoinedModel | None:
     sizes = {r["reject"]: r["count"] for r in counts.groupBy("reject").count().collect()}
     if len(sizes) < 2:
         return None
-    if max(sizes.values()) <= model_grams:
-        # All counts of the class come to the driver, model_grams rows at most.
-        model = RatioModel(*(Markov(counts.filter(F.col("reject") == reject).select("context", "gram", "n").collect()) for reject in (False, True)))
-    else:
-        model = JoinedModel(counts)
+    if max(sizes.values()) > model_grams:
+        return JoinedModel(counts)
+    # All counts of the class come to the driver, model_grams rows at most.
+    return RatioModel(*(Markov(counts.filter(F.col("reject") == reject).select("context", "gram", "n").collect()) for reject in (False, True)))
+
+
+def fit(decided: DataFrame, model_grams: int = MODEL_GRAMS) -> RatioModel | JoinedModel | None:
+    """A model from (text, reject) rows; None if one class has none.
+
+    The threshold is found on one text in FOLDS, by a model of the others, since a model knows too well what it has
+    learned from; the model itself counts all.  If these have one class only, it is found on all texts by the model itself.
+    """
+    model = _model(cut(_counts(decided)), model_grams)
+    if model is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_bin(np.asarray(batch.column(1))))], ["reject", "bin"])
 
-    bins = model.scored(decided).select("reject", "score").mapInArrow(run, "reject boolean, bin int").groupBy("reject", "bin").agg(F.count("*").alias("n"))
-    model.threshold = _threshold(bins.collect())
+    def bins(of: RatioModel | JoinedModel, rows: DataFrame) -> list:
+        return of.scored(rows).select("reject", "score").mapInArrow(run, "reject boolean, bin int").groupBy("reject", "bin").agg(F.count("*").alias("n")).collect()
+
+    apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    others = _model(cut(_counts(decided.filter(~apart))), model_grams)
+    found = bins(others, decided.filter(apart)) if others is not None else []
+    if len({r["reject"] for r in found}) < 2:
+        found = bins(model, decided)
+    model.threshold = _threshold(found)
     return model
 
 

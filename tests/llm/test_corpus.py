@@ -556,6 +556,95 @@ def test_url_models_are_whole_at_any_size(spark):
     assert whole == joined and len(whole) == len(urls) + 2
 
 
+def brute_url_scores(learned, texts):
+    """Witten-Bell models of order 0 to 5 in plain Python: the mean difference of the log-likelihoods of characters."""
+    def steps(t):
+        data = [0] * 5 + list(t.encode()) + [255]
+        return [(tuple(data[k - 5 : k]), data[k]) for k in range(5, len(data))]
+
+    counts = [collections.Counter(), collections.Counter()]
+    for t, reject in learned:
+        for context, c in steps(t):
+            for n in range(6):
+                counts[reject][context[5 - n :], c] += 1
+    sums = [collections.defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for side in range(2):
+        for (context, _), n in counts[side].items():
+            sums[side][context][0] += n
+            sums[side][context][1] += 1
+
+    def log_p(side, context, c):
+        p = 1 / 257
+        for n in range(6):
+            total, kinds = sums[side].get(context[5 - n :], (0, 0))
+            if total:
+                p = (counts[side][context[5 - n :], c] + kinds * p) / (total + kinds)
+        return math.log(p)
+
+    return [sum(log_p(0, a, c) - log_p(1, a, c) for a, c in steps(t)) / len(steps(t)) for t in texts]
+
+
+def test_url_scores_against_brute_force(spark):
+    rng = random.Random(31)
+    rows = [(f"good{rng.randrange(30)}.com/{rng.choice(['ok', 'en', 'é'])}/{rng.randrange(99)}", False) for _ in range(90)] + [(f"bad{rng.randrange(30)}.net/casino{rng.randrange(99)}", True) for _ in range(60)]
+    texts = ["good1.org/ok", "bad7.org/casino", "", "é" * 40, rows[0][0]]
+    decided = spark.createDataFrame(rows, "text string, reject boolean").repartition(3)
+    folds = {r.text: r.f for r in decided.select("text", (F.pmod(F.xxhash64("text"), F.lit(url_filter.FOLDS)) == 0).alias("f")).collect()}
+    apart = [r for r in rows if folds[r[0]]]
+    assert len({x for _, x in apart}) == 2
+    tuned = list(zip(brute_url_scores([r for r in rows if not folds[r[0]]], [t for t, _ in apart]), (x for _, x in apart), strict=True))
+    good = lambda least: sum(s < least for s, x in tuned if x) / sum(x for _, x in tuned) + sum(s >= least for s, x in tuned if not x) / sum(not x for _, x in tuned)
+    for grams in (10**6, 20):  # sent to the tasks, and joined
+        model = url_filter.fit(decided, grams)
+        got = {r.text: r.score for r in model.scored(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+        for t, want in zip(texts, brute_url_scores(rows, texts), strict=True):
+            assert math.isclose(got[t], want, rel_tol=1e-6, abs_tol=1e-8)
+        # No threshold agrees better with the rules on the texts kept for it.
+        assert good(model.threshold) >= max(good(s + d) for s, _ in tuned for d in (-2e-3, 2e-3)) - 1e-9
+
+
+def test_edge_cases(spark):
+    """Empty tables, null and repeated ids, very long texts and clashing columns in the operators on texts."""
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    rows = [(1, long), (1, long), (1, "x"), (None, "you idiot"), (None, None), (2, ""), (3, long + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("score", "row", "hash", "key", "part", "bands", "n_tokens", "toxic", "label")}).repartition(3)
+    none = df.limit(0)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, F.lit(True))
+    for of in (
+        lambda d: token_counts.token_counts(d, PIECES), lambda d: fingerprints.fingerprints_with_next(d), lambda d: fingerprints.fingerprints(d), lambda d: fingerprints.near_duplicates(d), lambda d: bpe_codec.encode_digests(d, BPE),
+        lambda d: jaccard_join.jaccard_components(d), lambda d: lm_score.scores(d, PIECES), lambda d: toxicity.toxicity_scores(d, model),
+    ):
+        got = of(df).collect()
+        assert len(got) == len(rows) and collections.Counter(r.doc_id for r in got) == collections.Counter(d for d, _ in rows)
+        assert of(none).count() == 0
+    components = collections.Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
+    assert components[1, 1] == 3 and components[3, 1] == 1 and components[None, None] == 2
+    assert [r.held_out for r in df.select(toxicity.held_out(F.col("doc_id")).alias("held_out")).collect()].count(None) == 0
+    vectors = spark.createDataFrame([(100, [1.0, 2.0]), (100, [1.0, 2.0]), (None, [3.0, 3.0]), (5, [1.0, 1.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("score", "rank", "query_id", "v", "q")})
+    got = sorted(tuple(r) for r in topk_search.top_k(vectors, F.col("vec_id") % 100 == 0).collect())
+    assert got == [(100, 1, 5, 1024 * 1024 * 3)] and topk_search.top_k(vectors.limit(0), F.lit(True)).count() == 0
+    pages = spark.createDataFrame([(None, "https://x.net/es/"), (None, None), (1, "https://q.org/" + "a" * 200_000), (1, "https://x.net/es/")], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "text", "score", "verdict")})
+    assert url_filter.judge(pages, queries.url_rules()).count() == 4 and url_filter.judge(pages.limit(0), queries.url_rules()).count() == 0
+
+
+def test_recall_of_bands(spark):
+    """Pairs of a similarity of 0.75 or more that near_duplicates links, against all such pairs."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 120))]
+        other = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            other[rng.randrange(len(other))] = f"n{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    low = {d: c for d, _, c in brute_components(rows)}
+    got = {r.doc_id: r.component_id for r in fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [k for k in range(150) if low[2 * k + 1] == 2 * k]
+    assert len(linked) > 60 and sum(got[2 * k + 1] == 2 * k for k in linked) >= 0.98 * len(linked)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(150) if k not in linked)
+
+
 def test_mixing(spark):
     rng = random.Random(12)
     rows = [(k, " ".join("w" for _ in range(rng.randint(0, 30))) or None, rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "src2", "src3", None]), 0) for k in range(300)]
@@ -577,14 +666,67 @@ def test_mixing(spark):
     assert {r.m_source: r.budget for r in b.collect()} == {"v": 3, "s": 2 * rest // 3 + (1 if rest % 3 else 0), "u": rest - (2 * rest // 3 + (1 if rest % 3 else 0))}
 
 
-def test_pipeline_stages(spark):
+def pipeline_docs(spark, rng):
+    """Labelled documents with copies, repeated ids, nulls and clashing columns."""
+    words, rows, labels = [f"{a}{b}" for a in "bcdfgh" for b in ("ab", "ec", "id", "of", "ul")], [], []
+    for k in range(240):
+        w = [rng.choice(words) for _ in range(rng.choice([3, 30, 60]))]
+        if k % 5 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["scoundrel", "wretched"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 5 == 0)))
+    rows += [(300 + k, rows[k][1] + (" tail" if k % 2 else "")) for k in range(1, 40)] + [(7, rows[7][1]), (None, rows[8][1]), (None, None), (400, ""), (401, rows[5][1])]
+    docs = spark.createDataFrame([(d, t, rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src3", None]), len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1))
+    return docs, spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
-    want = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
-    assert {r.doc_id for r in kept.collect()} == want and kept.columns == corpus_pipeline.COLUMNS
-    assert corpus_pipeline.encode(spark, corpus_pipeline.mix_sources(spark, kept, ""), "").count() > 0
+    docs, labels = pipeline_docs(spark, random.Random(17))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: tuple(map(str, r))
+    rows = sorted((tuple(r)[:5] for r in docs.collect()), key=key)
+
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    clean = [r for r in rows if not {"scoundrel", "wretched"} & set((r[1] or "").split())]
+    assert kept.columns == corpus_pipeline.COLUMNS and sorted((tuple(r) for r in kept.collect()), key=key) == clean
+
+    single = corpus_pipeline.drop_near_duplicates(spark, kept, str(tmp_path))
+    numbered = [(k, r[1]) for k, r in enumerate(clean)]
+    group = {k: c for k, n, c in brute_components(numbered) if n}
+    left = collections.Counter(clean[k] for k, _ in numbered if k not in group)  # without words: all stay
+    order = lambda k: (clean[k][0] is None, clean[k][0] or 0)
+    got = collections.Counter(tuple(r) for r in single.collect())
+    assert got & left == left
+    rest = got - left
+    by_group = collections.defaultdict(list)
+    for k, c in group.items():
+        by_group[c].append(k)
+    assert sum(rest.values()) == len(by_group)
+    index = collections.defaultdict(set)
+    for k in group:
+        index[clean[k]].add(group[k])
+    for r in rest:
+        (c,) = index[r]
+        assert order(next(k for k in by_group[c] if clean[k] == r)) == min(map(order, by_group[c]))  # the least id stays
+
+    mixed = corpus_pipeline.mix_sources(spark, single, str(tmp_path))
+    chosen = collections.Counter(tuple(r) for r in mixed.collect())
+    assert mixed.columns == corpus_pipeline.COLUMNS and set(chosen) <= set(got) and max(chosen.values()) <= 4
+    plan = queries.mixed(single).groupBy("m_domain", "m_lang", "m_source").agg(F.sum("m_tokens").alias("t")).collect()
+    tokens = sum(len((r[1] or "").split()) * n for r, n in got.items())
+    assert int(tokens * 0.6) <= sum(r.t for r in plan) <= int(tokens * 0.6) + 61 * len(plan)
+
+    library = Tokenizer.from_file(BPE)
+    encoded = corpus_pipeline.encode(spark, mixed, str(tmp_path)).collect()
+    ids = lambda t: tuple(library.encode(t or "", add_special_tokens=False).ids)
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in encoded) == collections.Counter({k: n for k, n in collections.Counter((r[0], ids(r[1])) for r in chosen.elements()).items()})
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(encoded)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_drops_by_row(spark):
