@@ -315,24 +315,42 @@ def _summed_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by their ids."""
     out = np.zeros((n, rows.shape[1]), rows.dtype)
     if len(ids):
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # sixteen bits are sorted by digits
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         out[ids[order][first]] = np.add.reduceat(rows[order], first)
     return out
 
 
 class Adam:
+    """Steps in place; all weights are parts of one vector."""
+
     def __init__(self, model: Attention):
-        self.model, self.steps = model, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.w.items()}
-        self.v = {n: np.zeros_like(x) for n, x in model.w.items()}
+        self.steps, self.at = 0, {}
+        self.weights, begin = model.vector().astype(np.float32), 0
+        for n in model.NAMES:
+            size, shape = model.w[n].size, model.w[n].shape
+            self.at[n] = slice(begin, begin + size)
+            model.w[n] = self.weights[self.at[n]].reshape(shape)
+            begin += size
+        self.m, self.v, self.g, self.x = (np.zeros_like(self.weights) for _ in range(4))
 
     def step(self, gradients: dict) -> None:
         self.steps += 1
-        for n, g in gradients.items():
-            self.m[n] = 0.9 * self.m[n] + 0.1 * g
-            self.v[n] = 0.99 * self.v[n] + 0.01 * g * g
-            self.model.w[n] = self.model.w[n] - (RATE * (self.m[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[n] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        g, x = self.g, self.x
+        for n, part in gradients.items():
+            g[self.at[n]] = part.ravel()
+        self.m *= 0.9
+        self.m += np.multiply(g, 0.1, out=x)
+        self.v *= 0.99
+        np.multiply(g, g, out=x)
+        x *= 0.01
+        self.v += x
+        np.multiply(self.v, 1 / (1 - 0.99**self.steps), out=x)
+        np.sqrt(x, out=x)
+        x += 1e-8
+        np.divide(self.m, x, out=x)
+        x *= RATE / (1 - 0.9**self.steps)
+        self.weights -= x
 
 
 def held_out(doc_id: Column) -> Column:
@@ -352,8 +370,16 @@ def _count(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.Re
         for _, _, data, offsets in textkit.slices(batch.column(0)):
             w = textkit.words(data, offsets)
             keys, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-            held.append((keys, n, pieces.longest(data, w.starts[first], w.ends[first])[0]))
-            if len(held) >= 16:
+            # The piece is sought for words only that the merged counts don't hold yet.
+            lead = np.full(len(keys), -1, np.int32)
+            new = np.ones(len(keys), bool)
+            if held and len(held[0][0]):
+                at = np.minimum(np.searchsorted(held[0][0], keys), len(held[0][0]) - 1)
+                new = held[0][0][at] != keys
+                lead[~new] = held[0][2][at[~new]]
+            lead[new] = pieces.longest(data, w.starts[first[new]], w.ends[first[new]])[0]
+            held.append((keys, n, lead))
+            if len(held) in (1, 16):
                 held = [merged(held)]
     if texts:
         held.append((np.array([END_HASH]), np.array([texts]), np.array([-1], np.int32)))
