@@ -157,7 +157,7 @@ def suppressed(findings: DataFrame, lines: DataFrame, key: str = "file_id", mark
     A marker with rule ids takes back those rules only; rules of ``never`` are not taken back.
     """
     marked = lines.filter(F.col("line").rlike(marker)).select(key, "line_no", "line", F.regexp_extract("line", marker, 1).alias("ids"))
-    reach = marked.select(key, F.explode(F.when(F.col("line").rlike(COMMENT), F.array(F.col("line_no"), F.col("line_no") + 1)).otherwise(F.array("line_no"))).alias("line_no"), F.transform(F.filter(F.split("ids", ","), lambda x: F.trim(x) != ""), F.trim).alias("ids"))
+    reach = marked.select(key, F.explode(F.when(F.col("line").rlike(COMMENT), F.array(F.col("line_no"), F.col("line_no") + 1)).otherwise(F.array("line_no"))).alias("line_no"), F.transform(F.filter(F.split("ids", ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x)).alias("ids"))
     reach = reach.select(key, "line_no", F.explode_outer("ids").alias("only_"))
     same = [findings[key] == reach[key], findings["line_no"] == reach["line_no"], reach["only_"].isNull() | (reach["only_"] == findings["rule"]), ~findings["rule"].rlike(never)]
     return findings.join(reach, same, "left_anti")
