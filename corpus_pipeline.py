@@ -1,8 +1,11 @@
 """A corpus pipeline of four stages: toxic documents go, near duplicates go, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a DataFrame, which is written and read
-again as the docs of the next.  All but the last return the columns of documents.  Rows without an id stay rows of
-their own; rows that repeat an id are judged one by one.
+again as the docs of the next.  All but the last return the columns of documents.
+
+Cases: rows without an id stay rows of their own; rows that repeat an id are judged one by one; null and empty texts are
+no toxic ones and near no other, so they stay until the mix, which takes them while their leaf has budget left, and
+encode to no ids; very long texts are taken whole; other columns are dropped; an empty table goes through as such.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.llm import bpe_codec, jaccard_join, queries, toxicity
-from tallyward.plans.lineage import written
+from tallyward.plans.lineage import free, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = written(jaccard_join.jaccard_rows(docs, {"text_key": key}).groupBy("doc_id", "text_key", "part").agg(F.count("*").alias("copies")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
     least = rows.groupBy("part").agg(F.min(order).alias("least"))
-    told = written(rows.join(least, "part").select("doc_id", "text_key", (order == F.col("least")).alias("kept"), "copies").filter("not kept or copies > 1"))
+    marked = rows.join(least, "part").select("doc_id", "text_key", (order == F.col("least")).alias("kept"), "copies").filter("not kept or copies > 1")
+    told = written(marked)
+    free(rows)
     # What goes, and what is kept but once though it occurs several times.
     marks = told.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "kept")
     few = told.count() <= BROADCAST_IDS
@@ -66,7 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table."""
     docs = queries.table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            free(before)
     return docs
