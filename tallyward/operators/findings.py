@@ -94,6 +94,18 @@ def cap(findings: DataFrame, keys: list[str], order: list[str], most: int) -> Da
     return first.join(over, keys, "left").withColumn("omitted", F.when((F.col("place") == most) & F.col("n_").isNotNull(), F.col("n_") - most).otherwise(0)).drop("n_")
 
 
+def capped(findings: DataFrame, keys: list[str], rule: str, order: list[str], most: int) -> DataFrame:
+    """At most ``most`` findings of each key and rule, and a row of rule Q-CAPPED for each that had more.
+
+    A summary row has the rule it stands for in ``of`` and how many are left out in ``omitted``; other rows have neither.
+    """
+    w = Window.partitionBy(*keys, rule).orderBy(*order)
+    first = findings.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= most).drop("n_").withColumns({"of": F.lit(None).cast("string"), "omitted": F.lit(0).cast("long")})
+    over = findings.groupBy(*keys, rule).agg(F.count("*").alias("n_")).filter(F.col("n_") > most)
+    summary = over.select(*keys, F.lit("Q-CAPPED").alias(rule), F.col(rule).alias("of"), (F.col("n_") - most).alias("omitted"))
+    return first.unionByName(summary, allowMissingColumns=True)
+
+
 def suppress(findings: DataFrame, all_lines: DataFrame, marker: str, keys: list[str], never: str = r"^(SC|X)-") -> DataFrame:
     """Without findings whose line or the one above holds the marker; those of ``never`` rules stay."""
     marked = all_lines.filter(F.col("line").contains(marker)).select(*keys, F.explode(F.array("line_no", F.col("line_no") + 1)).alias("line_no")).distinct()

@@ -73,6 +73,15 @@ def gate(findings: DataFrame, metrics: DataFrame, copies: DataFrame, key: str, s
     return named.withColumn("passed", F.forall(F.array(*conditions), lambda x: x))
 
 
+def maintainability(findings: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
+    """(key, smells, rating): smells for 100 lines, A to E at 5, 10, 20 and 40; what a cap left out counts (``omitted``)."""
+    smells = findings.groupBy(key).agg(F.sum(F.when(F.col("type") == "SMELL", 1).otherwise(0) + F.coalesce("omitted", F.lit(0))).alias("smells"))
+    g = metrics.groupBy(key).agg(F.sum("ncloc").alias("ncloc")).join(smells, key, "left").withColumn("smells", F.coalesce("smells", F.lit(0)))
+    share = F.when(F.col("ncloc") > 0, F.col("smells") * 100 / F.col("ncloc")).otherwise(0.0)
+    rated = F.when(share <= 5, "A").when(share <= 10, "B").when(share <= 20, "C").when(share <= 40, "D").otherwise("E")
+    return g.select(key, "smells", rated.alias("rating"))
+
+
 def per_file_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key).agg(F.count("*").alias("n"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("rule", F.lit(1))))).alias("rules"))
 

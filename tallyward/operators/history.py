@@ -13,10 +13,11 @@ def timeline(releases: DataFrame, key: str) -> Window:
 
 
 def inflated(releases: DataFrame, key: str, least: int = INFLATED, jump: int = JUMP) -> DataFrame:
-    """Adds ``inflated`` (major of 99 or more that isn't a year) and ``new_inflation`` (the first, or a jump of 50)."""
+    """Adds ``inflated`` (major of 99 or more that isn't a year, of a version without epoch) and ``new_inflation`` (the
+    first, or a jump of 50).  Releases may have a column ``epoch``."""
     before = F.max("major").over(timeline(releases, key).rowsBetween(Window.unboundedPreceding, -1))
     calendar = F.col("major").between(1990, 2100) | F.col("major").between(19900101, 21001231)
-    r = releases.withColumn("high_before", before).withColumn("inflated", (F.col("major") >= least) & ~calendar)
+    r = releases.withColumn("high_before", before).withColumn("inflated", (F.col("major") >= least) & ~calendar & ((F.coalesce("epoch", F.lit(0)) == 0) if "epoch" in releases.columns else F.lit(True)))
     return r.withColumn("new_inflation", F.col("inflated") & (F.col("high_before").isNull() | (F.col("major") - F.col("high_before") >= jump)))
 
 
@@ -36,6 +37,14 @@ def prior(releases: DataFrame, key: str, ts: str, id_col: str, days: int = PRIOR
     return r.withColumn("prior_id", F.max(F.struct("us_", id_col)).over(w)[id_col]).drop("us_")
 
 
+def prior_of_kind(releases: DataFrame, key: str, ts: str, id_col: str, days: int = PRIOR_DAYS) -> DataFrame:
+    """Adds ``prior_id`` as ``prior``, but a release that is no pre-release (column ``pre``) has stable ones only before it."""
+    w = Window.partitionBy(key).orderBy("us_").rangeBetween(Window.unboundedPreceding, -days * 86_400_000_000)
+    r = releases.withColumn("us_", F.unix_micros(F.col(ts).cast("timestamp")))
+    both, stable = F.max(F.struct("us_", id_col)).over(w)[id_col], F.max(F.when(~F.col("pre"), F.struct("us_", id_col))).over(w)[id_col]
+    return r.withColumn("prior_id", F.when(F.col("pre"), both).otherwise(stable)).drop("us_")
+
+
 def near_in_time(left: DataFrame, right: DataFrame, key: str, seconds: int) -> DataFrame:
     """Pairs of rows of one key whose times (l_us, r_us) are within so many seconds.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.functions.cvss import label_rank
 from tallyward.functions.versions import keyed, unbounded, within
 from tallyward.operators.graph import connected_components
 
@@ -72,11 +73,32 @@ def merge_feeds(records: DataFrame, kev: DataFrame, epss: DataFrame, components:
     return base.join(extra, "component").withColumn("known_exploited", F.col("n_kev") > 0).drop("n_kev")
 
 
+#: Ids, references and packages of a merged record at most, in their order.
+MOST_IDS, MOST_REFERENCES, MOST_PACKAGES = 20, 10, 6
+
+
+def merged_sets(records: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, label, ids, references, packages): the greatest severity label and capped unions of a component's sets.
+
+    records: (id, label, ids, references, packages), the last three arrays.  Elements are made distinct before they are
+    gathered, so a component with many records gathers its different elements only.
+    """
+    named = records.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    base = named.groupBy("component").agg(F.max_by("label", F.struct(label_rank(F.col("label")), F.col("label"))).alias("label"))
+    for name, most in (("ids", MOST_IDS), ("references", MOST_REFERENCES), ("packages", MOST_PACKAGES)):
+        items = named.select("component", F.explode(name).alias("x")).distinct()
+        place = F.row_number().over(Window.partitionBy("component").orderBy("x"))
+        first = items.withColumn("n", place).filter(F.col("n") <= most).groupBy("component").agg(F.array_sort(F.collect_list("x")).alias(name))
+        base = base.join(first, "component", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return base
+
+
 def intervals(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Events (kind introduced or fixed) folded to half-open intervals (from_at, to_at); to_at is null while open."""
     w = Window.partitionBy(*keys).orderBy(*order)
     turns = events.withColumn("last_", F.lag("kind").over(w)).filter("last_ is null and kind = 'introduced' or last_ != kind").drop("last_")
-    return turns.withColumn("to_at", F.lead("at").over(w)).filter("kind = 'introduced'").select(*keys, F.col("at").alias("from_at"), "to_at")
+    # An interval that ends where it begins holds nothing.
+    return turns.withColumn("to_at", F.lead("at").over(w)).filter("kind = 'introduced' and (to_at is null or to_at > at)").select(*keys, F.col("at").alias("from_at"), "to_at")
 
 
 def uncovered(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -352,3 +352,57 @@ def severity_labels(spark, d):
 @query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '?', 'g') = text AS safe FROM documents")
 def terminal_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", (text.terminal_safe(F.col("text")) == F.col("text")).alias("safe"))
+
+
+# --- findings left out, merged sets, histories ------------------------------------------------------------------------
+
+_PLAIN = f"(SELECT source, rule, type, doc_id, CAST(line_no AS BIGINT) AS line_no FROM {_FOUND})"
+
+
+@query(f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, rule ORDER BY line_no) AS k FROM {_PLAIN}) SELECT source, doc_id, rule, line_no, NULL AS of, CAST(0 AS BIGINT) AS omitted FROM n WHERE k <= 2 UNION ALL SELECT source, doc_id, 'Q-CAPPED', NULL, rule, count(*) - 2 FROM n GROUP BY source, doc_id, rule HAVING count(*) > 2")
+def findings_capped(spark, d):
+    f = fd.scan_lines(table(spark, d, "documents")).select("source", "doc_id", "rule", "line_no")
+    return fd.capped(f, ["source", "doc_id"], "rule", ["line_no"], 2)
+
+
+@query(f"WITH s AS (SELECT source, count(*) AS smells FROM {_PLAIN} WHERE type = 'SMELL' GROUP BY source), m AS (SELECT source, CAST(sum(ncloc) AS BIGINT) AS ncloc FROM {base._METRICS} GROUP BY source) SELECT source, coalesce(smells, 0) AS smells, CASE WHEN ncloc = 0 OR coalesce(smells, 0) * 100 / ncloc <= 5 THEN 'A' WHEN smells * 100 / ncloc <= 10 THEN 'B' WHEN smells * 100 / ncloc <= 20 THEN 'C' WHEN smells * 100 / ncloc <= 40 THEN 'D' ELSE 'E' END AS rating FROM m LEFT JOIN s USING (source)")
+def maintainability_with_capped(spark, d):
+    """The rating does not depend on the cap: what it left out counts."""
+    from tallyward.operators import grade as gr
+
+    docs = table(spark, d, "documents")
+    f = fd.scan_lines(docs).filter("type = 'SMELL'").select("source", "doc_id", "rule", "line_no", "type")
+    return gr.maintainability(fd.capped(f, ["source", "doc_id"], "rule", ["line_no"], 2), gr.line_metrics(docs, keep=("source",)), "source")
+
+
+_RECORDS = "(SELECT s_suppkey AS id, (['low','Medium','HIGH','critical','?'])[s_suppkey % 5 + 1] AS label, [concat('CVE-', s_suppkey), concat('X-', s_nationkey)] AS ids, [concat('https://r/', s_suppkey % 50), concat('https://q/', s_nationkey)] AS refs, [concat('p', s_suppkey % 9)] AS packages FROM supplier)"
+_CAPPED = lambda column, most: f"(SELECT component, list_sort(list(x)) AS {column} FROM (SELECT component, x, row_number() OVER (PARTITION BY component ORDER BY x) AS n FROM (SELECT DISTINCT component, unnest({column}) AS x FROM n)) WHERE n <= {most} GROUP BY component)"
+
+
+@query(f"WITH n AS (SELECT r.*, coalesce(component, r.id) AS component FROM {_RECORDS} r LEFT JOIN {base._COMPONENTS} c USING (id)), b AS (SELECT component, arg_max(label, (coalesce(list_position(['LOW','MODERATE','HIGH','CRITICAL'], CASE upper(label) WHEN 'MEDIUM' THEN 'MODERATE' ELSE upper(label) END), 0), label)) AS label FROM n GROUP BY component) SELECT component, label, ids, refs, packages FROM b JOIN {_CAPPED('ids', 20)} USING (component) JOIN {_CAPPED('refs', 10)} USING (component) JOIN {_CAPPED('packages', 6)} USING (component)")
+def feed_sets(spark, d):
+    k = F.col("s_suppkey")
+    label = F.element_at(F.array(*map(F.lit, ("low", "Medium", "HIGH", "critical", "?"))), (k % 5 + 1).cast("int"))
+    r = table(spark, d, "supplier").select(k.alias("id"), label.alias("label"), F.array(F.concat(F.lit("CVE-"), k), F.concat(F.lit("X-"), "s_nationkey")).alias("ids"), F.array(F.concat(F.lit("https://r/"), k % 50), F.concat(F.lit("https://q/"), "s_nationkey")).alias("references"), F.array(F.concat(F.lit("p"), k % 9)).alias("packages"))
+    return sca.merged_sets(r, base.alias_components(spark, d)).withColumnRenamed("references", "refs")
+
+
+@query("SELECT o_orderkey, (SELECT p.o_orderkey FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate <= o.o_orderdate - INTERVAL 7 DAYS AND (o.o_orderkey % 3 = 0 OR p.o_orderkey % 3 <> 0) ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) AS prior_id FROM orders o")
+def prior_of_kind(spark, d):
+    """The established predecessor: stable releases only have stable ones before them."""
+    from tallyward.operators import history
+
+    o = table(spark, d, "orders").withColumn("pre", F.col("o_orderkey") % 3 == 0)
+    return history.prior_of_kind(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "prior_id")
+
+
+@query("""WITH c AS (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM documents),
+  w AS (SELECT doc_id, k, md5(array_to_string(c[k:k+5], chr(10))) AS h FROM (SELECT doc_id, c, unnest(range(1, len(c) - 4)) AS k FROM c)), a AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+  v AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 6)) AS line FROM w WHERE h IN (SELECT h FROM a)) GROUP BY doc_id)
+  SELECT lang, CAST(sum(len(c)) AS BIGINT) AS measured, CAST(sum(coalesce(n, 0)) AS BIGINT) AS duplicated, round(100 * sum(coalesce(n, 0)) / sum(len(c)), 6) AS percent FROM c LEFT JOIN v USING (doc_id) GROUP BY lang""")
+def duplicate_percent(spark, d):
+    from tallyward.operators import grade as gr
+
+    docs = table(spark, d, "documents")
+    each = gr.duplication(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("measured").alias("measured"), F.sum("duplicated").alias("duplicated"))
+    return each.withColumn("percent", F.round(100 * F.col("duplicated") / F.col("measured"), 6))
