@@ -294,7 +294,7 @@ def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, colum
             for a, b, data, offsets in textkit.slices(batch.column(1)):
                 yield values(coder, batch.column(0).slice(a, b - a), coder.encode(data, offsets))
 
-    return source.mapInArrow(run, f"doc_id {kind}, {columns}")
+    return source.mapInArrow(textkit.ending(run), f"doc_id {kind}, {columns}")
 
 
 def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

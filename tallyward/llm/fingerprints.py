@@ -178,7 +178,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 ], names)
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, kinds)
+    return with_next(docs, id_col, text_col).mapInArrow(textkit.ending(run), kinds)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, share: int = 75) -> DataFrame:

@@ -172,7 +172,7 @@ def _survey(source: DataFrame, like: Similarity) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes())], pa.binary()), pa.array([0 if k else total])], names)
 
     for seed in counter():
-        survey = written(source.mapInArrow(partial(run, seed=seed), schema))
+        survey = written(source.mapInArrow(textkit.ending(partial(run, seed=seed)), schema))
         clash = survey.filter("key is not null").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b")
         if not clash.limit(1).count():
             return survey, seed
@@ -290,8 +290,8 @@ def _groups(texts: DataFrame, like: Similarity, seed: int, table: np.ndarray, to
             rows = np.repeat(first[part] - (ends[k : k + 4096] - count[part]), count[part]) + np.arange(ends[k] - count[part[0]], ends[k + len(part) - 1])
             yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.repeat(name[part], count[part]))), pa.array(textkit.signed(keys[owner[rows]]))], ["grp", "key"])
 
-    packed = texts.mapInArrow(sign, "bucket int, signs binary, keys binary, counts binary")
-    grouped = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "grp long, key long")
+    packed = texts.mapInArrow(textkit.ending(sign), "bucket int, signs binary, keys binary, counts binary")
+    grouped = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(textkit.ending(gather), "grp long, key long")
     return grouped.distinct()
 
 
@@ -338,7 +338,7 @@ def _members(texts: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array(members[k : k + 256], pa.list_(pa.int64()))], ["key", "members"])
 
     # Sets that the table lets through in vain do no harm; a class comes once from each task that has it.
-    return texts.mapInArrow(run, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members"))
+    return texts.mapInArrow(textkit.ending(run), "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members"))
 
 
 def _links(texts: DataFrame, pairs: DataFrame, like: Similarity, seed: int) -> DataFrame | None:

@@ -519,7 +519,7 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
     training = source.filter("not held_out").select("text")
-    vocabulary = written(training.mapInArrow(partial(_count, model_file=model_file), "hash long, n long, lead int").groupBy("hash").agg(F.sum("n").alias("n"), F.first("lead").alias("lead")))
+    vocabulary = written(training.mapInArrow(textkit.ending(partial(_count, model_file=model_file)), "hash long, n long, lead int").groupBy("hash").agg(F.sum("n").alias("n"), F.first("lead").alias("lead")))
 
     # Sums by leading piece: as many rows as pieces at most.
     leads = vocabulary.groupBy("lead").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -544,7 +544,7 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     model = Attention(frequency)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((frequency, model.vector(), chosen))
-        own = training.mapInArrow(partial(_train, model_file=model_file, shared=shared, turn=turn), "windows long, weights array<double>")
+        own = training.mapInArrow(textkit.ending(partial(_train, model_file=model_file, shared=shared, turn=turn)), "windows long, weights array<double>")
         # One vector comes back, summed over the tasks in two steps.
         some = own.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_summed, "windows long, weights array<double>")
         for r in some.coalesce(1).mapInArrow(_summed, "windows long, weights array<double>").collect():
@@ -563,7 +563,7 @@ def scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(tables)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = written(source.mapInArrow(partial(_score, model_file=model_file, shared=shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, path double, tail array<long>"))
+    rows = written(source.mapInArrow(textkit.ending(partial(_score, model_file=model_file, shared=shared)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, path double, tail array<long>"))
     tail = rows.select("row", F.explode("tail").alias("hash")).join(vocabulary.filter(F.col("n") < least).select("hash", "n"), "hash")
     found = tail.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs2"))
     end_count = float(n[END])

@@ -7,7 +7,8 @@ bounded size, so that no per-word Python object is made.  A word is a maximal ru
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,3 +152,18 @@ def shingle_sets(w: Words, width: int = 5) -> list[np.ndarray]:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as the longs that Spark has."""
     return x.view(np.int64)
+
+
+def ending(run: Callable) -> Callable:
+    """A function on batches that gives back what memory a task has freed when it ends: workers are used again, and what
+    the allocators keep of one task would add to what the next one of another kind needs."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole

@@ -24,6 +24,8 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyward.llm import textkit
+
 #: Segments whose counts a worker keeps; the older half is forgotten beyond.
 CACHE_SEGMENTS = 600_000
 
@@ -159,4 +161,4 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             size = [len(x.as_buffer()) if x.is_valid else 0 for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > token_limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(textkit.ending(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

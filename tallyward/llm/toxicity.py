@@ -317,7 +317,7 @@ def learn(sample: DataFrame) -> Lexicon:
         return Lexicon({}, {})
     # Fewer toxic than LEAST_SHARE allows for would make entries of single documents.
     least = max(3, LEAST_SHARE * n[1])
-    counts = sample.select("text", "toxic").mapInArrow(run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.select("text", "toxic").mapInArrow(textkit.ending(run), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
     rows = counts.filter(F.col("t") >= least).select("term", "t", odds.alias("odds")).filter(F.col("odds") >= math.log(LEAST_RATIO)).orderBy(F.desc("t"), "term").collect()
     words = {r["term"]: r for r in rows if not r["term"].endswith("*")}
@@ -359,7 +359,7 @@ def _clean_neighbours(sample: DataFrame, lexicon: Lexicon, often: dict[str, floa
 
     size = sample.filter("toxic = 0").count()
     many = max(1, 0.0005 * size)
-    near = sample.filter("toxic = 0").select("text").mapInArrow(run, "token string, entries array<string>").groupBy("token").agg(F.count("*").alias("n"), F.first("entries").alias("entries")).collect()
+    near = sample.filter("toxic = 0").select("text").mapInArrow(textkit.ending(run), "token string, entries array<string>").groupBy("token").agg(F.count("*").alias("n"), F.first("entries").alias("entries")).collect()
     rare: dict[str, int] = {}  # near tokens of SAMPLE_ROWS documents at most
     for r in near:
         if r["n"] <= many:
@@ -418,7 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
             found = [round(math.log1p(e), 2) for e in lexicon.evidences([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1).cast(pa.int32())], ["evidence", "toxic"])
 
-    points = sample.mapInArrow(run, "evidence double, toxic int").groupBy("evidence", "toxic").agg(F.count("*").alias("n")).collect()
+    points = sample.mapInArrow(textkit.ending(run), "evidence double, toxic int").groupBy("evidence", "toxic").agg(F.count("*").alias("n")).collect()
     if not points or not (lexicon.words or lexicon.stems):
         return ToxicityModel(lexicon, 0.0, 0.0)
     return ToxicityModel(lexicon, *_curve([(p["evidence"], p["toxic"], p["n"]) for p in points]))
@@ -440,7 +440,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, keep: list[str] | Non
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
+    return source.mapInArrow(textkit.ending(run), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
 
 
 def held_out(doc_id: Column) -> Column:
