@@ -98,7 +98,7 @@ def findings_not_suppressed(spark, d):
 
 @query(f"SELECT f.file_id, CAST(f.line_no AS BIGINT) AS line_no, rule, CASE WHEN length(line) > 40 THEN substr(line, 1, 37) || '...' ELSE line END AS snippet, CAST(least(f.line_no + 2, {N_LINES}) - greatest(f.line_no - 2, 1) + 1 AS BIGINT) AS around FROM {_found_sql()} f JOIN {_FILE_LINES} l USING (file_id, line_no)")
 def finding_snippets(spark, d):
-    return dt.with_window(dt.detect(files(spark, d)), file_lines(spark, d), most=40).select("file_id", "line_no", "rule", "snippet", "around")
+    return dt.with_snippet(dt.detect(files(spark, d), around=2), most=40).select("file_id", "line_no", "rule", "snippet", "around")
 
 
 @query(f"""WITH l AS (SELECT *, regexp_extract(line, '^\\s*(?:async\\s+)?(?:def|function|func|fn)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM {_FILE_LINES}), a AS (SELECT *, max(CASE WHEN name <> '' THEN line_no END) OVER (PARTITION BY file_id ORDER BY line_no) AS head_at FROM l)

