@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.functions import cvss, text, versions
-from tallyward.operators import detectors, findings, grade, graph, history, names, sca
+from tallyward.operators import detectors, findings, grade, graph, history, names, packages, sca
 from tallyward.sources import readers, sinks
 from tallyward.streaming import events
 
@@ -205,3 +205,18 @@ def test_snippets_send_nothing_to_the_driver(spark):
     rows = lambda df: sorted(tuple(r) for r in df.select("file_id", "line_no", "rule", "snippet", "around").collect())
     got = rows(detectors.with_snippet(detectors.detect(files, around=2)))
     assert got == rows(apart) and [(r[0], r[1], len(r[3]), r[4]) for r in got] == [(1, 1, 18, 1), (2, 3, 80, 5), (2, 6, 35, 3)]
+
+
+def test_merged_ranges_do_not_depend_on_repeats(spark):
+    """Ranges that many rows repeat give what each of them once gives: every value that some range covers."""
+    rng = random.Random(5)
+    once = list({(k, low, low + rng.randint(0, 4)) for k in range(20) for low in rng.sample(range(60), 12)})
+    rows = [r for r in once for _ in range(rng.randint(1, 9))]
+    rng.shuffle(rows)
+    got = packages.merged_ranges(spark.createDataFrame(rows, "k long, low long, high long").repartition(7), ["k"]).collect()
+    want = []
+    for k in range(20):
+        covered = sorted({x for key, low, high in once if key == k for x in range(low, high)})
+        heads = [x for x in covered if x - 1 not in covered]
+        want += [(k, x, next(y for y in range(x, 99) if y not in covered)) for x in heads]
+    assert sorted(map(tuple, got)) == sorted(want)
